@@ -260,7 +260,8 @@ def verified_range(observations: DataFrame) -> DataFrame:
 
 def frequent_species(verified: DataFrame, least: int = 30) -> DataFrame:
     """Species that won at least ``least`` verified series."""
-    return verified.groupBy("species_id").agg(F.count(F.lit(1)).alias("series")).where(F.col("series") >= least)
+    won = verified.where("species_id > 0").groupBy("species_id")
+    return won.agg(F.count(F.lit(1)).alias("series")).where(F.col("series") >= least)
 
 
 def location_stats(

@@ -329,7 +329,7 @@ def verified_range(s):
 
 @query(
     "a20_frequent_species",
-    """SELECT species_id, COUNT(*) AS series FROM verified WHERE location_id IN (SELECT id FROM lenient_locations)
+    """SELECT species_id, COUNT(*) AS series FROM verified WHERE species_id > 0 AND location_id IN (SELECT id FROM lenient_locations)
     GROUP BY species_id HAVING COUNT(*) >= 30""",
 )
 def frequent_species(s):
