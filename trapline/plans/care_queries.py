@@ -411,7 +411,8 @@ def priority_series(s):
 @query(
     "w3_review_series",
     """SELECT id FROM observations WHERE status IN ('pending', 'completed')
-    AND id IN (SELECT p.observation_id FROM photos p JOIN identifications i ON i.photo_id = p.id WHERE i.user_id = 2 AND i.species_id = 5)""",
+    AND id IN (SELECT p.observation_id FROM photos p JOIN identifications i ON i.photo_id = p.id WHERE i.user_id = 2)
+    AND id IN (SELECT p.observation_id FROM photos p JOIN identifications i ON i.photo_id = p.id WHERE i.species_id = 5)""",
 )
 def review_series(s):
     return Y.review_series(s.observations, s.photos, s.identifications, user_id=2, species_id=5).select("id")
