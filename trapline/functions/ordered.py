@@ -31,8 +31,8 @@ def collapse(rows: DataFrame, keys: Sequence[str], ts: str, *extra: Column) -> D
 
 
 def number_gaps(units: DataFrame, keys: Sequence[str], gap_seconds: int, group: str) -> DataFrame:
-    """Add ``group`` (1-based run number per key; a step longer than the gap opens a run) and ``_before`` (rows of the key
-    in earlier seconds)."""
+    """Add ``group`` (1-based run number per key; a step longer than the gap opens a run), ``_before`` (rows of the key in
+    earlier seconds) and ``_start`` (the same count at the first second of the run)."""
     if gap_seconds < 1:
         raise ValueError("gap_seconds must be at least 1")
     gap = F.expr(f"make_dt_interval(0, 0, 0, {int(gap_seconds)})")
@@ -42,11 +42,14 @@ def number_gaps(units: DataFrame, keys: Sequence[str], gap_seconds: int, group:
         units.withColumn("_break", F.when(F.col("_first") - F.lag("_last").over(inside) > gap, 1).otherwise(0))
         .withColumn("_run", F.sum("_break").over(so_far))
         .withColumn("_inside", F.sum("_n").over(so_far) - F.col("_n"))
+        .withColumn("_opened", F.max(F.when(F.col("_break") == 1, F.col("_inside"))).over(so_far))
     )
     days = Window.partitionBy(*keys).orderBy(DAY)
     up_to = days.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = days.rowsBetween(Window.unboundedPreceding, -1)
     previous = F.lag("_d_last").over(days)
+    own_start = F.when(F.col("_opens") == 1, F.col("_d_before"))
+    last_start = F.coalesce(F.col("_d_before") + F.col("_d_opened"), own_start)
     stitched = (
         marked.groupBy(*keys, DAY)
         .agg(
@@ -54,17 +57,20 @@ def number_gaps(units: DataFrame, keys: Sequence[str], gap_seconds: int, group:
             F.max("_last").alias("_d_last"),
             F.max("_run").alias("_d_runs"),
             F.sum("_n").alias("_d_n"),
+            F.max("_opened").alias("_d_opened"),
         )
         .withColumn("_opens", F.when(previous.isNull() | (F.col("_d_first") - previous > gap), 1).otherwise(0))
         .withColumn("_base", F.sum("_opens").over(up_to) + F.coalesce(F.sum("_d_runs").over(earlier), F.lit(0)))
         .withColumn("_d_before", F.coalesce(F.sum("_d_n").over(earlier), F.lit(0)))
-        .select(*keys, DAY, "_base", "_d_before")
+        .withColumn("_d_start", F.coalesce(own_start, F.max(last_start).over(earlier)))
+        .select(*keys, DAY, "_base", "_d_before", "_d_start")
     )
     return (
         marked.join(stitched, [*keys, DAY])
         .withColumn(group, F.col("_base") + F.col("_run"))
         .withColumn("_before", F.col("_d_before") + F.col("_inside"))
-        .drop("_break", "_run", "_inside", "_base", "_d_before")
+        .withColumn("_start", F.coalesce(F.col("_d_before") + F.col("_opened"), F.col("_d_start")))
+        .drop("_break", "_run", "_inside", "_opened", "_base", "_d_before", "_d_start")
     )
 
 
@@ -95,3 +101,18 @@ def attach(rows: DataFrame, before: DataFrame, keys: Sequence[str], ts: str, tie
         .withColumn(name, F.col("_before") + F.row_number().over(within))
         .drop("_before", UNIT)
     )
+
+
+def numbered(rows: DataFrame, keys: list[str], number: str, name: str, width: int = 65536) -> DataFrame:
+    """1-based position by a unique whole number inside each key, counted over ranges of ``width`` numbers."""
+    part = F.floor(F.col(number) / F.lit(width)).alias("_range")
+    sized = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sized.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*keys, "_range").orderBy(number)
+    return (
+        rows.withColumn("_range", part)
+        .join(offsets, [*keys, "_range"])
+        .withColumn(name, F.col("_base") + F.row_number().over(within))
+        .drop("_base", "_range")
+    )

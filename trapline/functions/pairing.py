@@ -12,3 +12,10 @@ def with_every(left: DataFrame, right: DataFrame, spread_by: str, slots: int = 1
     fanned = left.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     placed = right.withColumn("_slot", F.pmod(F.xxhash64(spread_by), F.lit(slots)).cast("int"))
     return fanned.join(placed, "_slot").drop("_slot")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioned by ``keys`` over all shuffle partitions. Few small rows that grow much later on (an unrolled grid, a
+    resampling task) would otherwise be merged into one partition by their present size."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trapline.functions.pairing import with_every
 from trapline.operators.consensus import DONE, series_votes
+from trapline.operators.filters import covered_days
 
 # The longest step between photo days that still counts as a working camera, and the calendar limits.
 EFFORT_GAP_DAYS = 15
@@ -115,10 +116,7 @@ def coverage_days(
         .groupBy("location_id", "day")
         .agg(F.count(F.lit(1)).alias("photos"))
     )
-    spans = deployments.where("location_id IS NOT NULL AND start_date <= end_date").select(
-        "location_id", "start_date", "end_date"
-    )
-    deployed = spans.distinct().select("location_id", F.explode(F.sequence("start_date", "end_date")).alias("day"))
+    deployed = covered_days(deployments)
     covered = deployed.unionByName(_filled_days(counts, max_gap)).distinct().withColumn("covered", F.lit(True))
     return (
         covered.join(counts, ["location_id", "day"], "full")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trapline.functions.pairing import spread
 from trapline.functions.resampling import draw_counts, draw_key
 
 DAY_US = 86_400_000_000
@@ -74,10 +75,10 @@ def smooth_curve(times: DataFrame, mode: str, bandwidth: float, effort: DataFram
         .where(F.col("total") >= max(least, 2))
     )
     squares = F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("total")
-    spread = F.sqrt((3 * squares + 2 * 24.0 * 24.0 * F.col("total")) / (3 * F.col("total") - 1))
-    widths = moments.select("species_id", "total", (spread * bandwidth).alias("h"))
+    deviation = F.sqrt((3 * squares + 2 * 24.0 * 24.0 * F.col("total")) / (3 * F.col("total") - 1))
+    widths = moments.select("species_id", "total", (deviation * bandwidth).alias("h"))
     kernels = (
-        merged.join(widths, "species_id")
+        spread(merged.join(widths, "species_id"), "species_id", "us")
         .withColumn("shift", F.explode(F.array(*[F.lit(s) for s in (-24.0, 0.0, 24.0)])))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
     )
@@ -112,13 +113,15 @@ def resampled_times(times: DataFrame, replicates: int = 1_000, seed: int = 1, le
     placed = sites.withColumn("site", F.row_number().over(order) - 1)
     sizes = sites.groupBy("species_id").agg(F.count(F.lit(1)).alias("sites"))
     blocks = math.ceil(replicates / ITERATION_BLOCK)
+    task = ["species_id", "slice", "clock_hour", "block"]  # times of different hours never add up
     rows = (
         kept.join(placed, ["species_id", "location_id"])
         .join(sizes, "species_id")
         .withColumn("key", draw_key(F.col("species_id").cast("string")))
         .withColumn("slice", F.floor(F.col("site") / SITE_SLICE))
+        .withColumn("clock_hour", F.floor(F.col("us") / HOUR_US))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select("species_id", "key", "sites", "slice", "block", "site", "us", "n")
+        .select(*task, "key", "sites", "site", "us", "n")
     )
     block_size, slice_size = ITERATION_BLOCK, SITE_SLICE
 
@@ -138,7 +141,7 @@ def resampled_times(times: DataFrame, replicates: int = 1_000, seed: int = 1, le
             parts.append(pd.DataFrame({"replicate": number, "us": clock[hit], "n": weight[hit].astype(np.int64)}))
         return pd.concat(parts).assign(species_id=head["species_id"])[["species_id", "replicate", "us", "n"]]
 
-    partial = rows.groupBy("species_id", "slice", "block").applyInPandas(
+    partial = spread(rows, *task).groupBy(*task).applyInPandas(
         resample, "species_id bigint, replicate bigint, us bigint, n bigint"
     )
     return partial.groupBy("species_id", "replicate", "us").agg(F.sum("n").alias("n"))
@@ -183,7 +186,7 @@ def _smooth_replicates(drawn: DataFrame, bandwidth: float) -> DataFrame:
         )
 
     schema = "species_id bigint, replicate bigint, points bigint, i int, hour double, value double"
-    return drawn.groupBy("species_id", "replicate").applyInPandas(density, schema)
+    return spread(drawn, "species_id", "replicate").groupBy("species_id", "replicate").applyInPandas(density, schema)
 
 
 def resampled_curves(times: DataFrame, bandwidth: float = 0.1, replicates: int = 1_000, seed: int = 1, least: int = 5) -> DataFrame:

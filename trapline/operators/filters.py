@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.names import bracketed_label
-from trapline.functions.ordered import positions
+from trapline.functions.ordered import numbered, positions
 from trapline.operators.scope import Viewer
 from trapline.sources.starschema import QC_BOOLEAN_FLAGS, QC_TEXT_FLAG
 
@@ -28,14 +28,20 @@ def _flag_raised(flags: Iterable[str]) -> Column | None:
     return raised
 
 
+def covered_days(deployments: DataFrame) -> DataFrame:
+    """Distinct (location_id, day) inside closed deployment intervals. Of the intervals of a site that start on one day only
+    the longest is unrolled, so the work is bounded by the calendar."""
+    closed = deployments.where("location_id IS NOT NULL AND start_date <= end_date")
+    longest = closed.groupBy("location_id", "start_date").agg(F.max("end_date").alias("end_date"))
+    return longest.select("location_id", F.explode(F.sequence("start_date", "end_date")).alias("day")).distinct()
+
+
 def flagged_days(deployments: DataFrame, flags: Iterable[str]) -> DataFrame | None:
     """Distinct (location_id, day) covered by a deployment that raises a flag; open-ended intervals cover nothing."""
     raised = _flag_raised(flags)
     if raised is None:
         return None
-    spans = deployments.where(raised & F.col("location_id").isNotNull() & (F.col("start_date") <= F.col("end_date")))
-    day = F.explode(F.sequence("start_date", "end_date")).alias("_on")
-    return spans.select("location_id", "start_date", "end_date").distinct().select("location_id", day).distinct()
+    return covered_days(deployments.where(raised)).withColumnRenamed("day", "_on")
 
 
 def qc_exclude(observations: DataFrame, deployments: DataFrame, flags: Iterable[str]) -> DataFrame:
@@ -120,21 +126,6 @@ PLACEHOLDER_DAY = "1900-01-01"
 CAPTURE_FORMAT = "yyyy:MM:dd HH:mm:ss"
 
 
-def numbered(rows: DataFrame, keys: list[str], number: str, name: str, width: int = 65536) -> DataFrame:
-    """1-based position by a unique whole number inside each key, counted over ranges of ``width`` numbers."""
-    part = F.floor(F.col(number) / F.lit(width)).alias("_range")
-    sized = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*keys, "_range").orderBy(number)
-    return (
-        rows.withColumn("_range", part)
-        .join(offsets, [*keys, "_range"])
-        .withColumn(name, F.col("_base") + F.row_number().over(within))
-        .drop("_base", "_range")
-    )
-
-
 def clean_capture_time(uploads: DataFrame, now: str) -> DataFrame:
     """``captured_at`` from camera text (``taken_text``, ``subsecond_text``). Implausible or unreadable times become a
     placeholder: the fixed day plus the number of the file in its batch, in seconds."""

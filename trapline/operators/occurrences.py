@@ -123,39 +123,49 @@ def _scoped_series(tables: OccurrenceTables, spec: OccurrenceSpec) -> DataFrame:
     return qc_exclude(kept, tables.deployments, spec.qc_flags)
 
 
-def _winner(candidates: DataFrame) -> DataFrame:
-    order = Window.partitionBy("observation_id").orderBy(
-        F.desc("vote_count"), F.col("max_quantity").desc_nulls_first(), F.col("species_id").asc_nulls_last()
-    )
-    return candidates.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
-
-
 def occurrences(tables: OccurrenceTables, spec: OccurrenceSpec) -> DataFrame:
     """Records of the chosen mode and grouping, before they are shaped for the file."""
     scoped = _scoped_series(tables, spec)
+    done, pending = F.col("status").isin(*DONE), F.col("status") == "pending"
+    if spec.kind == "consensus":
+        scoped = scoped.where(done)
+    elif spec.kind == "human_any":
+        scoped = scoped.where(done | pending)
     series = scoped.select(F.col("id").alias("observation_id"), "location_id", "series_start_time", "status")
-    done = F.col("status").isin(*DONE)
-    human = scoped.where(done) if spec.kind == "consensus" else scoped.where(done | (F.col("status") == "pending"))
-    voted = ballots(tables.identifications, tables.photos, tables.users, human)
-    no_ai = [F.lit(None).cast("double").alias("ai_confidence"), F.lit(None).cast("string").alias("ai_model_name")]
-    columns = ["observation_id", "species_id", "max_quantity", "voters"]
-
-    def records(found: DataFrame, kind: str, *extra: Column) -> DataFrame:
-        return found.select(*columns, F.lit(kind).alias("row_kind"), *extra)
-
-    finished = series.where(done).select("observation_id")
-    rows = records(_winner(voted.join(finished, "observation_id", "left_semi")), "human_consensus", *no_ai)
-    if spec.kind != "consensus":
-        open_series = series.where("status = 'pending'").select("observation_id")
-        rows = rows.unionByName(records(voted.join(open_series, "observation_id", "left_semi"), "human_conflict", *no_ai))
+    voted = ballots(tables.identifications, tables.photos, tables.users, scoped)
+    order = Window.partitionBy("observation_id").orderBy(
+        F.desc("vote_count"), F.col("max_quantity").desc_nulls_first(), F.col("species_id").asc_nulls_last()
+    )
+    ranked = voted.withColumn("_rn", F.row_number().over(order))
+    if spec.kind == "consensus":
+        ranked = ranked.where("_rn = 1")
+    # one pass over the votes: verified series keep the winner, open ones every candidate, the others have no vote
+    rows = series.join(ranked, "observation_id", "left" if spec.kind == "human_ai" else "inner")
+    agreed, disputed, silent = done & (F.col("_rn") == 1), pending & F.col("_rn").isNotNull(), F.col("_rn").isNull()
+    rows = rows.where(agreed | disputed | silent).withColumn(
+        "row_kind", F.when(silent, "ai").when(agreed, "human_consensus").otherwise("human_conflict")
+    )
     if spec.kind == "human_ai":
-        anyone = tables.identifications.select("photo_id").join(series_of_photos(tables.photos), "photo_id")
-        silent = series.select("observation_id").join(anyone.select("observation_id"), "observation_id", "left_anti")
         guessed = best_prediction(
-            tables.ai_predictions.join(silent, "observation_id", "left_semi"), tables.ai_models, tables.ai_model_levels
+            tables.ai_predictions.join(series.select("observation_id"), "observation_id", "left_semi"),
+            tables.ai_models,
+            tables.ai_model_levels,
+        ).select("observation_id", F.struct("species_id", "max_quantity", "ai_confidence", "ai_model_name").alias("g"))
+        human = F.col("row_kind") != "ai"
+        rows = rows.join(guessed, "observation_id", "left").withColumns(
+            {
+                "species_id": F.when(human, F.col("species_id")).otherwise(F.col("g.species_id")),
+                "max_quantity": F.when(human, F.col("max_quantity")).otherwise(F.col("g.max_quantity")),
+                "ai_confidence": F.when(~human, F.col("g.ai_confidence")),
+                "ai_model_name": F.when(~human, F.col("g.ai_model_name")),
+            }
         )
-        nobody = F.lit(None).cast(voted.schema["voters"].dataType).alias("voters")
-        rows = rows.unionByName(records(guessed.select("*", nobody), "ai", F.col("ai_confidence"), F.col("ai_model_name")))
+    else:
+        rows = rows.withColumns({"ai_confidence": F.lit(None).cast("double"), "ai_model_name": F.lit(None).cast("string")})
+    rows = rows.select(
+        "observation_id", "location_id", "series_start_time", "species_id", "max_quantity", "voters", "row_kind", "ai_confidence",
+        "ai_model_name",
+    )
 
     taxa = taxon_filter(tables.species, spec.taxon).select(
         F.col("id").alias("species_id"),
@@ -164,7 +174,7 @@ def occurrences(tables: OccurrenceTables, spec: OccurrenceSpec) -> DataFrame:
     sites = tables.locations.select(
         F.col("id").alias("location_id"), F.col("name").alias("location_name"), "latitude", "longitude", "state_province"
     )
-    full = rows.join(taxa, "species_id").join(series.drop("status"), "observation_id").join(sites, "location_id")
+    full = rows.join(taxa, "species_id").join(sites, "location_id")
     if spec.grouping == "location_day":
         return best_of_day(full)
     if spec.grouping == "location_timewindow":

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.functions.ordered import UNIT, attach, collapse, number_gaps, with_unit
+from trapline.functions.ordered import UNIT, attach, collapse, number_gaps, numbered, with_unit
 
 COUNTED_STATUSES = ("pending", "completed", "needs_review")
 
@@ -22,29 +22,20 @@ def _units(photos: DataFrame, keys: Sequence[str], gap_seconds: int) -> DataFram
     return number_gaps(collapse(photos, keys, "captured_at"), keys, gap_seconds, "series_idx")
 
 
-def _series(units: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return units.groupBy(*keys, "series_idx").agg(
-        F.min("_first").alias("series_start_time"),
-        F.max("_last").alias("series_end_time"),
-        F.sum("_n").alias("photo_count"),
-        F.min("_before").alias("_start_count"),
-    )
-
-
 def series_table(photos: DataFrame, keys: Sequence[str] = ("upload_batch_id",), gap_seconds: int = 60) -> DataFrame:
     """One row per series: start, end and photo count. A new series starts when the gap to the previous photo is longer
     than ``gap_seconds``."""
-    photos = _present(photos, keys)
-    return _series(_units(photos, keys, gap_seconds), keys).drop("_start_count")
+    units = _units(_present(photos, keys), keys, gap_seconds)
+    return units.groupBy(*keys, "series_idx").agg(
+        F.min("_first").alias("series_start_time"), F.max("_last").alias("series_end_time"), F.sum("_n").alias("photo_count")
+    )
 
 
 def sessionise(photos: DataFrame, keys: Sequence[str] = ("upload_batch_id",), gap_seconds: int = 60) -> DataFrame:
     """Photos with ``series_idx`` per key and ``sequence_number`` inside the series."""
     photos = _present(photos, keys)
-    units = _units(photos, keys, gap_seconds)
-    starts = _series(units, keys).select(*keys, "series_idx", "_start_count")
-    labels = units.join(starts, [*keys, "series_idx"]).select(
-        *keys, UNIT, "series_idx", (F.col("_before") - F.col("_start_count")).alias("_before")
+    labels = _units(photos, keys, gap_seconds).select(
+        *keys, UNIT, "series_idx", (F.col("_before") - F.col("_start")).alias("_before")
     )
     return attach(with_unit(photos, "captured_at"), labels, keys, "captured_at", "id", "sequence_number")
 
@@ -112,13 +103,14 @@ def system_filenames(uploads: DataFrame, locations: DataFrame) -> DataFrame:
     dotted = [F.translate(F.col(c).cast("string"), ".", "_") for c in ("latitude", "longitude")]
     stamp = F.date_format("captured_at", "yyyyMMdd_HHmmss_SSSSSS")
     ending = F.regexp_extract("original_filename", r"[^.](\.[^./\\]+)$", 1)
-    same = Window.partitionBy("_stem", "_ending").orderBy("id")
-    return (
+    stems = (
         uploads.join(spots, "location_id")
         .withColumn("_stem", F.concat_ws("_", *dotted, stamp, F.substring("upload_batch_id", 1, 8)))
         .withColumn("_ending", F.when(ending == "", ".jpg").otherwise(ending))
-        .withColumn("_copy", F.row_number().over(same))
-        .withColumn("system_filename", F.concat("_stem", F.lit("_"), F.format_string("%02d", "_copy"), "_ending"))
+    )
+    return (
+        numbered(stems, ["_stem", "_ending"], "id", "_copy")
+        .withColumn("system_filename", F.concat("_stem", F.lit("_"), F.format_string("%02d", F.col("_copy")), "_ending"))
         .drop("_stem", "_ending", "_copy", "latitude", "longitude")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from trapline.functions.pairing import spread
 from trapline.functions.resampling import draw_counts, draw_key
 
 SCOPE = ["species_id", "scope_type", "scope_id"]
@@ -37,18 +38,20 @@ def _scoped_years(yearly: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def resampled_years(yearly: DataFrame, scopes: DataFrame, iterations: int = 10_000, seed: int = 1) -> DataFrame:
-    """Detections and trap days of every iteration, species, scope and year, with sites drawn with replacement.
+    """Detections and trap days of every iteration, species, scope and year, with sites drawn with replacement: one row per
+    block of iterations, with ``sums`` holding (detections, trap_days) of each iteration.
 
     A task holds one slice of the sites of a scope and one block of iterations; the slices are added up afterwards, so a
     scope with very many sites never has to fit into one task.
     """
     blocks = math.ceil(iterations / ITERATION_BLOCK)
+    task = [*SCOPE, "slice", "block"]
     rows = (
         _scoped_years(yearly, scopes)
         .withColumn("key", draw_key(F.col("species_id").cast("string"), "scope_type", "scope_id"))
         .withColumn("slice", F.floor(F.col("site") / SITE_SLICE))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(*SCOPE, "key", "sites", "slice", "block", "site", "year", "detections", "trap_days")
+        .select(*task, "key", "sites", "site", "year", "detections", "trap_days")
     )
     block_size, slice_size = ITERATION_BLOCK, SITE_SLICE
 
@@ -64,37 +67,36 @@ def resampled_years(yearly: DataFrame, scopes: DataFrame, iterations: int = 10_0
         for name in ("detections", "trap_days"):
             table = np.zeros((high - low, len(years)))
             table[pdf["site"].to_numpy() - low, column] = pdf[name].to_numpy()
-            sums[name] = (drawn @ table).astype(np.int64).ravel()
-        return pd.DataFrame(
-            {
-                "species_id": head["species_id"],
-                "scope_type": head["scope_type"],
-                "scope_id": head["scope_id"],
-                "iteration": np.repeat(numbers, len(years)),
-                "year": np.tile(years, len(numbers)),
-                **sums,
-            }
-        )
+            sums[name] = list((drawn @ table).T.astype(np.int64))
+        fixed = {name: head[name] for name in task}
+        return pd.DataFrame({**fixed, "year": years, **sums})
 
-    schema = "species_id bigint, scope_type string, scope_id string, iteration bigint, year int, detections bigint, trap_days bigint"
-    partial = rows.groupBy(*SCOPE, "slice", "block").applyInPandas(resample, schema)
-    return partial.groupBy(*SCOPE, "iteration", "year").agg(
-        F.sum("detections").alias("detections"), F.sum("trap_days").alias("trap_days")
+    schema = (
+        "species_id bigint, scope_type string, scope_id string, slice bigint, block int, year int, "
+        "detections array<bigint>, trap_days array<bigint>"
     )
+    partial = spread(rows, *task).groupBy(*task).applyInPandas(resample, schema)
+    sized = F.array_repeat(F.lit(0).cast("bigint"), F.max(F.size("detections")))
+    added = [
+        F.aggregate(F.collect_list(name), sized, lambda acc, part: F.zip_with(acc, part, lambda x, y: x + y)).alias(name)
+        for name in ("detections", "trap_days")
+    ]
+    return partial.groupBy(*SCOPE, "block", "year").agg(*added)
 
 
 def yearly_trend(yearly: DataFrame, scopes: DataFrame, iterations: int = 10_000, seed: int = 1) -> DataFrame:
     """Mean and 2.5/97.5 percentiles of 100 * detections / trap days per species, scope and year. Iterations without trap
     days in a year do not count for it. Means keep nine digits so that they do not depend on the order of summation."""
-    rate = F.col("detections") * 100 / F.col("trap_days")
+    rates = F.zip_with(F.col("detections"), F.col("trap_days"), lambda d, t: F.when(t > 0, d * 100 / t))
     return (
         resampled_years(yearly, scopes, iterations, seed)
-        .where("trap_days > 0")
+        .select(*SCOPE, "year", F.explode(rates).alias("rate"))
+        .where("rate IS NOT NULL")
         .groupBy(*SCOPE, "year")
         .agg(
-            F.round(F.avg(rate), 9).alias("mean_dr_index"),
-            F.percentile(rate, F.lit(0.025)).alias("lower_ci"),
-            F.percentile(rate, F.lit(0.975)).alias("upper_ci"),
+            F.round(F.avg("rate"), 9).alias("mean_dr_index"),
+            F.percentile("rate", F.lit(0.025)).alias("lower_ci"),
+            F.percentile("rate", F.lit(0.975)).alias("upper_ci"),
         )
     )
 

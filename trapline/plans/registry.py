@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trapline.session import apply_adaptive
 from trapline.sources.starschema import Survey, checking_sql
 
 
@@ -34,6 +35,7 @@ def query(name: str, sql: str | None = None, **named: str):
 
 def runner(entry: NamedQuery) -> Callable[[SparkSession, str], DataFrame]:
     def start(spark: SparkSession, folder: str) -> DataFrame:
+        apply_adaptive(spark)
         return entry.run(Survey(spark, folder))
 
     return start

@@ -15,6 +15,8 @@ from trapline.operators import scope as S
 from trapline.operators import trends as T
 from trapline.plans.registry import query
 from trapline.plans.report_queries import ACTIVITY, DAYS_SQL, FIRST, LAST, STEPS_SQL, activity
+from trapline.session import cut_lineage, shared_folder
+from trapline.sources import tables as W
 
 ITERATIONS = 200
 REPLICATES = 40
@@ -62,8 +64,15 @@ TREND = {
 }
 
 
+def stored_activity(s):
+    """The activity table, written once: trends, scopes and tests all read it."""
+    path = W.fresh_folder(shared_folder(s.spark), "activity")
+    W.replace_table(activity(s), path)
+    return s.spark.read.parquet(path)
+
+
 def _trends(s):
-    facts = activity(s)
+    facts = stored_activity(s)
     return T.yearly_trend(T.yearly_sums(facts), scopes(s, facts), ITERATIONS)
 
 
@@ -137,7 +146,7 @@ def _verified(s):
 
 def _times(s, species_only: bool = True):
     rows = _verified(s)
-    return D.detection_times(rows.where("species_id > 0") if species_only else rows)
+    return cut_lineage(D.detection_times(rows.where("species_id > 0") if species_only else rows))
 
 
 def _effort(s):

@@ -13,9 +13,6 @@ def build_session(app: str = "trapline", master: str | None = None, partitions:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -23,7 +20,23 @@ def build_session(app: str = "trapline", master: str | None = None, partitions:
         builder = builder.config("spark.driver.memory", os.environ.get("TRAPLINE_DRIVER_MEMORY", "16g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    apply_adaptive(spark)
+    return spark
+
+
+# Adaptive settings the operators count on: merged small partitions and split hot ones, also before an aggregation.
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def apply_adaptive(spark: SparkSession) -> None:
+    for name, value in ADAPTIVE.items():
+        spark.conf.set(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
