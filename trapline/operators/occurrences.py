@@ -174,12 +174,14 @@ def occurrences(tables: OccurrenceTables, spec: OccurrenceSpec) -> DataFrame:
     sites = tables.locations.select(
         F.col("id").alias("location_id"), F.col("name").alias("location_name"), "latitude", "longitude", "state_province"
     )
-    full = rows.join(taxa, "species_id").join(sites, "location_id")
+    # only the names travel through the grouping; the other dimension columns are added to the records that remain
+    rows = rows.join(taxa.select("species_id", "scientific_name"), "species_id")
+    rows = rows.join(sites.select("location_id", "location_name"), "location_id")
     if spec.grouping == "location_day":
-        return best_of_day(full)
-    if spec.grouping == "location_timewindow":
-        return best_of_event(full, spec.window_minutes)
-    return full
+        rows = best_of_day(rows)
+    elif spec.grouping == "location_timewindow":
+        rows = best_of_event(rows, spec.window_minutes)
+    return rows.join(taxa.drop("scientific_name"), "species_id").join(sites.drop("location_name"), "location_id")
 
 
 def _preference() -> Column:
