@@ -35,3 +35,9 @@ def bracketed_label(lang: str) -> Column:
     """Common name with the Latin name in brackets, else the Latin name."""
     common = common_name(lang)
     return F.coalesce(F.concat(common, F.lit(" ("), F.col("scientific_name"), F.lit(")")), F.col("scientific_name"))
+
+
+def plural_form(number: Column, one: str, few: str, many: str) -> Column:
+    """Noun form beside a number in languages with three forms (1, 21 / 2-4, 22-24 / the rest with 11-19)."""
+    tens, ones = F.abs(number) % 100, F.abs(number) % 10
+    return F.when(tens.between(11, 19), many).when(ones == 1, one).when(ones.between(2, 4), few).otherwise(many)

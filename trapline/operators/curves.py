@@ -212,6 +212,27 @@ def curve_band(curves: DataFrame, mode: str = "percent", effort: DataFrame | Non
     )
 
 
+# The fewest detections of a charted species, with and without a band.
+LEAST_WITH_BAND, LEAST_PLAIN = 5, 2
+MODES = ("rai", "percent")
+
+
+def activity_report(times: DataFrame, effort: DataFrame, bandwidth: float = 0.1, replicates: int = 0, seed: int = 1) -> DataFrame:
+    """Curves of every species with enough detections in both modes: (mode, species_id, i, hour, mean, ci_lower, ci_upper).
+    With ``replicates`` the mean and the band come from resampled sites, otherwise there is no band. ``times`` is read
+    several times and should be a stored table."""
+    parts = []
+    replicated = resampled_curves(times, bandwidth, replicates, seed, LEAST_WITH_BAND) if replicates else None
+    for mode in MODES:
+        if replicated is not None:
+            curves = curve_band(replicated, mode, effort)
+        else:
+            unknown = F.lit(None).cast("double")
+            curves = activity_curve(times, mode, bandwidth, effort, LEAST_PLAIN).withColumns({"ci_lower": unknown, "ci_upper": unknown})
+        parts.append(curves.select(F.lit(mode).alias("mode"), "species_id", "i", "hour", "mean", "ci_lower", "ci_upper"))
+    return parts[0].unionByName(parts[1])
+
+
 def _shares(curves: DataFrame, value: str, keys: list[str]) -> DataFrame:
     area = F.sum(value).over(Window.partitionBy(*keys))
     return curves.select(*keys, "i", F.coalesce(F.try_divide(F.col(value), area), F.lit(0.0)).alias("share"))

@@ -351,23 +351,30 @@ def landcover_histogram(locations: DataFrame, pixels: DataFrame, radius_m: float
     """Pixels per class within the radius of every site. ``pixels``: class, lat, lon. Sites visit the nine grid cells around
     them, so a site meets only the pixels nearby."""
     step = radius_m / 111_000.0
-    gridded = pixels.withColumn("_row", F.floor(F.col("lat") / step)).withColumn(
+    # equal points are merged on both sides, so a crowded cell costs no more than its distinct points
+    counted = pixels.groupBy("class", "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
+    gridded = counted.withColumn("_row", F.floor(F.col("lat") / step)).withColumn(
         "_cell", _cell(F.col("lon"), _row_cells(F.col("_row"), step))
     )
-    spots = (
-        locations.where("latitude IS NOT NULL AND longitude IS NOT NULL")
-        .select(F.col("id").alias("location_id"), F.col("latitude").cast("double").alias("_lat"), F.col("longitude").cast("double").alias("_lon"))
-        .withColumn("_row", F.explode(F.array(*[F.floor(F.col("_lat") / step) + d for d in (-1, 0, 1)])))
+    sites = locations.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(
+        F.col("id").alias("location_id"), F.col("latitude").cast("double").alias("_lat"), F.col("longitude").cast("double").alias("_lon")
     )
-    near = spots.withColumn("_n", _row_cells(F.col("_row"), step)).withColumn(
-        "_cell", F.explode(F.array_distinct(F.array(*[F.pmod(_cell(F.col("_lon"), F.col("_n")) + d, F.col("_n")) for d in (-1, 0, 1)])))
+    rows = F.explode(F.array(*[F.floor(F.col("_lat") / step) + d for d in (-1, 0, 1)]))
+    cells = F.array(*[F.pmod(_cell(F.col("_lon"), F.col("_n_cells")) + d, F.col("_n_cells")) for d in (-1, 0, 1)])
+    near = (
+        sites.select("_lat", "_lon")
+        .distinct()
+        .withColumn("_row", rows)
+        .withColumn("_n_cells", _row_cells(F.col("_row"), step))
+        .withColumn("_cell", F.explode(F.array_distinct(cells)))
     )
-    return (
+    found = (
         gridded.join(near, ["_row", "_cell"])
         .where(_distance(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= radius_m)
-        .groupBy("location_id", "class")
-        .agg(F.count(F.lit(1)).alias("pixels"))
+        .groupBy("_lat", "_lon", "class")
+        .agg(F.sum("_n").alias("pixels"))
     )
+    return sites.join(found, ["_lat", "_lon"]).select("location_id", "class", "pixels")
 
 
 def choose_biotopes(histogram: DataFrame, class_map: DataFrame, top: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapline.functions.names import common_name, species_label, user_label
+from trapline.functions.names import common_name, plural_form, species_label, user_label
 from trapline.functions.rounding import half_even
 from trapline.operators.consensus import series_votes, winners
 from trapline.operators.scope import Viewer, accessible
@@ -356,12 +356,15 @@ def remaining_series(
     )
 
 
+# The fewest open series worth a reminder, and the forms of the noun beside the number.
 REMINDER_LEAST = 10
+SERIES_FORMS = ("серія", "серії", "серій")
 
 
 def reminders(remaining: DataFrame, least: int = REMINDER_LEAST) -> DataFrame:
-    """Users with enough open series to be reminded."""
-    return remaining.where(F.col("remaining_count") >= least)
+    """Users with enough open series to be reminded, with the noun form that fits the number."""
+    word = plural_form(F.col("remaining_count"), *SERIES_FORMS)
+    return remaining.where(F.col("remaining_count") >= least).withColumn("series_word", word)
 
 
 def untouched_series(observations: DataFrame, photos: DataFrame, identifications: DataFrame, user_id: int) -> DataFrame:

@@ -369,9 +369,14 @@ def remaining_series(s):
     return _remaining(s)
 
 
-@query("w1_reminders", "SELECT user_id, remaining_count FROM remaining WHERE remaining_count >= 10", **REMAINING)
+@query(
+    "w1_reminders",
+    """SELECT user_id, remaining_count, CASE WHEN remaining_count % 100 BETWEEN 11 AND 19 THEN 'серій' WHEN remaining_count % 10 = 1 THEN 'серія'
+    WHEN remaining_count % 10 BETWEEN 2 AND 4 THEN 'серії' ELSE 'серій' END AS series_word FROM remaining WHERE remaining_count >= 10""",
+    **REMAINING,
+)
 def reminders(s):
-    return Y.reminders(_remaining(s)).select("user_id", "remaining_count")
+    return Y.reminders(_remaining(s)).select("user_id", "remaining_count", "series_word")
 
 
 OFFERED = """SELECT o.id, o.series_start_time, COUNT(p.id) AS size FROM observations o LEFT JOIN photos p ON p.observation_id = o.id WHERE o.status = 'pending'

@@ -284,19 +284,31 @@ def overlap_band(s):
     return _matrix(D.overlap_band(D.resampled_curves(_times(s), 0.25, REPLICATES)))
 
 
+def _report(df):
+    return df.select("mode", "species_id", "i", *[F.round(c, 6).alias(c) for c in ("mean", "ci_lower", "ci_upper")])
+
+
 @query(
     "t10_activity_report",
-    """SELECT 'rai' AS mode, species_id, i, ROUND(dens * total * 100 / (SELECT e FROM worked), 6) AS mean FROM smooth
-    UNION ALL SELECT 'percent' AS mode, species_id, i, ROUND(dens * 100, 6) AS mean FROM smooth""",
+    """SELECT 'rai' AS mode, species_id, i, ROUND(dens * total * 100 / (SELECT e FROM worked), 6) AS mean, CAST(NULL AS DOUBLE) AS ci_lower, CAST(NULL AS DOUBLE) AS ci_upper FROM smooth
+    UNION ALL SELECT 'percent' AS mode, species_id, i, ROUND(dens * 100, 6) AS mean, NULL AS ci_lower, NULL AS ci_upper FROM smooth""",
     **HOURS,
 )
 def activity_report(s):
-    times, effort = _times(s), _effort(s)
-    both = [
-        D.activity_curve(times, mode, 0.25, effort).select(F.lit(mode).alias("mode"), "species_id", "i", F.round("mean", 6).alias("mean"))
-        for mode in ("rai", "percent")
-    ]
-    return both[0].unionByName(both[1])
+    return _report(D.activity_report(_times(s), _effort(s), 0.25))
+
+
+@query(
+    "t10_activity_report_band",
+    " UNION ALL ".join(
+        f"""SELECT '{mode}' AS mode, species_id, i, ROUND(AVG({v}), 6) AS mean, ROUND(QUANTILE_CONT({v}, 0.025), 6) AS ci_lower,
+        ROUND(QUANTILE_CONT({v}, 0.975), 6) AS ci_upper FROM reps GROUP BY species_id, i"""
+        for mode, v in (("rai", "v * pts / (SELECT e FROM worked)"), ("percent", "v"))
+    ),
+    **BOOT,
+)
+def activity_report_band(s):
+    return _report(D.activity_report(_times(s), _effort(s), 0.25, REPLICATES))
 
 
 @query("t11_detection_hours", "SELECT species_id, location_id, ROUND(h, 9) AS decimal_hour FROM hours", **HOURS)

@@ -13,9 +13,9 @@ TIME_SHAPE = r"^\d{1,4}:\d{1,2}:\d{1,2} +\d{1,2}:\d{1,2}:\d{1,2}$"
 
 
 def read_raw_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Text rows of all files under ``path``. ``file`` and ``line_no`` keep the order of the rows inside a file: rows are
+    """Text rows of all files under ``path``, which share one header. ``file`` and ``line_no`` keep the order of the rows inside a file: rows are
     numbered inside the block they were read from, and blocks are ordered by their offset."""
-    header = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    header = spark.read.option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
     named = header.toDF(*[c.lstrip("﻿").strip() for c in header.columns])
     missing = [c for c in REQUIRED if c not in named.columns]
     if missing:
