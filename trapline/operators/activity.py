@@ -111,8 +111,7 @@ def coverage_days(
 ) -> DataFrame:
     """(location_id, day, covered, photos): days of deployments, photo days and short gaps between photo days."""
     counts = (
-        _sited(photos, observations)
-        .where(F.col("year") >= first_year)
+        _sited(photos.where(F.col("captured_at") >= F.lit(f"{first_year}-01-01").cast("timestamp_ntz")), observations)
         .groupBy("location_id", "day")
         .agg(F.count(F.lit(1)).alias("photos"))
     )

@@ -15,7 +15,8 @@ def region_activity(activity: DataFrame, regions: DataFrame, first: str, last: s
     months = [F.lit(d).cast("date") for d in (first, last)]
     month_number = F.col("year") * 100 + F.col("month")
     low, high = [F.year(m) * 100 + F.month(m) for m in months]
-    return activity.where(month_number.between(low, high)).join(regions, "location_id")
+    years = F.col("year").between(F.year(months[0]), F.year(months[1]))  # prunes the partitions of the stored table
+    return activity.where(years & month_number.between(low, high)).join(regions, "location_id")
 
 
 def region_totals(rows: DataFrame) -> DataFrame:

@@ -54,33 +54,36 @@ def qc_exclude(observations: DataFrame, deployments: DataFrame, flags: Iterable[
     return dated.join(bad, ["location_id", "_on"], "left_anti").select(*observations.columns)
 
 
+def _midnight(day: str) -> Column:
+    return F.lit(day).cast("date").cast("timestamp_ntz")
+
+
+def _midnight_after(last: str) -> Column:
+    return F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz")
+
+
 def started_between(observations: DataFrame, first: str, last: str) -> DataFrame:
-    """Series started on a calendar day from first to last, both included."""
-    return observations.where(F.to_date("series_start_time").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    """Series started on a calendar day from first to last, both included. Compared on the column itself, so that the filter
+    reaches the file scan."""
+    at = F.col("series_start_time")
+    return observations.where((at >= _midnight(first)) & (at < _midnight_after(last)))
 
 
 def captured_between(photos: DataFrame, first: str, last: str) -> DataFrame:
     """Photos taken from the start of the first day to the start of the last day: the last day itself is left out, but for
     its very first moment."""
-    bounds = [F.lit(d).cast("date").cast("timestamp_ntz") for d in (first, last)]
-    return photos.where(F.col("captured_at").between(*bounds))
-
-
-def _midnight_after(last: str) -> Column:
-    return F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz")
+    return photos.where(F.col("captured_at").between(_midnight(first), _midnight(last)))
 
 
 def captured_through(photos: DataFrame, first: str, last: str) -> DataFrame:
     """Photos from the start of the first day up to, but not including, the day after the last."""
     at = F.col("captured_at")
-    return photos.where((at >= F.lit(first).cast("date").cast("timestamp_ntz")) & (at < _midnight_after(last)))
+    return photos.where((at >= _midnight(first)) & (at < _midnight_after(last)))
 
 
 def started_through(observations: DataFrame, first: str, last: str) -> DataFrame:
     """Series from the start of the first day to the midnight after the last day, that midnight included."""
-    return observations.where(
-        F.col("series_start_time").between(F.lit(first).cast("date").cast("timestamp_ntz"), _midnight_after(last))
-    )
+    return observations.where(F.col("series_start_time").between(_midnight(first), _midnight_after(last)))
 
 
 @dataclass(frozen=True)

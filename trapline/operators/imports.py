@@ -217,7 +217,8 @@ def resolve_deployments(rows: DataFrame, locations: DataFrame, create_missing: b
     """Sheet rows with their site and outcome (``accepted`` or the reason a row is skipped).
 
     A site named like the deployment comes first. Without coordinates the row stays without a site. Otherwise the site at
-    the same rounded coordinates is taken when only one exists, or, with ``create_missing``, a new site is to be made.
+    the same rounded coordinates is taken when only one exists, or, with ``create_missing``, a new site is to be made:
+    append ``new_sites`` to the sites and resolve again, and the rows find them by name.
     """
     given = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     lat, lon = F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double")
