@@ -61,6 +61,13 @@ def test_dynamic_replacement_keeps_other_partitions(spark, tmp_path):
     assert sorted((r.v, r.year) for r in spark.read.parquet(path).collect()) == [(1, 2020), (3, 2021)]
 
 
+def test_stored_table_has_the_declared_schema(spark, survey, tmp_path):
+    W.replace_table(survey.species, str(tmp_path / "species"))
+    stored = W.read_table(spark, str(tmp_path), "species")
+    assert stored.schema["scientific_name"].dataType.simpleString() == "string"
+    assert stored.select("scientific_name").exceptAll(survey.species.select("scientific_name")).isEmpty()
+
+
 def test_declared_schemas_parse():
     for name in W.TABLES:
         assert W.table_schema(name).fields

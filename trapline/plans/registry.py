@@ -36,6 +36,7 @@ def query(name: str, sql: str | None = None, **named: str):
 def runner(entry: NamedQuery) -> Callable[[SparkSession, str], DataFrame]:
     def start(spark: SparkSession, folder: str) -> DataFrame:
         apply_adaptive(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # survey times are wall-clock times without a zone
         return entry.run(Survey(spark, folder))
 
     return start

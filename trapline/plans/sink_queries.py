@@ -17,12 +17,10 @@ def _folder(s, name: str) -> str:
     return W.fresh_folder(shared_folder(s.spark), name)
 
 
-@query("s1_table_scan", "SELECT id, observation_id, upload_batch_id, original_filename, captured_at, status, is_favorite FROM photos")
+@query("s1_table_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders")
 def table_scan(s):
-    folder = _folder(s, "tables")
-    W.replace_table(s.photos, f"{folder}/photos")
-    stored = W.read_table(s.spark, folder, "photos")
-    return stored.select("id", "observation_id", "upload_batch_id", "original_filename", "captured_at", "status", "is_favorite")
+    columns = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderdate TIMESTAMP_NTZ"
+    return W.scan(s.spark, f"{s.folder}/orders.parquet", columns)
 
 
 @query(
@@ -40,9 +38,7 @@ def occurrence_csv(s):
 
 @query("s7_file_listing")
 def file_listing(s):
-    path = _folder(s, "files")
-    s.photos.select("id").write.parquet(path)
-    return W.list_files(s.spark, path, "*.parquet").select("name", "length")
+    return W.list_files(s.spark, s.folder, "*.parquet").select("name", "length")
 
 
 @query("s8_replaced_activity", "SELECT * FROM activity", **ACTIVITY)

@@ -57,9 +57,14 @@ def table_schema(name: str) -> T.StructType:
     return _schema(TABLES[name])
 
 
+def scan(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Parquet files read with a declared schema (DDL); nothing is inferred, and only these columns are read."""
+    return spark.read.schema(_schema(columns)).parquet(path)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored survey table with its declared schema."""
-    return spark.read.schema(table_schema(name)).parquet(f"{folder.rstrip('/')}/{name}")
+    return scan(spark, f"{folder.rstrip('/')}/{name}", TABLES[name])
 
 
 def read_jdbc_table(spark: SparkSession, name: str, url: str, key: str, low: int, high: int, parts: int, **options) -> DataFrame:
