@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import bpe, chat, decontamination, exact_dedup, language_id, quality, url_templates
+from trapline.llm import bpe, chat, decontamination, exact_dedup, language_id, quality, substring_dedup, url_templates
 from trapline.llm.shared import read, remainder
 
 #: Rules of the url query.
@@ -52,6 +52,11 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(read(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
@@ -70,7 +75,7 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_decontamination, op2_language_id, op5_bpe, op6_chat_format, op8_quality, op9_exact_dedup, op10_url_templates)
+    for q in (op1_decontamination, op2_language_id, op5_bpe, op6_chat_format, op7_substring_dedup, op8_quality, op9_exact_dedup, op10_url_templates)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,6 +107,15 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(3 + sum(17 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id""",
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT win, min(doc_id) AS first_id FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS pos FROM windows x JOIN firsts f ON f.win = x.win AND f.first_id < x.doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.pos) AS kept, count(*) AS n FROM words k ANTI JOIN gone g ON g.doc_id = k.doc_id AND g.pos = k.pos GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
     "op9_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)

@@ -162,16 +162,9 @@ def unpacked(blob: bytes, count: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def packed_sorted(values: np.ndarray) -> bytes:
-    """Ascending values as the steps between them."""
-    return packed(np.diff(values, prepend=np.uint64(0)))
+def packed_bits(mask: np.ndarray) -> bytes:
+    return np.packbits(mask).tobytes()
 
 
-def unpacked_sorted(blob: bytes, count: int) -> np.ndarray:
-    return np.cumsum(unpacked(blob, count), dtype=np.uint64)
-
-
-def bucket_bounds(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of the 64-bit space begins in ascending ``values``; one more entry for the end."""
-    step = (1 << 64) // buckets
-    return np.concatenate([np.searchsorted(values, np.array([i * step for i in range(buckets)], np.uint64)), [len(values)]])
+def unpacked_bits(blob: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8), count=count).astype(bool)
