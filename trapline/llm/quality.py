@@ -1,7 +1,8 @@
 """Quality classifier: nearest labelled texts by cosine in a latent space vote, each with the weight of its similarity.
 
 A text's features are how often each of ``BUCKETS`` hashed byte trigrams occurs (logarithm, times inverse document frequency in the
-sample) and some shares of its form: distinct trigrams, capitals, digits, punctuation, breaks. A truncated singular value decomposition of
+sample) and some shares of its form: distinct trigrams, capitals, digits, punctuation, blanks, breaks, words equal
+to the one before. A truncated singular value decomposition of
 the sample's features gives ``RANK`` directions; the sample's texts in that space are broadcast, and the cosine products of every document
 with all of them are computed in blocks. The ``NEIGHBOURS`` most similar vote; ties in similarity go to the first in sample order.
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.words import mixed, row_slices, utf8
+from trapline.llm.words import Words, blank_separated, mixed, row_slices, utf8
 
 BUCKETS = 2048
 RANK = 64
@@ -24,7 +25,7 @@ NEIGHBOURS = 25
 #: Labelled texts learnt from, as an expected value for each label: a hash picks them. Bounds what is broadcast, about 1 MB.
 PER_LABEL = 1500
 CHUNK_BYTES = 2_000_000
-FORM = 6
+FORM = 7
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -44,7 +45,11 @@ def features(column: pa.Array) -> np.ndarray:
     lower = data | 0x20
     letters = ((lower >= 97) & (lower <= 122)) | (data >= 128)
     digits, blanks, breaks = (data >= 48) & (data <= 57), data == 32, data == 10
-    form = [(out[:, :BUCKETS] > 0).sum(1) / np.maximum(1, np.minimum(total, BUCKETS)), share((data >= 65) & (data <= 90)), share(digits), share(~letters & ~digits & ~blanks & ~breaks), share(blanks), share(breaks)]
+    words = Words(data, offsets, blank_separated())
+    hashes = words.hashes()
+    again = words.doc[1:][(hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])]
+    repeats = np.bincount(again, minlength=len(column)) / np.maximum(1, np.diff(words.first))
+    form = [(out[:, :BUCKETS] > 0).sum(1) / np.maximum(1, np.minimum(total, BUCKETS)), share((data >= 65) & (data <= 90)), share(digits), share(~letters & ~digits & ~blanks & ~breaks), share(blanks), share(breaks), repeats]
     out[:, BUCKETS:] = np.stack(form, 1)
     return out
 
@@ -53,7 +58,7 @@ def weighted(raw: np.ndarray, idf: np.ndarray, form: np.ndarray) -> np.ndarray:
     """Unit vectors of trigrams beside the shares of form in units of their spread."""
     grams = np.log1p(raw[:, :BUCKETS]) * idf
     grams /= np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-12)
-    return np.concatenate([grams, np.clip((raw[:, BUCKETS:] - form[0]) / form[1], -4, 4) * 0.15], axis=1).astype(np.float32)
+    return np.concatenate([grams, np.clip((raw[:, BUCKETS:] - form[0]) / form[1], -4, 4) * 0.3], axis=1).astype(np.float32)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
