@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import bpe, chat, decontamination, exact_dedup, language_id, quality, substring_dedup, url_templates
+from trapline.llm import bpe, chat, decontamination, exact_dedup, language_id, near_dedup, quality, substring_dedup, url_templates
 from trapline.llm.shared import read, remainder
 
 #: Rules of the url query.
@@ -30,6 +30,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, folder, "documents"), size=4)
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     tokens = bpe.encode(read(spark, folder, "documents"), VOCABULARY, decoded=True)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -75,7 +79,7 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_decontamination, op2_language_id, op5_bpe, op6_chat_format, op7_substring_dedup, op8_quality, op9_exact_dedup, op10_url_templates)
+    for q in (op1_decontamination, op2_language_id, op4_near_dedup, op5_bpe, op6_chat_format, op7_substring_dedup, op8_quality, op9_exact_dedup, op10_url_templates)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,6 +102,18 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id""",
+    "op4_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + 3), ' ')) AS s FROM
+    (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT u AS id, u AS other FROM edges UNION SELECT r.id, e.v FROM reach r JOIN edges e ON e.u = r.other),
+least AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(l.component, d.doc_id) AS component_id, coalesce(l.component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least l ON l.id = d.doc_id""",
     "op6_chat_format": f"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
