@@ -7,9 +7,13 @@ the whole sequence as one. Documents with equal sets are one class, represented
 * Values that one class alone has are dropped. Of the rest each class skips its most frequent ones: a pair that agrees in at least
   ``matches`` coordinates also meets in the ``COORDINATES - matches + 1`` rarest of either, in an order common to all.
 * In each posting list the classes are first paired with the list's smallest id only. Confirmed pairs form components.
-* Lists that still hold several components are merged in blocks that fit a task: signatures of different components are compared, and
-  pairs that agree in ``matches`` coordinates and whose set sizes allow the similarity are kept.
-* All pairs are confirmed on full sets; components of what is left are found by alternating stars, with a stored table each round.
+* Lists that still hold several components are merged in blocks that fit a task: signatures of different components are compared. Classes
+  that agree in ``matches`` coordinates with one of another component, and components that such pairs join to groups, are kept, not pairs.
+* The kept classes of each group are compared on full sets, in blocks again; a block gives links enough to join what its links join.
+* Components are found by alternating stars, with a stored table each round.
+
+Every pair that is compared has either met in a posting list or lies in one group; work in a group is quadratic in the classes that are
+still apart from others there, and no task holds more than two blocks of it.
 
 ``matches`` is the largest count that a pair at the similarity misses with a probability below ``MISS``. Empty and null texts have no set
 and are linked with nothing, like rows with a null id. Rows of equal id are judged each. Other columns play no part.
@@ -121,33 +125,97 @@ def prefixes(posted: DataFrame, matches: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= F.col("all") - (matches - 1)).select("key", "id", "n")
 
 
-def block_pairs(lists: DataFrame, classes: DataFrame, matches: int, similarity: float) -> DataFrame:
-    """(a, b) with a < b: classes of one posting list and different components that agree in ``matches`` coordinates.
+def in_blocks(rows: DataFrame, key: str, id_: str) -> DataFrame:
+    """``rows`` once for each pair of blocks (low, high) of its group that it belongs to; ``own`` is its block. Groups of up to ``BLOCK`` rows
+    are one block, larger ones are cut by a hash."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(id_, key), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
 
-    A list of more than ``BLOCK`` classes is cut into blocks by a hash; each pair of blocks is one task's work.
-    """
-    sizes = lists.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = lists.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = dealt.withColumn("other", other).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    rows = spread.join(classes.select("id", "n_shingles", "signature"), "id").select("key", "low", "high", "own", "id", "component", "n_shingles", "signature")
+
+class Joined:
+    """Labels that have been joined so far, in one task."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.above.get(x, x) != x:
+            self.above[x] = self.above.get(self.above[x], self.above[x])
+            x = self.above[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether this was new."""
+        x, y = self.root(x), self.root(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+def candidates(lists: DataFrame, classes: DataFrame, matches: int, similarity: float) -> DataFrame:
+    """(a, b, touched): what posting lists show about classes of different components that agree in ``matches`` coordinates and whose sizes
+    allow the similarity. Rows with ``touched`` null join two components, at most one row for each component of a block; the others name a
+    class that has such a partner."""
+    rows = in_blocks(lists, "key", "id").join(classes.select("id", "n_shingles", "signature"), "id").select("key", "low", "high", "own", "id", "component", "n_shingles", "signature")
 
     def compare(key, table):
         _, low, high = (k.as_py() for k in key)
         ids, component, size, own = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles", "own"))
         rows = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
         first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found = []
+        touched, joined, edges = np.zeros(len(ids), bool), Joined(), []
         for i in first:
             with_ = second[(component[second] != component[i]) & (size[second] >= similarity * size[i]) & (size[i] >= similarity * size[second])]
-            if low == high:
-                with_ = with_[ids[with_] > ids[i]]
             with_ = with_[(rows[with_] == rows[i]).sum(axis=1) >= matches]
-            found.append(np.stack([np.minimum(ids[with_], ids[i]), np.maximum(ids[with_], ids[i])]))
-        pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+            if len(with_):
+                touched[i] = touched[with_] = True
+                edges += [(int(component[i]), int(c)) for c in np.unique(component[with_]) if joined.join(int(component[i]), int(c))]
+        found = ids[touched]
+        a, b = [x for x, _ in edges], [y for _, y in edges]
+        return pa.table({"a": pa.array(a + [None] * len(found), pa.int64()), "b": pa.array(b + [None] * len(found), pa.int64()), "touched": pa.array([None] * len(edges) + found.tolist(), pa.int64())})
+
+    return rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long, touched long").distinct()
 
-    return rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+def confirmed_in_groups(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between classes of different components in each group, on full sets; of all links of a block, enough to join what they join.
+
+    ``members`` has group, id, component, n and packed.
+    """
+    rows = in_blocks(members, "group", "id").select("group", "low", "high", "own", "id", "component", "n", "packed")
+    per_cent = round(similarity * 100)
+
+    def compare(key, table):
+        _, low, high = (k.as_py() for k in key)
+        ids, component, size, own = (table.column(c).to_numpy() for c in ("id", "component", "n", "own"))
+        sets = [np.cumsum(unpacked(blob, n), dtype=np.uint64) for blob, n in zip(table.column("packed").to_pylist(), size.tolist())]
+        first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        both = intersections(sets, first, second)
+        close = (100 * both >= per_cent * (size[first][:, None] + size[second][None, :] - both)) & (component[first][:, None] != component[second][None, :])
+        joined = Joined()
+        links = [(int(ids[first[i]]), int(ids[second[j]])) for i, j in zip(*np.nonzero(close)) if joined.join(int(component[first[i]]), int(component[second[j]]))]
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return rows.groupBy("group", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each of the ``first`` sets with each of the ``second``."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    renumbered = np.cumsum(counts > 1) - 1
+    owner, column = owner[shared], renumbered[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out, width, total = np.zeros((len(first), len(second)), np.float64), 8192, int((counts > 1).sum())
+    for low in range(0, total, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        part = np.zeros((len(sets), min(width, total - low)), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        out += part[first] @ part[second].T
+    return out
 
 
 def set_table(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -224,10 +292,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     found = components(links)
     placed = lists.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_lists = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = placed.join(mixed_lists, "key")
-    more = block_pairs(rest, classes, matches, similarity).join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(more, sets, similarity))
+    several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
+    near = stored(candidates(placed.join(several, "key"), classes, matches, similarity))
+    groups = components(near.filter("touched is null").select("a", "b"))
+    touched = near.filter("touched is not null").select(F.col("touched").alias("id")).distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = touched.join(groups.select(F.col("id").alias("component"), F.col("component").alias("group")), "component").join(sets, "id")
+    links = links.unionByName(stored(confirmed_in_groups(members, similarity)))
     found = components(links)
 
     members = filled.select("doc_id", "digest").distinct().join(first, "digest").join(found, "id", "left")
