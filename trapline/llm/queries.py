@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import bpe, chat, decontamination, exact_dedup, language_id, near_dedup, quality, substring_dedup, url_templates
+from trapline.llm import bpe, chat, decontamination, exact_dedup, language_id, language_model, near_dedup, quality, substring_dedup, url_templates
 from trapline.llm.shared import read, remainder
 
 #: Rules of the url query.
@@ -30,6 +30,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = read(spark, folder, "documents"), F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+    return language_model.score(docs, language_model.train(docs, learn=~held), held)
+
+
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, folder, "documents"), size=4)
 
@@ -79,7 +84,7 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_decontamination, op2_language_id, op4_near_dedup, op5_bpe, op6_chat_format, op7_substring_dedup, op8_quality, op9_exact_dedup, op10_url_templates)
+    for q in (op1_decontamination, op2_language_id, op3_language_model, op4_near_dedup, op5_bpe, op6_chat_format, op7_substring_dedup, op8_quality, op9_exact_dedup, op10_url_templates)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -44,10 +44,11 @@ def batch_count(df: DataFrame, text: str, batch_bytes: int = BATCH_BYTES) -> int
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // batch_bytes), 1)
 
 
-def with_batch(df: DataFrame, doc_id: str, text: str, batches: int) -> DataFrame:
-    """(doc_id, text, batch): rows are dealt out by a hash of the id, so a batch is the same whenever it is built again."""
+def with_batch(df: DataFrame, doc_id: str, text: str, batches: int, *more: str) -> DataFrame:
+    """(doc_id, text, batch) and ``more`` columns: rows are dealt out by a hash of the id, so a batch is the same whenever it is built again."""
     return df.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
         F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit(11)), F.lit(batches)).cast("int").alias("batch"),
+        *more,
     )
