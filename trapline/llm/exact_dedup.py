@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.llm.shared import free_name, stored
+from trapline.llm.words import utf8
 
 #: Counters of the filter. The filter that is broadcast has a bit for each, so 8 MiB whatever the input's size; beyond some ten
 #: million documents more and more rows without a copy are shuffled too, and results stay the same.
@@ -27,12 +28,17 @@ def text_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def digest(batches):
         for batch in batches:
-            found = [hashlib.sha256((t.as_buffer().to_pybytes() if t.is_valid else b"").lower()).digest() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha256_of(batch.column(1)), pa.binary())], ["doc_id", "digest"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(digest, "doc_id long, digest binary")
 
 
+def sha256_of(column: pa.Array) -> list[bytes]:
+    """Digest of each text in lower case; null counts as empty."""
+    data, offsets = utf8(column)
+    return [hashlib.sha256(data[a:b].tobytes().lower()).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def slots_of(digests: pa.Array, slots: int) -> np.ndarray:
     """Two counters for each digest, as an array of two rows."""
     if not len(digests):
@@ -67,28 +73,49 @@ def repeat_filter(digests: DataFrame, slots: int = SLOTS) -> np.ndarray:
     return bits
 
 
-def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest), a row for each row of ``docs``."""
-    digests = stored(text_digests(docs, doc_id, text))
-    bits = docs.sparkSession.sparkContext.broadcast(repeat_filter(digests, slots))
+def flagged(rows: DataFrame, digest: str, bits: np.ndarray, slots: int, flag: str) -> DataFrame:
+    """Second pass: ``rows`` with a column that says whether the digest may repeat."""
+    shared, at = rows.sparkSession.sparkContext.broadcast(bits), rows.columns.index(digest)
+    names = [*rows.columns, flag]
 
-    def flag(batches):
+    def mark(batches):
         for batch in batches:
-            at = slots_of(batch.column("digest"), slots)
-            hit = ((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], ["doc_id", "digest", "maybe"])
+            own = slots_of(batch.column(at), slots)
+            hit = ((shared.value[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names)
 
-    flagged = digests.mapInArrow(flag, "doc_id long, digest binary, maybe boolean")
-    repeats = flagged.filter("maybe").drop("maybe")
+    return rows.mapInArrow(mark, rows.schema.add(flag, "boolean"))
+
+
+def marked(digests: DataFrame, bits: np.ndarray, slots: int) -> DataFrame:
+    rows = flagged(digests, "digest", bits, slots, "maybe")
+    repeats = rows.filter("maybe").drop("maybe")
     groups = repeats.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"]
     settled = repeats.join(groups, "digest").select(columns)
-    single = flagged.filter(~F.col("maybe")).withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")}).select(columns)
+    single = rows.filter(~F.col("maybe")).withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")}).select(columns)
     return single.unionByName(settled)
 
 
+def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest), a row for each row of ``docs``."""
+    digests = stored(text_digests(docs, doc_id, text))
+    return marked(digests, repeat_filter(digests, slots), slots)
+
+
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = free_name(docs, "dropped_id")
-    dropped = mark_copies(docs, doc_id, text, slots).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(dropped, F.col(doc_id).cast("long").eqNullSafe(F.col(gone)), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns. Rows that the filter lets through are not shuffled."""
+    digests = stored(text_digests(docs, doc_id, text))
+    bits = repeat_filter(digests, slots)
+    gone, own, maybe = (free_name(docs, name) for name in ("dropped_id", "own_digest", "may_repeat"))
+    dropped = marked(digests, bits, slots).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    at, schema = docs.columns.index(text), docs.schema.add(own, "binary")
+
+    def digest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha256_of(batch.column(at)), pa.binary())], [*batch.schema.names, own])
+
+    rows = flagged(docs.mapInArrow(digest, schema), own, bits, slots, maybe)
+    through = rows.filter(~F.col(maybe)).select(docs.columns)
+    rest = rows.filter(F.col(maybe)).join(dropped, F.col(doc_id).cast("long").eqNullSafe(F.col(gone)), "left_anti").select(docs.columns)
+    return through.unionByName(rest)
