@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapline.llm.shared import free_name, stored
 from trapline.llm.words import utf8
@@ -84,7 +85,7 @@ def flagged(rows: DataFrame, digest: str, bits: np.ndarray, slots: int, flag: st
             hit = ((shared.value[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names)
 
-    return rows.mapInArrow(mark, rows.schema.add(flag, "boolean"))
+    return rows.mapInArrow(mark, T.StructType([*rows.schema, T.StructField(flag, T.BooleanType())]))
 
 
 def marked(digests: DataFrame, bits: np.ndarray, slots: int) -> DataFrame:
@@ -109,7 +110,7 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slo
     bits = repeat_filter(digests, slots)
     gone, own, maybe = (free_name(docs, name) for name in ("dropped_id", "own_digest", "may_repeat"))
     dropped = marked(digests, bits, slots).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    at, schema = docs.columns.index(text), docs.schema.add(own, "binary")
+    at, schema = docs.columns.index(text), T.StructType([*docs.schema, T.StructField(own, T.BinaryType())])
 
     def digest(batches):
         for batch in batches:
