@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trapline.llm.words import row_slices, text_array, utf8
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 3_000_000
 #: Most merges of a vocabulary that may be broadcast.
 LARGEST = 2_000_000
 

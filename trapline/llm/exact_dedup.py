@@ -40,11 +40,11 @@ def sha256_of(column: pa.Array) -> list[bytes]:
     return [hashlib.sha256(data[a:b].tobytes().lower()).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def slots_of(digests: pa.Array, slots: int) -> np.ndarray:
+def slots_of(digests: list[bytes], slots: int) -> np.ndarray:
     """Two counters for each digest, as an array of two rows."""
-    if not len(digests):
+    if not digests:
         return np.zeros((2, 0), np.int64)
-    values = np.frombuffer(b"".join(digests.to_pylist()), np.uint64).reshape(len(digests), 4)
+    values = np.frombuffer(b"".join(digests), np.uint64).reshape(len(digests), 4)
     return (values[:, :2].T % np.uint64(slots)).astype(np.int64)
 
 
@@ -54,7 +54,7 @@ def repeat_filter(digests: DataFrame, slots: int = SLOTS) -> np.ndarray:
 
     def own(batches):
         for batch in batches:
-            hit = np.sort(slots_of(batch.column(0), slots).ravel())
+            hit = np.sort(slots_of(batch.column(0).to_pylist(), slots).ravel())
             kinds, at = np.unique(hit // segment, return_index=True)
             parts = np.split(hit % segment, at[1:])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], ["segment", "hit"])
@@ -74,22 +74,21 @@ def repeat_filter(digests: DataFrame, slots: int = SLOTS) -> np.ndarray:
     return bits
 
 
-def flagged(rows: DataFrame, digest: str, bits: np.ndarray, slots: int, flag: str) -> DataFrame:
-    """Second pass: ``rows`` with a column that says whether the digest may repeat."""
-    shared, at = rows.sparkSession.sparkContext.broadcast(bits), rows.columns.index(digest)
-    names = [*rows.columns, flag]
+def may_repeat(digests: list[bytes], bits: np.ndarray, slots: int) -> np.ndarray:
+    """Second pass: whether each digest may repeat."""
+    at = slots_of(digests, slots)
+    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
 
-    def mark(batches):
-        for batch in batches:
-            own = slots_of(batch.column(at), slots)
-            hit = ((shared.value[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names)
 
-    return rows.mapInArrow(mark, T.StructType([*rows.schema, T.StructField(flag, T.BooleanType())]))
+def marked(digests: DataFrame, bits: np.ndarray, slots: int) -> DataFrame:
+    shared = digests.sparkSession.sparkContext.broadcast(bits)
 
+    def flag(batches):
+        for batch in batches:
+            hit = may_repeat(batch.column(1).to_pylist(), shared.value, slots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], ["doc_id", "digest", "maybe"])
 
-def marked(digests: DataFrame, bits: np.ndarray, slots: int) -> DataFrame:
-    rows = flagged(digests, "digest", bits, slots, "maybe")
+    rows = digests.mapInArrow(flag, "doc_id long, digest binary, maybe boolean")
     repeats = rows.filter("maybe").drop("maybe")
     groups = repeats.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"]
@@ -108,15 +107,17 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slo
     """The rows of ``docs`` that stay, with all their columns. Rows that the filter lets through are not shuffled."""
     digests = stored(text_digests(docs, doc_id, text))
     bits = repeat_filter(digests, slots)
-    gone, own, maybe = (free_name(docs, name) for name in ("dropped_id", "own_digest", "may_repeat"))
+    gone, maybe = (free_name(docs, name) for name in ("dropped_id", "may_repeat"))
     dropped = marked(digests, bits, slots).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    at, schema = docs.columns.index(text), T.StructType([*docs.schema, T.StructField(own, T.BinaryType())])
+    at, names = docs.columns.index(text), [*docs.columns, maybe]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def digest(batches):
+    def flag(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha256_of(batch.column(at)), pa.binary())], [*batch.schema.names, own])
+            hit = may_repeat(sha256_of(batch.column(at)), shared.value, slots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names)
 
-    rows = flagged(docs.mapInArrow(digest, schema), own, bits, slots, maybe)
+    rows = docs.mapInArrow(flag, T.StructType([*docs.schema, T.StructField(maybe, T.BooleanType())]))
     through = rows.filter(~F.col(maybe)).select(docs.columns)
     rest = rows.filter(F.col(maybe)).join(dropped, F.col(doc_id).cast("long").eqNullSafe(F.col(gone)), "left_anti").select(docs.columns)
     return through.unionByName(rest)
