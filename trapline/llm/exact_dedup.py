@@ -107,17 +107,18 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slo
     """The rows of ``docs`` that stay, with all their columns. Rows that the filter lets through are not shuffled."""
     digests = stored(text_digests(docs, doc_id, text))
     bits = repeat_filter(digests, slots)
-    gone, maybe = (free_name(docs, name) for name in ("dropped_id", "may_repeat"))
-    dropped = marked(digests, bits, slots).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    at, names = docs.columns.index(text), [*docs.columns, maybe]
+    gone, of, own, maybe = (free_name(docs, name) for name in ("dropped_id", "dropped_digest", "own_digest", "may_repeat"))
+    dropped = marked(digests, bits, slots).filter(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("digest").alias(of)).distinct()
+    at, names = docs.columns.index(text), [*docs.columns, own, maybe]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def flag(batches):
         for batch in batches:
-            hit = may_repeat(sha256_of(batch.column(at)), shared.value, slots)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names)
+            found = sha256_of(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary()), pa.array(may_repeat(found, shared.value, slots))], names)
 
-    rows = docs.mapInArrow(flag, T.StructType([*docs.schema, T.StructField(maybe, T.BooleanType())]))
+    rows = docs.mapInArrow(flag, T.StructType([*docs.schema, T.StructField(own, T.BinaryType()), T.StructField(maybe, T.BooleanType())]))
     through = rows.filter(~F.col(maybe)).select(docs.columns)
-    rest = rows.filter(F.col(maybe)).join(dropped, F.col(doc_id).cast("long").eqNullSafe(F.col(gone)), "left_anti").select(docs.columns)
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(gone)) & (F.col(own) == F.col(of))
+    rest = rows.filter(F.col(maybe)).join(dropped, same, "left_anti").select(docs.columns)
     return through.unionByName(rest)

@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
+    """The rows of ``docs`` that stay, one document of each component, with all their columns. Rows that share an id stay or go together."""
     gone = free_name(docs, "dropped_id")
     dropped = near_duplicates(docs, doc_id, text, size, similarity).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(dropped, F.col(doc_id).cast("long") == F.col(gone), "left_anti")
