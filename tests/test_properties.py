@@ -50,16 +50,15 @@ def plain_sessions(rows, gap):
 
 
 @pytest.mark.parametrize("seed, gap", [(1, 60), (2, 3600), (3, 1), (4, 100_000)])
-def test_hot_and_usual_sessions(spark, seed, gap):
+def test_sessions_against_a_plain_loop(spark, seed, gap):
     rows = shots(seed)
     photos = spark.createDataFrame(rows, "id long, upload_batch_id string, captured_at timestamp_ntz")
     expected = plain_sessions(rows, gap)
-    for limit in (0, 150, 1_000_000):  # all keys hot, one key hot, none hot
-        found = {r.id: (r.upload_batch_id, r.series_idx, r.sequence_number) for r in G.sessionise(photos, gap_seconds=gap, limit=limit).collect()}
-        assert found == expected
-        table = G.series_table(photos, gap_seconds=gap, limit=limit)
-        assert table.count() == len({v[:2] for v in expected.values()})
-        assert table.agg(F.sum("photo_count")).first()[0] == len(rows)
+    found = {r.id: (r.upload_batch_id, r.series_idx, r.sequence_number) for r in G.sessionise(photos, gap_seconds=gap).collect()}
+    assert found == expected
+    table = G.series_table(photos, gap_seconds=gap)
+    assert table.count() == len({v[:2] for v in expected.values()})
+    assert table.agg(F.sum("photo_count")).first()[0] == len(rows)
 
 
 def test_positions_and_neighbours(spark):
@@ -69,11 +68,14 @@ def test_positions_and_neighbours(spark):
     for n, key, at in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         order[key].append(n)
     expected = {n: i + 1 for items in order.values() for i, n in enumerate(items)}
-    for limit in (0, 150):
-        assert {r.id: r.position for r in positions(frame, ["k"], "at", "id", limit=limit).collect()} == expected
+    assert {r.id: r.position for r in positions(frame, ["k"], "at", "id").collect()} == expected
     photos = frame.select("id", F.expr("CAST(substring(k, 2) AS BIGINT)").alias("observation_id"), F.col("at").alias("captured_at"))
-    found = [sorted(map(tuple, L.series_positions(photos, limit).fillna(-1).collect())) for limit in (0, 150, 10**6)]
-    assert found[0] == found[1] == found[2]
+    shown = {r.id: (r.photo_index + 1, r.previous_id, r.next_id) for r in L.series_positions(photos).collect()}
+    beside = {}
+    for items in order.values():
+        for before, n, after in zip([None, *items], items, [*items[1:], None]):
+            beside[n] = (expected[n], before, after)
+    assert shown == beside
     ids = spark.createDataFrame([(n * 7919, "k0" if n % 3 == 0 else f"k{n % 5}") for n in range(500)], "id long, k string")
     placed = numbered(ids, ["k"], "id", "place", width=1000).collect()
     by_key = defaultdict(list)
@@ -150,12 +152,11 @@ def test_curve_replicates_do_not_depend_on_the_slices(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(1, site, rng.randrange(86_400) * 1_000_000, rng.randrange(1, 3)) for site in range(9) for _ in range(12)]
     times = spark.createDataFrame(rows, "species_id int, location_id int, us long, n long").groupBy("species_id", "location_id", "us").agg(F.sum("n").alias("n"))
-    whole = sorted(D.resampled_times(times, 12).collect())
+    curves = lambda: {tuple(r)[:4]: r.value for r in D.resampled_curves(times, 0.25, 12).select("species_id", "replicate", "points", "i", "value").collect()}
+    whole = curves()
     monkeypatch.setattr(D, "SITE_SLICE", 2)
     monkeypatch.setattr(D, "ITERATION_BLOCK", 5)
-    assert sorted(D.resampled_times(times, 12).collect()) == whole
-    totals = {r.replicate for r in D.resampled_times(times, 12).select("replicate").distinct().collect()}
-    assert totals == set(range(12))
+    assert curves() == pytest.approx(whole, rel=1e-8) and {k[1] for k in whole} == set(range(12))
 
 
 def test_overlap_matrix_is_symmetric(survey):
@@ -174,3 +175,30 @@ def test_zero_filled_activity_is_complete(survey):
     facts = activity(survey)
     months = facts.select("location_id", "year", "month").distinct().count()
     assert facts.count() == months * survey.species.where("id > 0").count()
+
+
+@pytest.mark.parametrize("bandwidth", [0.25, 0])
+def test_resampled_curves_against_plain_numpy(spark, bandwidth):
+    import hashlib
+    import math
+
+    rng = random.Random(4)
+    rows = [(sp, site, rng.randrange(86_400) * 1_000_000 + rng.randrange(10**6), rng.randrange(1, 4)) for sp in (1, 2) for site in range(3 * sp) for _ in range(5)]
+    rows += [(1, 50, 5, 1), (3, 1, 7, 1)]  # a site with one time; a species with too few
+    times = spark.createDataFrame(rows, "species_id long, location_id int, us long, n long")
+    found = {(r.species_id, r.replicate, r.i): (r.points, r.value) for r in D.resampled_curves(times, bandwidth, 40).collect()}
+    expected = {}
+    grid = np.linspace(0, 24, 128) if bandwidth else np.arange(24)
+    for species in (1, 2):
+        sites = sorted({site for sp, site, _, _ in rows if sp == species})
+        key = int(hashlib.md5(str(species).encode()).hexdigest()[:7], 16)
+        for replicate, picks in enumerate(draws(key, np.arange(40), len(sites), 1)):
+            hours = np.array([us / D.HOUR_US for p in picks for sp, site, us, n in rows if sp == species and site == sites[p] for _ in range(n)])
+            if bandwidth:
+                h = bandwidth * math.sqrt((3 * ((hours - hours.mean()) ** 2).sum() + 2 * 576 * len(hours)) / (3 * len(hours) - 1))
+                value = sum(np.exp(-0.5 * ((grid[:, None] - hours[None, :] - shift) / h) ** 2).sum(1) for shift in (-24, 0, 24)) * 100 / (len(hours) * h * math.sqrt(2 * math.pi))
+            else:
+                value = np.array([(hours // 1 == g).sum() * 100 / len(hours) for g in grid])
+            expected.update({(species, replicate, i): (len(hours), v) for i, v in enumerate(value)})
+    assert found.keys() == expected.keys()
+    assert all(found[k][0] == n and found[k][1] == pytest.approx(v, rel=1e-8, abs=1e-9) for k, (n, v) in expected.items())

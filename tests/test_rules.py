@@ -83,12 +83,11 @@ def test_quorum(spark, rows, expected):
     assert [(r.winner_species_id, r.winner_votes, r.total_votes) for r in found] == expected
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_series_gap(spark, limit):
+def test_series_gap(spark):
     photos = spark.createDataFrame([(n, "b", at(s)) for n, s in enumerate((0, 10, 70, 131, 400))], "id long, upload_batch_id string, captured_at timestamp_ntz")
-    found = {r.id: (r.series_idx, r.sequence_number) for r in G.sessionise(photos, gap_seconds=60, limit=limit).collect()}
+    found = {r.id: (r.series_idx, r.sequence_number) for r in G.sessionise(photos, gap_seconds=60).collect()}
     assert found == {0: (1, 1), 1: (1, 2), 2: (1, 3), 3: (2, 1), 4: (3, 1)}
-    sizes = sorted(r.photo_count for r in G.series_table(photos, gap_seconds=60, limit=limit).collect())
+    sizes = sorted(r.photo_count for r in G.series_table(photos, gap_seconds=60).collect())
     assert sizes == [1, 1, 3]
 
 
@@ -377,3 +376,11 @@ def test_empty_permission_exports_nothing(spark):
     assert X.OccurrenceSpec("a", "b", institutions=(9,), allowed_institutions=(1,)).narrowed_institutions() == (1,)
     assert X.OccurrenceSpec("a", "b").narrowed_institutions() is None
     assert [X.OccurrenceSpec("a", "b", minutes=m).window_minutes for m in ("7", "x", None, 0, 600)] == [7, 5, 5, 1, 60]
+
+
+def test_photos_without_a_time_count_only_between_open_bounds(spark):
+    photos = spark.createDataFrame([(1, 1, at(0)), (2, 1, None)], "id long, observation_id long, captured_at timestamp_ntz")
+    sites = spark.createDataFrame([(1, 7)], "id long, location_id int")
+    day = at(0).date()
+    held = spark.createDataFrame([(1, 7, None, None), (2, 7, None, day), (3, 7, day, None), (4, 7, day, day)], "id int, location_id int, start_date date, end_date date")
+    assert {r.id: r.photo_count for r in R.deployment_photo_counts(held, photos, sites).collect()} == {1: 2, 2: 1, 3: 1, 4: 1}

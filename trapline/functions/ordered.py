@@ -1,13 +1,13 @@
 """Ordered scans that never put a very large key into one task.
 
-Keys of usual size are scanned by one window. For a key above the limit the rows are first collapsed to one unit per second,
-units are scanned inside one day of the key (at most 86,400 units), and the days are stitched together through one summary
-row each, so a batch or series holding a large share of the table is spread over its days and seconds.
+The rows of a key are first collapsed to one unit per second, units are scanned inside one day of the key (at most 86,400
+units), and the days are stitched together through one summary row each, so a batch or series holding a large share of the
+table is spread over its days and seconds. Rows whose key is NULL belong to no key and are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,25 +16,6 @@ UNIT = "_second"
 DAY = "_day"
 
 
-# Rows of one key that a single window may hold.
-HOT_ROWS = 1_000_000
-
-Step = Callable[[DataFrame], DataFrame]
-
-
-def by_size(rows: DataFrame, keys: Sequence[str], usual: Step, hot: Step, limit: int = HOT_ROWS) -> DataFrame:
-    """Apply ``usual`` to the rows of keys up to ``limit`` rows and ``hot`` to the rest.
-
-    The list of large keys is broadcast: it has at most (rows / limit) entries. Where it is empty, which is the normal case,
-    Spark drops the second branch before it reads anything.
-    """
-    for key in keys:
-        rows = rows.where(F.col(key).isNotNull())
-    large = F.broadcast(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys))
-    few, many = rows.join(large, list(keys), "left_anti"), rows.join(large, list(keys), "left_semi")
-    return usual(few).unionByName(hot(many))
-
-
 def with_unit(rows: DataFrame, ts: str) -> DataFrame:
     return rows.withColumn(UNIT, F.date_trunc("second", F.col(ts)).cast("timestamp_ntz"))
 
@@ -93,23 +74,16 @@ def number_gaps(units: DataFrame, keys: Sequence[str], gap_seconds: int, group:
     )
 
 
-def positions(
-    rows: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str = "position", limit: int = HOT_ROWS
-) -> DataFrame:
-    """1-based chronological position of every row inside its key, ties broken by ``tie``. Rows without a key are dropped."""
-    order = Window.partitionBy(*keys).orderBy(ts, tie)
-    columns = [*rows.columns, name]
-
-    def usual(part: DataFrame) -> DataFrame:
-        return part.withColumn(name, F.row_number().over(order).cast("bigint")).select(*columns)
-
-    def hot(part: DataFrame) -> DataFrame:
-        return _stitched_positions(part, keys, ts, tie, name).select(*columns)
-
-    return by_size(rows, keys, usual, hot, limit)
+def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that have every key."""
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    return rows
 
 
-def _stitched_positions(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str) -> DataFrame:
+def positions(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str = "position") -> DataFrame:
+    """1-based chronological position of every row inside its key, ties broken by ``tie``. Rows without a key are left out."""
+    rows = keyed(rows, keys)
     units = collapse(rows, keys, ts)
     inside = Window.partitionBy(*keys, DAY).orderBy(UNIT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*keys).orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)

@@ -17,7 +17,7 @@ HOUR_US = 3_600_000_000
 GRID = 128
 RAW_BANDWIDTH = 0.001
 SITE_SLICE = 2_000
-ITERATION_BLOCK = 50
+ITERATION_BLOCK = 1_000
 
 
 def detection_times(verified: DataFrame) -> DataFrame:
@@ -105,15 +105,20 @@ def activity_curve(
     return smooth_curve(times, mode, bandwidth, effort, least)
 
 
-def resampled_times(times: DataFrame, replicates: int = 1_000, seed: int = 1, least: int = 2) -> DataFrame:
-    """Times of day of every replicate (species_id, replicate, us, n): the sites of a species drawn with replacement."""
+# Points of the bandwidth range at which kernels are worked out; a replicate's kernel is the polynomial through them. Its error is
+# below 1e-10 of the kernel's height, as bandwidths of a species differ by less than a third of their mean.
+NODES = 12
+
+
+def _resampling_tasks(times: DataFrame, replicates: int, least: int) -> tuple[DataFrame, list[str]]:
+    """Times with their site's number, per (species, slice of sites, clock hour, block of replicates)."""
     kept = times.join(_enough(times, least).select("species_id"), "species_id", "left_semi")
     sites = kept.select("species_id", "location_id").distinct()
     order = Window.partitionBy("species_id").orderBy("location_id")
     placed = sites.withColumn("site", F.row_number().over(order) - 1)
     sizes = sites.groupBy("species_id").agg(F.count(F.lit(1)).alias("sites"))
     blocks = math.ceil(replicates / ITERATION_BLOCK)
-    task = ["species_id", "slice", "clock_hour", "block"]  # times of different hours never add up
+    task = ["species_id", "slice", "clock_hour", "block"]
     rows = (
         kept.join(placed, ["species_id", "location_id"])
         .join(sizes, "species_id")
@@ -123,79 +128,140 @@ def resampled_times(times: DataFrame, replicates: int = 1_000, seed: int = 1, le
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .select(*task, "key", "sites", "site", "us", "n")
     )
-    block_size, slice_size = ITERATION_BLOCK, SITE_SLICE
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        low = int(head["slice"]) * slice_size
-        high = min(low + slice_size, int(head["sites"]))
-        first = int(head["block"]) * block_size
-        numbers = np.arange(first, min(first + block_size, replicates))
-        drawn = draw_counts(int(head["key"]), numbers, int(head["sites"]), seed, low, high)
-        clock, code = np.unique(pdf["us"].to_numpy(), return_inverse=True)
-        site, n = pdf["site"].to_numpy() - low, pdf["n"].to_numpy()
-        parts = []
-        for row, number in enumerate(numbers):
-            weight = np.bincount(code, weights=drawn[row, site] * n, minlength=len(clock))
-            hit = np.flatnonzero(weight)
-            parts.append(pd.DataFrame({"replicate": number, "us": clock[hit], "n": weight[hit].astype(np.int64)}))
-        return pd.concat(parts).assign(species_id=head["species_id"])[["species_id", "replicate", "us", "n"]]
-
-    partial = spread(rows, *task).groupBy(*task).applyInPandas(
-        resample, "species_id bigint, replicate bigint, us bigint, n bigint"
-    )
-    return partial.groupBy("species_id", "replicate", "us").agg(F.sum("n").alias("n"))
+    return spread(rows, *task), task
 
 
-def _raw_replicates(drawn: DataFrame) -> DataFrame:
-    counts = drawn.groupBy("species_id", "replicate", F.floor(F.col("us") / HOUR_US).cast("int").alias("i")).agg(
-        F.sum("n").alias("n")
-    )
-    totals = counts.groupBy("species_id", "replicate").agg(F.sum("n").alias("points"))
-    grid = totals.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    return grid.join(counts, ["species_id", "replicate", "i"], "left").select(
-        "species_id", "replicate", "points", "i", F.col("i").cast("double").alias("hour"),
-        (F.coalesce("n", F.lit(0)) * 100.0 / F.greatest(F.lit(1), F.col("points"))).alias("value"),
-    )
+def _drawn(pdf: pd.DataFrame, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each site of a task is drawn in each replicate, the sites' rows in it, and the replicates' numbers."""
+    head = pdf.iloc[0]
+    low = int(head["slice"]) * SITE_SLICE
+    high = min(low + SITE_SLICE, int(head["sites"]))
+    first = int(head["block"]) * ITERATION_BLOCK
+    numbers = np.arange(first, min(first + ITERATION_BLOCK, replicates))
+    return draw_counts(int(head["key"]), numbers, int(head["sites"]), seed, low, high), pdf["site"].to_numpy() - low, numbers
+
+
+def _sums(pdf: pd.DataFrame, **arrays: np.ndarray) -> pd.DataFrame:
+    """One row of a task: its species, block of replicates and arrays."""
+    return pd.DataFrame({"species_id": [pdf["species_id"].iloc[0]], "block": [pdf["block"].iloc[0]], **{k: [v] for k, v in arrays.items()}})
 
 
-def _smooth_replicates(drawn: DataFrame, bandwidth: float) -> DataFrame:
-    grid = np.linspace(0, 24, GRID)
+def _widths(tasks: DataFrame, task: list[str], bandwidth: float, replicates: int, seed: int) -> DataFrame:
+    """(species_id, block, points, h): the number of times and the bandwidth of every replicate, 0 with fewer than two times.
+    Numbers, sums and sums of squares are added over the tasks."""
 
-    def density(pdf: pd.DataFrame) -> pd.DataFrame:
+    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
+        drawn, site, _ = _drawn(pdf, replicates, seed)
         hours, n = pdf["us"].to_numpy() / HOUR_US, pdf["n"].to_numpy().astype(float)
-        points = n.sum()
-        if points < 2:
-            return pd.DataFrame({"species_id": [], "replicate": [], "points": [], "i": [], "hour": [], "value": []})
-        squares = (n * (hours - (n * hours).sum() / points) ** 2).sum()
-        h = bandwidth * math.sqrt((3 * squares + 2 * 24.0 * 24.0 * points) / (3 * points - 1))
-        total = np.zeros(GRID)
-        for at in range(0, len(hours), 20_000):  # bounded memory per step
-            for shift in (-24.0, 0.0, 24.0):
-                z = (grid[:, None] - (hours[at : at + 20_000] + shift)[None, :]) / h
-                total += np.exp(-0.5 * z * z) @ n[at : at + 20_000]
+        table = np.stack([np.bincount(site, n * hours**p, drawn.shape[1]) for p in range(3)], axis=1)
+        return _sums(pdf, moments=(drawn @ table).ravel())
+
+    def widths(pdf: pd.DataFrame) -> pd.DataFrame:
+        points, total, squares = np.sum(np.stack(pdf["moments"].to_list()), axis=0).reshape(-1, 3).T
+        many = np.maximum(points, 2)
+        spread_ = np.maximum(squares - total * total / np.maximum(points, 1), 0)
+        h = bandwidth * np.sqrt((3 * spread_ + 2 * 24.0 * 24.0 * many) / (3 * many - 1))
+        return _sums(pdf, points=points, h=np.where(points >= 2, h, 0.0))
+
+    partial = tasks.groupBy(*task).applyInPandas(moments, "species_id bigint, block int, moments array<double>")
+    return partial.groupBy("species_id", "block").applyInPandas(widths, "species_id bigint, block int, points array<double>, h array<double>")
+
+
+def _long(partial: DataFrame, width: int) -> DataFrame:
+    """Curves of all replicates from what the tasks have added up: (species_id, replicate, points, i, hour, value)."""
+    hours = np.linspace(0, 24, width) if width == GRID else np.arange(width, dtype=float)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        value = np.sum(np.stack(pdf["value"].to_list()), axis=0)
+        points = np.round(pdf["points"].iloc[0]).astype(np.int64) if width == GRID else np.round(value.reshape(-1, width).sum(axis=1)).astype(np.int64)
+        if width != GRID:
+            value = np.round(value) * 100.0 / np.repeat(np.maximum(points, 1), width)
+        first = int(pdf["block"].iloc[0]) * ITERATION_BLOCK
         return pd.DataFrame(
             {
                 "species_id": pdf["species_id"].iloc[0],
-                "replicate": pdf["replicate"].iloc[0],
-                "points": int(points),
-                "i": np.arange(GRID, dtype=np.int32),
-                "hour": grid,
-                "value": total / (points * h * math.sqrt(2 * math.pi)) * 100.0,
+                "replicate": np.repeat(first + np.arange(len(points)), width),
+                "points": np.repeat(points, width),
+                "i": np.tile(np.arange(width, dtype=np.int32), len(points)),
+                "hour": np.tile(hours, len(points)),
+                "value": value,
             }
         )
 
     schema = "species_id bigint, replicate bigint, points bigint, i int, hour double, value double"
-    return spread(drawn, "species_id", "replicate").groupBy("species_id", "replicate").applyInPandas(density, schema)
+    return partial.groupBy("species_id", "block").applyInPandas(finish, schema)
+
+
+def _raw_replicates(tasks: DataFrame, task: list[str], replicates: int, seed: int) -> DataFrame:
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        drawn, site, _ = _drawn(pdf, replicates, seed)
+        hour, n = (pdf["us"].to_numpy() // HOUR_US).astype(int), pdf["n"].to_numpy().astype(float)
+        bins = np.bincount(site * 24 + hour, n, drawn.shape[1] * 24).reshape(-1, 24)
+        return _sums(pdf, value=(drawn @ bins).ravel())
+
+    return _long(tasks.groupBy(*task).applyInPandas(count, "species_id bigint, block int, value array<double>"), 24)
+
+
+def _smooth_replicates(tasks: DataFrame, task: list[str], bandwidth: float, replicates: int, seed: int) -> DataFrame:
+    """Each task gets the replicates' bandwidths and adds its own times' kernels; only sums leave it."""
+    widths = _widths(tasks, task, bandwidth, replicates, seed)
+    for_task = tasks.select(*task).distinct().join(widths, ["species_id", "block"])
+    renamed = for_task.select(*[F.col(c).alias(f"{c}_of") for c in task], "points", "h")
+
+    def kernels(pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        drawn, site, _ = _drawn(pdf, replicates, seed)
+        points, h = (np.asarray(more[c].iloc[0], float) for c in ("points", "h"))
+        used, value = h > 0, np.zeros((len(h), GRID))
+        if used.any():
+            inverse = 1 / h[used] ** 2
+            low, high = inverse.min(), inverse.max()
+            places = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
+            nodes = (low + high) / 2 + max(high - low, 1e-6 * high) / 2 * places
+            for node, weight in zip(nodes, lagrange(nodes, inverse)):
+                value[used] += weight[:, None] * (drawn[used] @ site_kernels(pdf, site, drawn.shape[1], node))
+            value[used] *= 100.0 / (points[used] * h[used] * math.sqrt(2 * math.pi))[:, None]
+        return _sums(pdf, points=points, value=value.ravel())
+
+    partial = (
+        tasks.groupBy(*task)
+        .cogroup(renamed.groupBy(*[f"{c}_of" for c in task]))
+        .applyInPandas(kernels, "species_id bigint, block int, points array<double>, value array<double>")
+    )
+    return _long(partial, GRID).where("points >= 2")
+
+
+def lagrange(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Weight of each node in the polynomial through all of them, at every x."""
+    out = np.ones((len(nodes), len(x)))
+    for i, own in enumerate(nodes):
+        for other in np.delete(nodes, i):
+            out[i] *= (x - other) / (own - other)
+    return out
+
+
+def site_kernels(pdf: pd.DataFrame, site: np.ndarray, sites: int, inverse: float) -> np.ndarray:
+    """Kernel sums of each site at every grid point, with 1 / bandwidth squared given."""
+    grid, hours, n = np.linspace(0, 24, GRID), pdf["us"].to_numpy() / HOUR_US, pdf["n"].to_numpy().astype(float)
+    out = np.zeros((sites, GRID))
+    for at in range(0, len(hours), 20_000):  # bounded memory per step
+        part = slice(at, at + 20_000)
+        away = hours[part, None] - grid[None, :]
+        kernel = sum(np.exp(-0.5 * inverse * (away + shift) ** 2) for shift in (-24.0, 0.0, 24.0)) * n[part, None]
+        np.add.at(out, site[part], kernel)
+    return out
 
 
 def resampled_curves(times: DataFrame, bandwidth: float = 0.1, replicates: int = 1_000, seed: int = 1, least: int = 5) -> DataFrame:
-    """Percent curve of every replicate: (species_id, replicate, points, i, hour, value). Smoothed replicates with fewer
-    than two points are left out, and the rest is numbered without holes."""
-    drawn = resampled_times(times, replicates, seed, least)
+    """Percent curve of every replicate: (species_id, replicate, points, i, hour, value), the sites of a species drawn with
+    replacement. Smoothed replicates with fewer than two points are left out, and the rest is numbered without holes.
+
+    Moments and kernel sums are additive: a task holds the times of one species, slice of sites, clock hour and block of
+    replicates, and only its sums are shuffled. ``times`` is read twice and should be a stored table.
+    """
+    tasks, task = _resampling_tasks(times, replicates, least)
     if bandwidth <= RAW_BANDWIDTH:
-        return _raw_replicates(drawn)
-    curves = _smooth_replicates(drawn, bandwidth)
+        return _raw_replicates(tasks, task, replicates, seed)
+    curves = _smooth_replicates(tasks, task, bandwidth, replicates, seed)
     order = Window.partitionBy("species_id", "i").orderBy("replicate")
     return curves.withColumn("replicate", (F.row_number().over(order) - 1).cast("bigint"))
 

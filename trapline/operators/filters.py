@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.functions.names import bracketed_label
-from trapline.functions.ordered import HOT_ROWS, by_size, numbered, positions
+from trapline.functions.ordered import numbered, positions
 from trapline.operators.scope import Viewer
 from trapline.sources.starschema import QC_BOOLEAN_FLAGS, QC_TEXT_FLAG
 
@@ -243,30 +243,18 @@ def duplicate_sites(new: DataFrame, locations: DataFrame) -> DataFrame:
     return new.select("*", *site_point()).join(stored, ["_latitude", "_longitude"], "left").drop("_latitude", "_longitude")
 
 
-def series_positions(photos: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
-    """0-based chronological index of each photo in its series, with the neighbouring photos."""
-    order = Window.partitionBy("observation_id").orderBy("captured_at", "id")
-    columns = ["id", "observation_id", "photo_index", "previous_id", "next_id"]
-
-    def usual(part: DataFrame) -> DataFrame:
-        return part.select(
-            "id",
-            "observation_id",
-            (F.row_number().over(order) - 1).cast("bigint").alias("photo_index"),
-            F.lag("id").over(order).alias("previous_id"),
-            F.lead("id").over(order).alias("next_id"),
-        )
-
-    def hot(part: DataFrame) -> DataFrame:
-        placed = positions(part, ["observation_id"], "captured_at", "id", limit=0).select(
-            "id", "observation_id", (F.col("position") - 1).alias("photo_index")
-        )
-        keys = ["observation_id", "photo_index"]
-        before = placed.select("observation_id", (F.col("photo_index") + 1).alias("photo_index"), F.col("id").alias("previous_id"))
-        after = placed.select("observation_id", (F.col("photo_index") - 1).alias("photo_index"), F.col("id").alias("next_id"))
-        return placed.join(before, keys, "left").join(after, keys, "left").select(*columns)
-
-    return by_size(photos.select("id", "observation_id", "captured_at"), ["observation_id"], usual, hot, limit)
+def series_positions(photos: DataFrame) -> DataFrame:
+    """0-based chronological index of each photo in its series, with the neighbouring photos. Photos without a series are left out."""
+    rows = photos.select("id", "observation_id", "captured_at")
+    placed = positions(rows, ["observation_id"], "captured_at", "id").select(
+        "id", "observation_id", (F.col("position") - 1).alias("photo_index")
+    )
+    keys = ["observation_id", "photo_index"]
+    before = placed.select("observation_id", (F.col("photo_index") + 1).alias("photo_index"), F.col("id").alias("previous_id"))
+    after = placed.select("observation_id", (F.col("photo_index") - 1).alias("photo_index"), F.col("id").alias("next_id"))
+    return placed.join(before, keys, "left").join(after, keys, "left").select(
+        "id", "observation_id", "photo_index", "previous_id", "next_id"
+    )
 
 
 def clean_visits(raw: DataFrame) -> DataFrame:

@@ -443,7 +443,8 @@ def batch_statistics(photos: DataFrame, batches: DataFrame, now: str) -> DataFra
 
 
 def deployment_photo_counts(deployments: DataFrame, photos: DataFrame, observations: DataFrame) -> DataFrame:
-    """Photos at the site inside each deployment; a missing bound is open.
+    """Photos at the site inside each deployment; a missing bound is open. A photo without a time lies inside only where both
+    bounds are missing.
 
     Photos are first counted per site and day and summed up along the calendar of the site, so a deployment needs the
     running total at two days instead of a join to every photo day.
@@ -458,18 +459,22 @@ def deployment_photo_counts(deployments: DataFrame, photos: DataFrame, observati
     marks = held.where("start_date IS NOT NULL").select("location_id", F.date_sub("start_date", 1).alias("day")).unionByName(
         held.where("end_date IS NOT NULL").select("location_id", F.col("end_date").alias("day"))
     )
-    known = daily.unionByName(marks.distinct().withColumn("n", F.lit(0).cast("bigint")))
+    known = daily.where("day IS NOT NULL").unionByName(marks.distinct().withColumn("n", F.lit(0).cast("bigint")))
     running = Window.partitionBy("location_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = (
         known.groupBy("location_id", "day").agg(F.sum("n").alias("n"))
         .withColumn("upto", F.sum("n").over(running)).select("location_id", "day", "upto")
     )
-    whole = daily.groupBy("location_id").agg(F.sum("n").alias("_all"))
+    whole = daily.groupBy("location_id").agg(
+        F.sum("n").alias("_all"), F.sum(F.when(F.col("day").isNotNull(), F.col("n"))).alias("_timed")
+    )
     start = upto.select("location_id", F.date_add("day", 1).alias("start_date"), F.col("upto").alias("_before"))
     end = upto.select("location_id", F.col("day").alias("end_date"), F.col("upto").alias("_until"))
     counted = F.when(
         F.col("start_date") > F.col("end_date"), F.lit(0)
-    ).otherwise(F.coalesce("_until", "_all", F.lit(0)) - F.coalesce("_before", F.lit(0)))
+    ).when(
+        F.col("start_date").isNull() & F.col("end_date").isNull(), F.coalesce("_all", F.lit(0))
+    ).otherwise(F.coalesce("_until", "_timed", F.lit(0)) - F.coalesce("_before", F.lit(0)))
     return (
         held.join(whole, "location_id", "left")
         .join(start, ["location_id", "start_date"], "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapline.functions.ordered import HOT_ROWS, UNIT, attach, by_size, collapse, number_gaps, numbered, with_unit
+from trapline.functions.ordered import UNIT, attach, collapse, keyed, number_gaps, numbered, with_unit
 
 COUNTED_STATUSES = ("pending", "completed", "needs_review")
 
@@ -16,59 +16,25 @@ def _units(photos: DataFrame, keys: Sequence[str], gap_seconds: int) -> DataFram
     return number_gaps(collapse(photos, keys, "captured_at"), keys, gap_seconds, "series_idx")
 
 
-def _marked(photos: DataFrame, keys: Sequence[str], gap_seconds: int) -> DataFrame:
-    """Photos with ``series_idx`` by one window per key."""
-    order = Window.partitionBy(*keys).orderBy("captured_at", "id")
-    gap = F.expr(f"make_dt_interval(0, 0, 0, {int(gap_seconds)})")
-    previous = F.lag("captured_at").over(order)
-    opens = F.when(F.col("captured_at") - previous <= gap, 0).otherwise(1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return photos.withColumn("_opens", opens).withColumn("series_idx", F.sum("_opens").over(so_far)).drop("_opens")
+def series_table(photos: DataFrame, keys: Sequence[str] = ("upload_batch_id",), gap_seconds: int = 60) -> DataFrame:
+    """One row per series: start, end and photo count. A new series starts when the gap to the previous photo is longer
+    than ``gap_seconds``. Photos without a key or a time belong to no series."""
+    timed = keyed(photos.where("captured_at IS NOT NULL").select(*keys, "id", "captured_at"), keys)
+    return _units(timed, keys, gap_seconds).groupBy(*keys, "series_idx").agg(
+        F.min("_first").alias("series_start_time"),
+        F.max("_last").alias("series_end_time"),
+        F.sum("_n").alias("photo_count"),
+    )
 
 
-def series_table(
-    photos: DataFrame, keys: Sequence[str] = ("upload_batch_id",), gap_seconds: int = 60, limit: int = HOT_ROWS
-) -> DataFrame:
-    """One row per series: start, end and photo count. A new series starts when the gap to the previous photo is longer
-    than ``gap_seconds``."""
-    series = [*keys, "series_idx"]
-
-    def usual(part: DataFrame) -> DataFrame:
-        return _marked(part, keys, gap_seconds).groupBy(*series).agg(
-            F.min("captured_at").alias("series_start_time"),
-            F.max("captured_at").alias("series_end_time"),
-            F.count(F.lit(1)).alias("photo_count"),
-        )
-
-    def hot(part: DataFrame) -> DataFrame:
-        return _units(part, keys, gap_seconds).groupBy(*series).agg(
-            F.min("_first").alias("series_start_time"),
-            F.max("_last").alias("series_end_time"),
-            F.sum("_n").alias("photo_count"),
-        )
-
-    timed = photos.where("captured_at IS NOT NULL").select(*keys, "id", "captured_at")
-    return by_size(timed, keys, usual, hot, limit)
-
-
-def sessionise(
-    photos: DataFrame, keys: Sequence[str] = ("upload_batch_id",), gap_seconds: int = 60, limit: int = HOT_ROWS
-) -> DataFrame:
-    """Photos with ``series_idx`` per key and ``sequence_number`` inside the series."""
-    columns = [*photos.columns, "series_idx", "sequence_number"]
-    inside = Window.partitionBy(*keys, "series_idx").orderBy("captured_at", "id")
-
-    def usual(part: DataFrame) -> DataFrame:
-        marked = _marked(part, keys, gap_seconds)
-        return marked.withColumn("sequence_number", F.row_number().over(inside).cast("bigint")).select(*columns)
-
-    def hot(part: DataFrame) -> DataFrame:
-        labels = _units(part, keys, gap_seconds).select(
-            *keys, UNIT, "series_idx", (F.col("_before") - F.col("_start")).alias("_before")
-        )
-        return attach(with_unit(part, "captured_at"), labels, keys, "captured_at", "id", "sequence_number").select(*columns)
-
-    return by_size(photos.where("captured_at IS NOT NULL"), keys, usual, hot, limit)
+def sessionise(photos: DataFrame, keys: Sequence[str] = ("upload_batch_id",), gap_seconds: int = 60) -> DataFrame:
+    """Photos with ``series_idx`` per key and ``sequence_number`` inside the series. Photos without a key or a time are left out."""
+    timed = keyed(photos.where("captured_at IS NOT NULL"), keys)
+    labels = _units(timed, keys, gap_seconds).select(
+        *keys, UNIT, "series_idx", (F.col("_before") - F.col("_start")).alias("_before")
+    )
+    placed = attach(with_unit(timed, "captured_at"), labels, keys, "captured_at", "id", "sequence_number")
+    return placed.select(*photos.columns, "series_idx", "sequence_number")
 
 
 def series_id(batch: str = "upload_batch_id", index: str = "series_idx"):

@@ -34,9 +34,16 @@ ADAPTIVE = {
 }
 
 
+def set_where_unset(spark: SparkSession, settings: dict[str, str]) -> None:
+    """Settings that nobody has chosen yet, by the cluster or in the session."""
+    chosen = {row["key"] for row in spark.sql("SET").collect()}
+    for name, value in settings.items():
+        if name not in chosen:
+            spark.conf.set(name, value)
+
+
 def apply_adaptive(spark: SparkSession) -> None:
-    for name, value in ADAPTIVE.items():
-        spark.conf.set(name, value)
+    set_where_unset(spark, ADAPTIVE)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from trapline.operators.sessions import DUPLICATE_KEY
+from trapline.operators.sessions import DUPLICATE_KEY, series_table
 
 
 def event_time(stream: DataFrame, column: str = "captured_at") -> DataFrame:
@@ -37,6 +37,14 @@ def series_stream(photos: DataFrame, gap_seconds: int, delay: str = "10 minutes"
     )
 
 
+def open_series(photos: DataFrame, closed: DataFrame, gap_seconds: int, key: str = "upload_batch_id") -> DataFrame:
+    """Series that are still open at the end of the input: photos later than the last closed series of their key, grouped."""
+    last = closed.groupBy(key).agg(F.max("series_end_time").alias("_closed_until"))
+    rest = photos.join(last, key, "left").where("_closed_until IS NULL OR captured_at > _closed_until")
+    columns = [key, "series_start_time", "series_end_time", "photo_count"]
+    return series_table(rest.select(key, "id", "captured_at"), [key], gap_seconds).select(columns)
+
+
 def unique_uploads_stream(uploads: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """First arrival of each (location, filename, time)."""
     return event_time(uploads).withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(DUPLICATE_KEY)
@@ -65,11 +73,11 @@ class QuorumProcessor(StatefulProcessor):
         self.decided = handle.getValueState("decided", T.StructType([T.StructField("done", T.BooleanType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self.decided.exists():  # nothing is kept for a series after its decision
+            return
         for batch in rows:
             for user, species in batch[["user_id", "species_id"]].drop_duplicates().itertuples(index=False):
                 self.pairs.updateValue((int(user), 0 if pd.isna(species) else int(species)), (True,))
-        if self.decided.exists():
-            return
         votes: dict[int, int] = {}
         for _, species in self.pairs.keys():
             votes[species] = votes.get(species, 0) + 1
@@ -77,6 +85,7 @@ class QuorumProcessor(StatefulProcessor):
         best = max(votes, key=votes.get) if votes else 0
         if total >= self.min_votes and votes[best] * 2 > total:
             self.decided.update((True,))
+            self.pairs.clear()
             winner = pd.array([None if best == 0 else best], dtype="Int64")
             yield pd.DataFrame(
                 {"observation_id": [key[0]], "winner_species_id": winner, "winner_votes": [votes[best]], "total_votes": [total]}
@@ -126,6 +135,22 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there now in update mode: every batch adds its changed rows under its number, and a repeated batch adds
+    the same rows again. ``latest`` reads them."""
+
+    def add(rows: DataFrame, number: int) -> None:
+        rows.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
+
+    query = stream.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def latest(updates: DataFrame, key: str, value: str) -> DataFrame:
+    """The value of each key in its last batch."""
+    return updates.groupBy(key).agg(F.max_by(value, "_batch").alias(value))
+
+
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """File stream over a Parquet table (a folder or a single file) with the schema of its present files.
 
