@@ -130,7 +130,7 @@ def test_running_counts_equal_the_interval_join(spark):
 
 def test_every_pair_once(spark):
     left, right = spark.range(13).withColumnRenamed("id", "a"), spark.range(29).withColumnRenamed("id", "b")
-    pairs = [(r.a, r.b) for r in with_every(left, right, "b").collect()]
+    pairs = [(r.a, r.b) for r in with_every(left, right).collect()]
     assert len(pairs) == len(set(pairs)) == 13 * 29
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_every(left: DataFrame, right: DataFrame, spread_by: str, slots: int = 16) -> DataFrame:
-    """Each left row beside each right row. Both sides meet on a slot derived from ``spread_by`` of the right side, so the
-    work is hash partitioned and Spark may still pick a broadcast when its own size check allows one."""
-    fanned = left.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    placed = right.withColumn("_slot", F.pmod(F.xxhash64(spread_by), F.lit(slots)).cast("int"))
-    return fanned.join(placed, "_slot").drop("_slot")
+def with_every(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each left row beside each right row, where the result itself is every combination and the right side is a list of the
+    survey (its species, say): it is put into every row as one array and unrolled there, so nothing is shuffled."""
+    listed = right.agg(F.collect_list(F.struct(*right.columns)).alias("_list")).scalar()
+    unrolled = left.withColumn("_list", listed).select(*left.columns, F.explode("_list").alias("_row"))
+    return unrolled.select(*left.columns, "_row.*")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -71,7 +71,7 @@ def monthly_activity(
     seen = detection_days(identifications, photos, observations, sites)
     kinds = species.where("id > 0").select(F.col("id").alias("species_id"))
     return (
-        with_every(active, kinds, "species_id")
+        with_every(active, kinds)
         .join(seen, ["species_id", *MONTH_KEY], "left")
         .withColumn("detection_count", F.coalesce("detection_count", F.lit(0)))
         .select("species_id", *MONTH_KEY, "detection_count", "trap_days")

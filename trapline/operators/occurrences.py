@@ -232,6 +232,11 @@ DISPUTED_REMARK = (
 PREDICTED = "unverified (AI)"
 
 
+def in_time_order(records: DataFrame) -> DataFrame:
+    """Records by start of their series, as files list them."""
+    return records.orderBy("series_start_time", "observation_id", F.col("species_id").asc_nulls_last())
+
+
 def shape(records: DataFrame, institution_code: str = "CT", urn: str = "URN:survey", country: str = "UA") -> DataFrame:
     """The 30 exported columns."""
     kind = F.col("row_kind")

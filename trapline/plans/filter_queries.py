@@ -351,4 +351,4 @@ def study_years(s):
 )
 def every_species_at_every_site(s):
     sites = s.locations.select(F.col("id").alias("location_id"))
-    return with_every(sites, s.species.select(F.col("id").alias("species_id")), "species_id")
+    return with_every(sites, s.species.select(F.col("id").alias("species_id")))

@@ -98,27 +98,9 @@ def conflict_records(s):
     return _keys(X.occurrences(tables(s), X.OccurrenceSpec(FIRST, LAST, mode="human_any")).where("row_kind = 'human_conflict'"))
 
 
-# Every series of the survey has a vote, so the AI records are checked on a survey that lost the votes of some series.
-THINNED = "SELECT * FROM {identifications} WHERE photo_id % 8 <> 3 AND CAST(FLOOR(photo_id / 8) AS BIGINT) % 5 <> 2"
-
-
-def _thinned(s):
-    full = tables(s)
-    fewer = s.spark.sql(THINNED, identifications=full.identifications)
-    return X.OccurrenceTables(**{**full.__dict__, "identifications": fewer})
-
-
-def _thin_sql(**options) -> dict[str, str]:
-    named = {k: v.replace(" identifications ", " thinned ") for k, v in _sql(**options).items()}
-    named["thinned"] = THINNED.replace("{", "").replace("}", "")
-    named["votes"] = """SELECT p.observation_id, i.species_id, COUNT(DISTINCT i.user_id) AS vote_count, MAX(i.quantity) AS max_quantity
-        FROM thinned i JOIN photos p ON p.id = i.photo_id GROUP BY p.observation_id, i.species_id"""
-    return named
-
-
-@query("x3_ai_records", f"SELECT {KEYS} FROM guessed", **_thin_sql())
+@query("x3_ai_records", f"SELECT {KEYS} FROM guessed", **_sql())
 def ai_records(s):
-    return _keys(X.occurrences(_thinned(s), X.OccurrenceSpec(FIRST, LAST, mode="human_ai")).where("row_kind = 'ai'"))
+    return _keys(X.occurrences(tables(s), X.OccurrenceSpec(FIRST, LAST, mode="human_ai")).where("row_kind = 'ai'"))
 
 
 @query(
@@ -133,11 +115,11 @@ def human_any_records(s):
 @query(
     "x4_human_ai_records",
     f"SELECT {KEYS} FROM agreed UNION ALL SELECT {KEYS} FROM disputed UNION ALL SELECT {KEYS} FROM guessed",
-    **_thin_sql(taxon="TRUE"),
+    **_sql(taxon="TRUE"),
 )
 def human_ai_records(s):
     spec = X.OccurrenceSpec(FIRST, LAST, mode="human_ai", taxon=TaxonFilter(species_only=False))
-    return _keys(X.occurrences(_thinned(s), spec))
+    return _keys(X.occurrences(tables(s), spec))
 
 
 BEST = "ORDER BY max_quantity DESC NULLS FIRST, series_start_time, observation_id"
@@ -199,7 +181,7 @@ SHAPE_SQL = f"""SELECT 'URN:survey:CT:observation:' || CAST(observation_id AS ST
     FROM (SELECT * FROM agreed UNION ALL SELECT * FROM disputed UNION ALL SELECT * FROM guessed) t"""
 
 
-@query("x9_shaped_records", SHAPE_SQL, **_thin_sql(taxon="TRUE"))
+@query("x9_shaped_records", SHAPE_SQL, **_sql(taxon="TRUE"))
 def shaped_records(s):
     spec = X.OccurrenceSpec(FIRST, LAST, mode="human_ai", taxon=TaxonFilter(species_only=False))
-    return X.shape(X.occurrences(_thinned(s), spec))
+    return X.shape(X.occurrences(tables(s), spec))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trapline.operators import occurrences as X
-from trapline.plans.occurrence_queries import FIRST, LAST, _sql, tables
+from trapline.plans.occurrence_queries import FIRST, LAST, SHAPE_SQL, _sql, tables
 from trapline.plans.registry import query
 from trapline.plans.report_queries import ACTIVITY, activity
 from trapline.session import shared_folder
@@ -25,15 +25,15 @@ def table_scan(s):
 
 @query(
     "s4_occurrence_csv",
-    """SELECT 'URN:survey:CT:observation:' || CAST(observation_id AS STRING) AS "occurrenceID", scientific_name AS "scientificName", identified_by AS "identifiedBy",
-    CAST(max_quantity AS STRING) AS "individualCount", STRFTIME(series_start_time, '%H:%M:%S') AS "eventTime" FROM agreed""",
+    "SELECT NULLIF(CAST(COLUMNS(*) AS VARCHAR), '') FROM ("
+    + SHAPE_SQL.replace("(SELECT * FROM agreed UNION ALL SELECT * FROM disputed UNION ALL SELECT * FROM guessed)", "(SELECT * FROM agreed)")
+    + ") s",
     **_sql(),
 )
 def occurrence_csv(s):
     path = _folder(s, "occurrences")
-    W.write_csv(X.shape(X.occurrences(tables(s), X.OccurrenceSpec(FIRST, LAST))), path)
-    stored = s.spark.read.option("header", True).csv(path)
-    return stored.select("occurrenceID", "scientificName", "identifiedBy", "individualCount", "eventTime")
+    W.write_csv(X.shape(X.in_time_order(X.occurrences(tables(s), X.OccurrenceSpec(FIRST, LAST)))), path)
+    return s.spark.read.option("header", True).csv(path)
 
 
 @query(

@@ -340,28 +340,19 @@ REGIONS = {
         FROM inside i JOIN totals t ON t.region = i.region GROUP BY 1, 2""",
     "present": f"""SELECT DISTINCT r.region, i.species_id FROM identifications i JOIN photos p ON p.id = i.photo_id JOIN observations o ON o.id = p.observation_id
         JOIN regions r ON r.location_id = o.location_id WHERE o.status IN ('completed', 'archived') AND o.location_id IN (SELECT id FROM strict_locations)
-        AND i.species_id > 0 AND p.captured_at >= DATE '{FIRST}' AND p.captured_at < DATE '{LAST}' + INTERVAL 1 DAY AND {{extra}}""",
+        AND i.species_id > 0 AND p.captured_at >= DATE '{FIRST}' AND p.captured_at < DATE '{LAST}' + INTERVAL 1 DAY""",
     "sides": """SELECT species_id, BOOL_OR(region = 'left') AS l, BOOL_OR(region = 'right') AS r FROM present GROUP BY 1""",
     "paired": """SELECT species_id, SUM(CASE WHEN region = 'left' THEN detections ELSE 0 END)::DOUBLE AS a, SUM(CASE WHEN region = 'right' THEN detections ELSE 0 END)::DOUBLE AS b,
         SUM(CASE WHEN region = 'left' THEN rai ELSE 0 END) AS ra, SUM(CASE WHEN region = 'right' THEN rai ELSE 0 END) AS rb FROM rai GROUP BY 1""",
 }
-# Every species is voted for everywhere; leaving out some species on some sites gives the sets something to differ in.
-SPARSE = "(i.species_id + o.location_id) % 10 IN (0, 3)"
-REGIONS["present"] = REGIONS["present"].format(extra=SPARSE)
-
 
 def _region_rows(s):
-    return M.region_activity(activity(s), _regions(s), FIRST, LAST)
+    return M.region_activity(stored_activity(s), _regions(s), FIRST, LAST)
 
 
 def _presence(s):
     placed = S.at_valid_locations(s.observations, s.locations, strict=True)
-    sites = s.observations.select(F.col("id").alias("observation_id"), "location_id")
-    linked = s.photos.select(F.col("id").alias("photo_id"), "observation_id").join(sites, "observation_id")
-    sparse = s.identifications.join(linked.select("photo_id", "location_id"), "photo_id").where(
-        "(species_id + location_id) % 10 IN (0, 3)"
-    )
-    present = M.region_species(sparse.drop("location_id"), s.photos, placed, _regions(s), FIRST, LAST)
+    present = M.region_species(s.identifications, s.photos, placed, _regions(s), FIRST, LAST)
     return M.presence(present, "left", "right")
 
 
