@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trapline.llm.shared import free_name, stored
+from trapline.llm.shared import free_name, salted_join, stored
 from trapline.llm.words import utf8
 
 #: Counters of the filter. The filter that is broadcast has a bit for each, so 8 MiB whatever the input's size; beyond some ten
@@ -92,7 +92,7 @@ def marked(digests: DataFrame, bits: np.ndarray, slots: int) -> DataFrame:
     repeats = rows.filter("maybe").drop("maybe")
     groups = repeats.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"]
-    settled = repeats.join(groups, "digest").select(columns)
+    settled = salted_join(repeats, groups, "digest", "doc_id").select(columns)
     single = rows.filter(~F.col("maybe")).withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")}).select(columns)
     return single.unionByName(settled)
 

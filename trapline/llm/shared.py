@@ -52,3 +52,12 @@ def with_batch(df: DataFrame, doc_id: str, text: str, batches: int, *more: str)
         F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit(11)), F.lit(batches)).cast("int").alias("batch"),
         *more,
     )
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread_by: str, slots: int = 16) -> DataFrame:
+    """Inner join of many ``rows`` with one row for each ``key`` in ``groups``. The rows of a key are dealt into ``slots`` parts by a hash of
+    another column and each group is sent to every part, so that a key with a large share of the rows is no task of its own."""
+    salt = free_name(rows, "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(slots)))
+    sent = groups.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    return dealt.join(sent, [key, salt]).drop(salt)
