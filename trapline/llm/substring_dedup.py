@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.llm.exchange import SENT, answered, ranges, sent
-from trapline.llm.shared import batch_count, with_batch
+from trapline.llm.shared import batch_count, salted_join, with_batch
 from trapline.llm.words import Words, blank_separated, mixed, packed, packed_bits, text_array, unpacked, unpacked_bits, utf8, windows
 
 WINDOW = 13
@@ -137,7 +137,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     batches = with_batch(docs, doc_id, text, buckets)
     digests = batches.filter("doc_id is not null and length(text) > 0").select("doc_id", "batch", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").drop("last_id")
-    copies = digests.join(first, "digest").filter("doc_id > first_id").select("batch", F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), "doc_id", F.lit(None).cast("binary").alias("reply"))
+    copies = salted_join(digests, first, "digest", "doc_id").filter("doc_id > first_id").select("batch", F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), "doc_id", F.lit(None).cast("binary").alias("reply"))
 
     def news(replies: DataFrame, kind: int) -> DataFrame:
         return replies.select("batch", F.lit(kind).alias("kind"), "bucket", F.lit(None).cast("long").alias("doc_id"), "reply")
