@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.shared import free_name
+from trapline.llm.shared import free_name, stored
 from trapline.llm.words import Words, letters_and_digits, lowered, row_slices, utf8, windows
 
 SIZE = 10
@@ -78,62 +78,53 @@ class WindowIndex:
 
 
 def indexes(benchmark: DataFrame, item_id: str, text: str, size: int, at_once: int):
-    """Broadcast indexes one after another, each of about ``at_once`` windows."""
+    """Broadcast indexes one after another, each of about ``at_once`` windows, and whether it is the last."""
     found = item_windows(benchmark, item_id, text, size)
     parts = max(1, -(-found.count() // at_once))
     context = benchmark.sparkSession.sparkContext
     for part in range(parts):
-        yield context.broadcast(WindowIndex(found.filter(F.pmod(F.xxhash64("content"), F.lit(parts)) == part).collect()))
+        yield context.broadcast(WindowIndex(found.filter(F.pmod(F.xxhash64("content"), F.lit(parts)) == part).collect())), part == parts - 1
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """(doc_id, n_words, spans, items): a row for each document.
 
     ``spans`` are the hit runs of words as {start, end} in words and {from, to} in characters of the text; ``items`` the ids of the
-    benchmark items of which a window occurs, ascending.
+    benchmark items of which a window occurs, ascending. Every pass but the last stores its rows, so that one index is held at a time.
     """
-    kind = "doc_id long, n_words long, spans array<struct<start:long,end:long,from:long,to:long>>, items array<long>"
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = []
-    for index in indexes(benchmark, item_id, item_text, size, at_once):
-
-        def scan(batches, index=index):
-            schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "from", "to")]))), ("items", pa.list_(pa.int64()))])
-            for ids, words in word_chunks(batches):
+    spans_of = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "from", "to")]))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    for index, last in indexes(benchmark, item_id, item_text, size, at_once):
+
+        def scan(batches, index=index, last=last):
+            for part, words in word_chunks(batches):
                 hit, items = index.value.matches(words)
-                spans = [[] for _ in ids]
+                if "spans" in part.schema.names:  # of earlier passes
+                    for d, (runs_, known) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist())):
+                        items[d].update(known)
+                        for x in runs_:
+                            hit[words.first[d] + x["start"] : words.first[d] + x["end"]] = True
+                spans = [[] for _ in items]
                 for d, start, end in runs(hit, words):
                     low = words.offsets[d]
                     from_, to = (characters(words.data[low : words.starts[start]]), characters(words.data[low : words.ends[end - 1]]))
                     spans[d].append({"start": start - words.first[d], "end": end - words.first[d], "from": from_, "to": to})
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(words.first), pa.int64()), pa.array(spans, schema.field(2).type), pa.array([sorted(x) for x in items], schema.field(3).type)], schema=schema)
-
-        parts.append(plain.mapInArrow(scan, kind))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.expr("cast(array() as array<struct<start:long,end:long,from:long,to:long>>)"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.size(out) - 1),
-                F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"), F.element_at(out, -1)["from"].alias("from"), F.greatest(F.element_at(out, -1)["to"], x["to"]).alias("to"))),
-            ),
-        ).otherwise(F.concat(out, F.array(x))),
-    )
-    return every.groupBy("doc_id", "n_words").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+                found = {"n_words": pa.array(np.diff(words.first), pa.int64()), "spans": pa.array(spans, spans_of), "items": pa.array([sorted(x) for x in items], pa.list_(pa.int64()))}
+                given = {n: part.column(n) for n in (("doc_id",) if last else ("doc_id", "text"))}
+                yield pa.RecordBatch.from_pydict({**given, **found})
+
+        kind = "n_words long, spans array<struct<start:long,end:long,from:long,to:long>>, items array<long>"
+        rows = rows.mapInArrow(scan, f"doc_id long, {kind}" if last else f"doc_id long, text string, {kind}")
+        rows = rows if last else stored(rows)
+    return rows
 
 
-def word_chunks(batches):
-    """(ids, words) of runs of rows with a bounded number of bytes; a column of ids, then one of texts."""
+def word_chunks(batches, at: int = 1):
+    """(rows, words) of runs of rows with a bounded number of bytes; ``at`` is the column of texts."""
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(at))
         for a, b in row_slices(offsets, CHUNK_BYTES):
-            yield batch.column(0).slice(a, b - a), Words(lowered(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a], letters_and_digits())
+            yield batch.slice(a, b - a), Words(lowered(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a], letters_and_digits())
 
 
 def runs(hit: np.ndarray, words: Words):
@@ -155,18 +146,17 @@ def characters(data: np.ndarray) -> int:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with all their columns. Nothing is shuffled."""
     at = docs.columns.index(text)
-    for index in indexes(benchmark, item_id, item_text, size, at_once):
+    for index, last in indexes(benchmark, item_id, item_text, size, at_once):
 
         def clean(batches, index=index):
-            for batch in batches:
-                hit, done = np.zeros(batch.num_rows, bool), 0
-                for ids, words in word_chunks([pa.RecordBatch.from_arrays([batch.column(at)] * 2, ["id", "text"])]):
-                    found, _ = index.value.matches(words)
-                    hit[done + words.doc[found]] = True
-                    done += len(ids)
-                yield batch.filter(pa.array(~hit))
+            for rows, words in word_chunks(batches, at):
+                found, _ = index.value.matches(words)
+                hit = np.zeros(rows.num_rows, bool)
+                hit[words.doc[found]] = True
+                yield rows.filter(pa.array(~hit))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs if last else stored(docs)
     return docs
 
 
