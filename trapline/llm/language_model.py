@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.exchange import SENT, answered, ranges, sent
+from trapline.llm.exchange import SENT, answered, buckets_for, filled, opened, sent
 from trapline.llm.shared import batch_count, stored, with_batch
 from trapline.llm.words import Words, blank_separated, lowered, mixed, packed, row_slices, unpacked, utf8
 
@@ -37,8 +37,6 @@ ROUNDS = 3
 #: Weight of the overall class shares, in tokens, in each state's emissions.
 PRIOR = 50.0
 CHUNK_BYTES = 4_000_000
-#: Classes in one row of counts.
-PART = 2048
 TOGETHER = 4096
 END_KEY = np.uint64(0xE4D0000000000001)
 
@@ -148,33 +146,32 @@ def one_round(texts: DataFrame, model: Model) -> Model:
     shared = context.broadcast(model)
 
     def count(batches):
-        now, total, any_ = shared.value, None, False
+        now, total = shared.value, None
         for batch in batches:
             blobs = batch.column(0).to_pylist()
             if not blobs:
                 continue
-            any_ = True
             bounds = np.cumsum([0, *(len(b) // 2 for b in blobs)])
             classes = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
             found = [*expected(classes, bounds, now), np.bincount(classes, minlength=CLASSES).astype(np.float64)]
             total = found if total is None else [a + b for a, b in zip(total, found)]
-        if any_:
+        if total is not None:
             starts, steps, emits, tokens = total
-            rows = [(-1, np.concatenate([starts, steps.ravel()]).tobytes())]
-            rows += [(i // PART, np.concatenate([emits[i : i + PART].ravel(), tokens[i : i + PART]]).tobytes()) for i in range(0, CLASSES, PART)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(blob, np.float64) for blob in table.column("counts").to_pylist())
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = {r.part: np.frombuffer(bytes(r.counts), np.float64) for r in texts.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()}
+            own = np.flatnonzero(tokens)
+            place = np.concatenate([own, CLASSES + np.arange(STATES + 1)])  # after the classes the steps from each state, then the starts
+            values = np.concatenate([emits[own], steps, starts[None, :]])
+            seen = np.concatenate([tokens[own], np.zeros(STATES + 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(place), *map(pa.array, values.T.copy()), pa.array(seen)], ["place", *names])
+
+    names = [*(f"state_{k}" for k in range(STATES)), "tokens"]
+    counted = texts.mapInArrow(count, ", ".join(["place long", *(f"{n} double" for n in names)]))
+    rows = counted.groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     shared.unpersist()
-    if not rows:
+    if not rows.num_rows:
         return model
-    emit = np.concatenate([rows[i][: PART * STATES].reshape(PART, STATES) for i in range(CLASSES // PART)])
-    tokens = np.concatenate([rows[i][PART * STATES :] for i in range(CLASSES // PART)])
-    return Model.from_counts(rows[-1][:STATES], rows[-1][STATES:].reshape(STATES, STATES), emit, tokens)
+    table = np.zeros((CLASSES + STATES + 1, STATES + 1))
+    table[rows.column("place").to_numpy()] = np.stack([rows.column(n).to_numpy() for n in names], 1)
+    return Model.from_counts(table[-1, :STATES], table[CLASSES:-1, :STATES], table[:CLASSES, :STATES], table[:CLASSES, STATES])
 
 
 def train(docs: DataFrame, text: str = "text", learn: Column | None = None) -> Model:
@@ -228,36 +225,50 @@ class Counted:
         return np.bincount(self.inverse[~self.held[self.doc]], minlength=len(self.keys)).astype(np.uint64)
 
 
+def counted_over(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a bucket's distinct keys over all batches, and which of them each entry is."""
+    numbers = np.concatenate([unpacked(c, len(k)) for k, c in zip(keys, counts)])
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return np.bincount(inverse, numbers.astype(np.float64), minlength=len(distinct)).astype(np.uint64), inverse
+
+
 def add_counts(keys: list, counts: list) -> list:
-    """For each row the totals of the bucket (tokens, distinct words, words that occur once) and the counts of its keys over all batches."""
-    every, numbers = np.concatenate(keys), np.concatenate([unpacked(c, len(k)) for k, c in zip(keys, counts)])
-    distinct, inverse = np.unique(every, return_inverse=True)
-    total = np.bincount(inverse, numbers.astype(np.float64), minlength=len(distinct)).astype(np.uint64)
-    head = np.array([total.sum(), (total > 0).sum(), (total == 1).sum()], np.int64).tobytes()
-    return [head + packed(t) for t in np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])]
+    """For each row the counts of its keys over all batches."""
+    total, inverse = counted_over(keys, counts)
+    return [packed(t) for t in np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])]
+
+
+def totals(rows: DataFrame, buckets: int) -> DataFrame:
+    """One row with ``totals``: training tokens, distinct words and words that occur once, over all buckets."""
+
+    def count(table: pa.Table) -> pa.Table:
+        total, _ = counted_over(opened(table, buckets, 64), table.column("extra").to_pylist())
+        return pa.table({"tokens": [int(total.sum())], "distinct": [int((total > 0).sum())], "once": [int((total == 1).sum())]})
+
+    names = ("tokens", "distinct", "once")
+    each = rows.groupBy("bucket").applyInArrow(count, ", ".join(f"{n} long" for n in names))
+    return each.agg(F.array(*[F.coalesce(F.sum(n), F.lit(0)) for n in names]).alias("totals"))
 
 
 def score(docs: DataFrame, model: Model, held: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row. Words are counted in rows that are not ``held``."""
-    buckets = batch_count(docs, text)
+    batches = batch_count(docs, text)
+    buckets = buckets_for(batches)
     flagged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    dealt = with_batch(flagged, "doc_id", "text", buckets, "held")
+    dealt = with_batch(flagged, "doc_id", "text", batches, "held")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def send(rows: pa.Table) -> pa.Table:
         batch = Counted(rows)
         counts = batch.training_counts()
-        return sent(rows.column("batch")[0].as_py(), batch.keys, buckets, 64, lambda own: packed(counts[own]), empty=True)
+        return sent(rows.column("batch")[0].as_py(), batch.keys, buckets, 64, lambda own: packed(counts[own]))
 
     def measure(rows: pa.Table, news: pa.Table) -> pa.Table:
         batch, now = Counted(rows), shared.value
-        bounds, _ = ranges(batch.keys, buckets, 64)
-        counts, totals = np.zeros(len(batch.keys), np.int64), np.zeros(3, np.int64)
+        counts, own = np.zeros(len(batch.keys), np.int64), dict(filled(batch.keys, buckets, 64))
         for bucket, reply in zip(news.column("bucket_in").to_pylist(), news.column("reply_in").to_pylist()):
-            totals += np.frombuffer(reply[:24], np.int64)
-            own = slice(bounds[bucket], bounds[bucket + 1])
-            counts[own] = unpacked(reply[24:], own.stop - own.start).view(np.int64)
-        tokens, distinct, once = totals
+            counts[own[bucket]] = unpacked(reply, own[bucket].stop - own[bucket].start).view(np.int64)
+        tokens, distinct, once = news.column("totals_in")[0].as_py()
         seen = counts[batch.inverse]
         classes, _ = with_ends(classes_of(batch.words), batch.words, END)
         texts = len(batch.ids)
@@ -271,7 +282,8 @@ def score(docs: DataFrame, model: Model, held: Column, doc_id: str = "doc_id", t
         columns = [batch.ids, pa.array(batch.held), pa.array(np.diff(batch.bounds)), pa.array(add(known).astype(np.int64)), pa.array(np.full(texts, tokens)), pa.array(base), pa.array(scores)]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    counted = answered(dealt.groupBy("batch").applyInArrow(send, SENT), buckets, 64, add_counts)
+    words = dealt.groupBy("batch").applyInArrow(send, SENT)
+    counted = answered(words, buckets, 64, add_counts).withColumn("totals", totals(words, buckets).scalar())
     counted = counted.select(*[F.col(c).alias(f"{c}_in") for c in counted.columns])
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("batch").cogroup(counted.groupBy("batch_in")).applyInArrow(measure, kind)

@@ -2,8 +2,9 @@
 
 Words are runs without blanks. Each document's non-overlapping blocks of ``(window + 1) // 2`` words are the index: every run of
 ``window`` words holds one of them whole, wherever it begins. Every rolling run of that many words probes the index. Where a probe meets a
-block of another document, the hit is extended to all windows around it, and those are compared between documents by two 64-bit hashes
-that together cover the window: a window is removed where its words also begin in a document with a smaller id.
+block of another document, the hit is extended to all windows around it, and those are compared between documents by a key of 64 bits and
+a check of 32 more, both made of two hashes that together cover the window: a window is removed where its words also begin in a document
+with a smaller id.
 
 Windows are judged on the input. Null and empty texts, and texts with fewer words than a window, lose nothing. Rows of equal id are one
 document here, so none is smaller; a row with a null id loses nothing and is no reference. Other columns play no part.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.llm.exchange import SENT, answered, ranges, sent
+from trapline.llm.exchange import SENT, answered, buckets_for, filled, sent
 from trapline.llm.shared import batch_count, salted_join, with_batch
 from trapline.llm.words import Words, blank_separated, mixed, packed, packed_bits, text_array, unpacked, unpacked_bits, utf8, windows
 
@@ -70,14 +71,13 @@ class Batch:
     def answers(self, kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
         """The bit that came back for each key."""
         out = np.zeros(len(keys), bool)
-        bounds, _ = ranges(keys, self.buckets, bits)
-        for i in range(self.buckets):
-            if (kind, i) in self.replies:
-                out[bounds[i] : bounds[i + 1]] = unpacked_bits(self.replies[kind, i], bounds[i + 1] - bounds[i])
+        for bucket, own in filled(keys, self.buckets, bits):
+            if (kind, bucket) in self.replies:
+                out[own] = unpacked_bits(self.replies[kind, bucket], own.stop - own.start)
         return out
 
     def extended(self) -> None:
-        """Windows around hits: word they begin at and key; the distinct keys with the smallest id that has them here."""
+        """Windows around hits: word they begin at, key and check; the distinct ones with the smallest id that has them here."""
         self.probes()
         hit, place = np.zeros(len(self.words) + 1, np.int64), np.zeros(len(self.words) + 1, np.uint64)
         hit[self.at] = self.answers(HIT, self.keys, PROBE_BITS)[self.inverse]
@@ -86,8 +86,10 @@ class Batch:
         start = self.at[self.at + self.window <= self.words.first[self.words.doc[self.at] + 1]]
         start = start[total[start + reach + 1] > total[start]]
         keys = mixed(place[start] * np.uint64(0xD6E8FEB86659FD93) + place[start + reach])
+        checks = mixed(place[start] + place[start + reach] * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)
         self.start = start
-        self.window_keys, self.window_inverse = np.unique(keys, return_inverse=True)
+        first, self.window_inverse = distinct(keys, checks)
+        self.window_keys, self.window_checks = keys[first], checks[first]
         self.smallest = np.full(len(self.window_keys), NEVER, np.int64)
         np.minimum.at(self.smallest, self.window_inverse, self.order[self.words.doc[start]])
 
@@ -101,6 +103,19 @@ class Batch:
         return (np.cumsum(step[:-1]) > 0) | (self.copy & (self.counts >= self.window) & (self.order != NEVER))[self.words.doc]
 
 
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair of key and check is, in ascending order, and which of them each entry is."""
+    order = np.argsort(keys)
+    again = np.diff(keys[order]) == 0
+    if (again & (np.diff(checks[order]) != 0)).any():  # two windows with one key
+        order = np.lexsort((checks, keys))
+        again = (np.diff(keys[order]) == 0) & (np.diff(checks[order]) == 0)
+    heads = np.flatnonzero(np.concatenate([[True], ~again])) if len(keys) else np.zeros(0, np.int64)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
+    return order[heads], inverse
+
+
 def repeated_probes(keys: list, flags: list) -> list:
     """A bit for each probe: it is a block somewhere and occurs in two documents at least."""
     bits = [unpacked_bits(f, 2 * len(k)).reshape(2, -1) for k, f in zip(keys, flags)]
@@ -120,11 +135,12 @@ def repeated_probes(keys: list, flags: list) -> list:
     return out
 
 
-def earlier_windows(keys: list, smallest: list) -> list:
+def earlier_windows(keys: list, extras: list) -> list:
     """A bit for each window: it also begins in a document with a smaller id than any of the batch's own."""
-    ids = [unpacked(s, len(k)).view(np.int64) for k, s in zip(keys, smallest)]
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    first = np.full(len(distinct), NEVER, np.int64)
+    checks = np.concatenate([np.frombuffer(x, np.uint32, len(k)) for k, x in zip(keys, extras)])
+    ids = [unpacked(x[4 * len(k) :], len(k)).view(np.int64) for k, x in zip(keys, extras)]
+    places, inverse = distinct(np.concatenate(keys), checks)
+    first = np.full(len(places), NEVER, np.int64)
     np.minimum.at(first, inverse, np.concatenate(ids))
     bits = np.split(first[inverse] < np.concatenate(ids), np.cumsum([len(k) for k in keys])[:-1])
     return [packed_bits(b) if b.any() else None for b in bits]
@@ -133,8 +149,9 @@ def earlier_windows(keys: list, smallest: list) -> list:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept) for each row: ``spans`` are the removed runs {start, end} in words, ``kept`` the words that
     stay joined by one blank."""
-    buckets = batch_count(docs, text)
-    batches = with_batch(docs, doc_id, text, buckets)
+    parts = batch_count(docs, text)
+    buckets = buckets_for(parts)
+    batches = with_batch(docs, doc_id, text, parts)
     digests = batches.filter("doc_id is not null and length(text) > 0").select("doc_id", "batch", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").drop("last_id")
     copies = salted_join(digests, first, "digest", "doc_id").filter("doc_id > first_id").select("batch", F.lit(COPY).alias("kind"), F.lit(0).alias("bucket"), "doc_id", F.lit(None).cast("binary").alias("reply"))
@@ -152,7 +169,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         batch = Batch(rows, more, window, buckets)
         batch.extended()
         number = rows.column("batch")[0].as_py() if rows.num_rows else -1
-        return sent(number, batch.window_keys, buckets, 64, lambda own: packed(batch.smallest[own].view(np.uint64)))
+        return sent(number, batch.window_keys, buckets, 64, lambda own: batch.window_checks[own].astype(np.uint32).tobytes() + packed(batch.smallest[own].view(np.uint64)))
 
     def cut(rows: pa.Table, more: pa.Table) -> pa.Table:
         batch = Batch(rows, more, window, buckets)
