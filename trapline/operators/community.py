@@ -145,3 +145,43 @@ def top_by_rai(pairs: DataFrame, limit: int = 30) -> DataFrame:
             half_even(F.col("left_rai"), 3).alias("left_rai"), half_even(F.col("right_rai"), 3).alias("right_rai"),
         )
     )
+
+
+INDICES = ("trap_days", "active_locations", "total_detections", "species_count", "shannon", "simpson", "pielou")
+
+
+def compare_regions(rows: DataFrame, present: DataFrame, species: DataFrame, name, labels: dict[str, str], limit: int = 30) -> DataFrame:
+    """The whole comparison of two regions as (section, side, item, metric, value).
+
+    ``rows`` is ``region_activity`` over a stored table, ``present`` is ``region_species``, ``labels`` names both regions, the
+    left one first. Sections: ``region`` (totals and diversity of each side, its label as item), ``similarity``, ``species``
+    (counts and rates of the species with the largest rates) and ``names`` (of the shared and one-sided species).
+    """
+    (left, left_label), (right, right_label) = labels.items()
+    rai, pairs = region_rai(rows), presence(present, left, right)
+    paired = paired_counts(rai, left, right)
+    found = present.groupBy("region").agg(F.count_distinct("species_id").alias("species_count"))
+    sides = region_totals(rows).join(found, "region", "full").join(diversity(rai), "region", "left").where(F.col("region").isin(left, right))
+    label = F.when(F.col("region") == left, left_label).otherwise(right_label)
+    named = species.select(F.col("id").alias("species_id"), name.alias("_name"))
+    title = F.coalesce("_name", F.concat(F.lit("Species "), F.col("species_id").cast("string")))
+    nothing = F.lit(None).cast("string")
+
+    def listed(section: str, table: DataFrame, metrics, side=nothing, item=nothing) -> DataFrame:
+        ids = [F.lit(section).alias("section"), side.alias("side"), item.alias("item")]
+        wide = table.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics])
+        return wide.unpivot(["section", "side", "item"], list(metrics), "metric", "value")
+
+    presences, abundances = presence_similarity(pairs), abundance_similarity(paired)
+    top = top_by_rai(paired, limit).join(named, "species_id", "left")
+    names = presence_names(pairs, species, name)
+    parts = [
+        listed("similarity", presences, presences.columns),
+        listed("similarity", abundances, abundances.columns),
+        listed("species", top, ("left_count", "right_count", "left_rai", "right_rai"), item=title),
+        names.select(F.lit("names").alias("section"), "side", F.col("name").alias("item"), nothing.alias("metric"), F.lit(None).cast("double").alias("value")),
+    ]
+    report = listed("region", sides, INDICES, F.col("region"), label)
+    for part in parts:
+        report = report.unionByName(part)
+    return report

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 from trapline.functions.pairing import spread
 from trapline.functions.resampling import draw_counts, draw_key
+from trapline.operators.activity import total_effort
+from trapline.operators.filters import qc_exclude
+from trapline.session import cut_lineage
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -283,12 +288,15 @@ LEAST_WITH_BAND, LEAST_PLAIN = 5, 2
 MODES = ("rai", "percent")
 
 
-def activity_report(times: DataFrame, effort: DataFrame, bandwidth: float = 0.1, replicates: int = 0, seed: int = 1) -> DataFrame:
+def activity_report(
+    times: DataFrame, effort: DataFrame, bandwidth: float = 0.1, replicates: int = 0, seed: int = 1, replicated: DataFrame | None = None
+) -> DataFrame:
     """Curves of every species with enough detections in both modes: (mode, species_id, i, hour, mean, ci_lower, ci_upper).
-    With ``replicates`` the mean and the band come from resampled sites, otherwise there is no band. ``times`` is read
-    several times and should be a stored table."""
+    With ``replicates`` the mean and the band come from resampled sites (``replicated``, where the caller has them already),
+    otherwise there is no band. ``times`` is read several times and should be a stored table."""
     parts = []
-    replicated = resampled_curves(times, bandwidth, replicates, seed, LEAST_WITH_BAND) if replicates else None
+    if replicated is None and replicates:
+        replicated = resampled_curves(times, bandwidth, replicates, seed, LEAST_WITH_BAND)
     for mode in MODES:
         if replicated is not None:
             curves = curve_band(replicated, mode, effort)
@@ -351,6 +359,50 @@ def overlap_band(replicates: DataFrame) -> DataFrame:
     return listed.unionByName(_diagonal(replicates))
 
 
+class SiteReport(NamedTuple):
+    """Effort, curves and overlap of one report."""
+
+    effort: DataFrame
+    curves: DataFrame
+    overlap: DataFrame
+
+
+def site_report(
+    verified: DataFrame,
+    days: DataFrame,
+    species_ids: Iterable[int],
+    sites: DataFrame | None = None,
+    deployments: DataFrame | None = None,
+    flags: Iterable[str] = (),
+    bandwidth: float = 0.1,
+    replicates: int = 0,
+    seed: int = 1,
+) -> SiteReport:
+    """The report over chosen species and sites (``sites``: id; all if None).
+
+    Effort counts the photo ``days`` of the same sites. Series on days of a deployment that raises one of ``flags`` are left
+    out of the curves, never out of the effort. The overlap comes from the replicates of the curves, and is empty with fewer
+    than two charted species.
+    """
+    if sites is not None:
+        inside = sites.select(F.col("id").alias("location_id"))
+        verified, days = verified.join(inside, "location_id", "left_semi"), days.join(inside, "location_id", "left_semi")
+    shown = verified.where(F.col("species_id").isin(*species_ids))
+    if deployments is not None:
+        shown = qc_exclude(shown, deployments, flags)
+    times, effort = cut_lineage(detection_times(shown)), total_effort(days)
+    if replicates:
+        replicated = cut_lineage(resampled_curves(times, bandwidth, replicates, seed, LEAST_WITH_BAND))
+        curves = activity_report(times, effort, bandwidth, replicates, seed, replicated)
+        matrix, charted = overlap_band(replicated), replicated
+    else:
+        curves = activity_report(times, effort, bandwidth)
+        charted = activity_curve(times, "percent", bandwidth, least=LEAST_PLAIN)
+        matrix = overlap_matrix(charted)
+    several = charted.agg(F.count_distinct("species_id")).scalar() > 1
+    return SiteReport(effort, curves, matrix.where(several))
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: overlap coefficient of two single curves (columns i, mean)."""
     sums = [c.agg(F.sum("mean")).scalar() for c in (a, b)]

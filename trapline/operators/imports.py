@@ -284,6 +284,20 @@ def new_sites(resolved: DataFrame, institutions: DataFrame) -> DataFrame:
     )
 
 
+def with_new_sites(locations: DataFrame, new: DataFrame) -> DataFrame:
+    """The sites with the created ones after them. An id comes from the name, so a repeated import creates the same site."""
+    made = new.select(F.xxhash64("name").alias("id"), "name", "latitude", "longitude")
+    kinds = dict(locations.dtypes)
+    typed = made.select("id", *[F.col(c).cast(kinds[c]).alias(c) for c in ("name", "latitude", "longitude")])
+    return locations.withColumn("id", F.col("id").cast("bigint")).unionByName(typed, allowMissingColumns=True)
+
+
+def with_new_links(location_institutions: DataFrame, new: DataFrame) -> DataFrame:
+    """(location_id, institution_id) with the links of the created sites whose institution is known."""
+    made = new.where("institution_id IS NOT NULL").select(F.xxhash64("name").alias("location_id"), "institution_id")
+    return location_institutions.select("location_id", "institution_id").union(made).distinct()
+
+
 MERGED = [f for f in FIELDS if f not in ("name", "latitude", "longitude")]
 
 

@@ -356,6 +356,35 @@ def remaining_series(
     )
 
 
+def remaining_in_scope(
+    observations: DataFrame,
+    photos: DataFrame,
+    identifications: DataFrame,
+    locations: DataFrame,
+    location_institutions: DataFrame,
+    users: DataFrame,
+    user_institutions: DataFrame,
+    chosen: DataFrame,
+) -> DataFrame:
+    """``remaining_series`` inside the ``chosen`` institutions (institution_id): the one selected, or those of an ecoregion.
+
+    Admins count over all of them, members over those they belong to. For everyone else the selection is ignored, and for
+    admins too when it names no institution.
+    """
+    linked = location_institutions.join(chosen, "institution_id", "left_semi")
+    own = user_institutions.join(chosen, "institution_id", "left_semi")
+    members = own.select(F.col("user_id").alias("id")).distinct().withColumn("_member", F.lit(True))
+    known = chosen.agg(F.count(F.lit(1))).scalar() > 0
+    marked = users.join(members, "id", "left").withColumn("_inside", F.when(F.col("is_admin"), known).otherwise(F.col("_member").isNotNull()))
+    inside = observations.join(linked.select("location_id").distinct(), "location_id", "left_semi")
+    by_membership = locations.withColumn("visibility_level", F.lit(1))
+    scoped = remaining_series(inside, photos, identifications, by_membership, linked, marked.where("_inside"), own)
+    others = marked.where("NOT _inside")
+    return scoped.unionByName(
+        remaining_series(observations, photos, identifications, locations, location_institutions, others, user_institutions)
+    )
+
+
 # The fewest open series worth a reminder, and the forms of the noun beside the number.
 REMINDER_LEAST = 10
 SERIES_FORMS = ("серія", "серії", "серій")

@@ -344,6 +344,9 @@ def unfavoured_photos(s):
 PEOPLE = "SELECT id, id = 0 AS is_admin FROM {users}"
 MEMBERSHIPS = """SELECT id AS user_id, CAST(id % 5 AS INT) AS institution_id FROM {users} WHERE id <> 4
     UNION ALL SELECT id AS user_id, CAST((id + 2) % 5 AS INT) AS institution_id FROM {users} WHERE id = 2"""
+REMAINING_SQL = """SELECT u.id AS user_id, COUNT(o.id) AS remaining_count, COUNT(v.observation_id) AS already_identified_count FROM people u
+        LEFT JOIN (SELECT a.* FROM {pairs} a LEFT JOIN voted_pairs w ON w.observation_id = a.id AND w.user_id = a.user_id WHERE w.user_id IS NULL) o ON o.user_id = u.id
+        LEFT JOIN (SELECT DISTINCT observation_id FROM voted_pairs) v ON v.observation_id = o.id GROUP BY u.id"""
 REMAINING = {
     "people": PEOPLE.replace("{", "").replace("}", ""),
     "memberships": MEMBERSHIPS.replace("{", "").replace("}", ""),
@@ -351,9 +354,7 @@ REMAINING = {
         AND (u.is_admin OR l.visibility_level = 0 OR EXISTS (SELECT 1 FROM memberships m JOIN location_institutions li ON li.institution_id = m.institution_id
             WHERE m.user_id = u.id AND li.location_id = l.id))""",
     "voted_pairs": "SELECT DISTINCT p.observation_id, i.user_id FROM identifications i JOIN photos p ON p.id = i.photo_id",
-    "remaining": """SELECT u.id AS user_id, COUNT(o.id) AS remaining_count, COUNT(v.observation_id) AS already_identified_count FROM people u
-        LEFT JOIN (SELECT a.* FROM open_pairs a LEFT JOIN voted_pairs w ON w.observation_id = a.id AND w.user_id = a.user_id WHERE w.user_id IS NULL) o ON o.user_id = u.id
-        LEFT JOIN (SELECT DISTINCT observation_id FROM voted_pairs) v ON v.observation_id = o.id GROUP BY u.id""",
+    "remaining": REMAINING_SQL.format(pairs="open_pairs"),
 }
 
 
@@ -369,6 +370,37 @@ def remaining_series(s):
     return _remaining(s)
 
 
+def _selected(condition: str) -> dict[str, str]:
+    """SQL of the queue inside the institutions of a condition."""
+    return {
+        **REMAINING,
+        "chosen_pairs": f"""SELECT u.id AS user_id, i.id AS institution_id FROM people u JOIN institutions i ON {condition}
+            AND (u.is_admin OR EXISTS (SELECT 1 FROM memberships m WHERE m.user_id = u.id AND m.institution_id = i.id))""",
+        "chosen_sites": "SELECT DISTINCT c.user_id, li.location_id FROM chosen_pairs c JOIN location_institutions li ON li.institution_id = c.institution_id",
+        "scoped_pairs": """SELECT a.user_id, a.id FROM open_pairs a JOIN observations o ON o.id = a.id
+            LEFT JOIN chosen_sites c ON c.user_id = a.user_id AND c.location_id = o.location_id
+            WHERE c.user_id IS NOT NULL OR a.user_id NOT IN (SELECT user_id FROM chosen_pairs)""",
+    }
+
+
+def _remaining_inside(s, condition: str):
+    return Y.remaining_in_scope(
+        s.observations, s.photos, s.identifications, s.locations, s.location_institutions,
+        s.spark.sql(PEOPLE, users=s.users), s.spark.sql(MEMBERSHIPS, users=s.users),
+        s.institutions.where(condition).select(F.col("id").alias("institution_id")),
+    )
+
+
+@query("w1_remaining_in_institution", REMAINING_SQL.format(pairs="scoped_pairs"), **_selected("i.id = 1"))
+def remaining_in_institution(s):
+    return _remaining_inside(s, "id = 1")
+
+
+@query("w1_remaining_in_ecoregion", REMAINING_SQL.format(pairs="scoped_pairs"), **_selected("i.ecoregion = 'mountain'"))
+def remaining_in_ecoregion(s):
+    return _remaining_inside(s, "ecoregion = 'mountain'")
+
+
 @query(
     "w1_reminders",
     """SELECT user_id, remaining_count, CASE WHEN remaining_count % 100 BETWEEN 11 AND 19 THEN 'серій' WHEN remaining_count % 10 = 1 THEN 'серія'
@@ -480,6 +512,22 @@ def series_predicted_as(s):
     return P.series_predicted_as(s.ai_predictions, _models(s), 4)
 
 
+@query(
+    "w1_remaining_predicted",
+    REMAINING_SQL.format(pairs="predicted_pairs"),
+    predicted_pairs="SELECT * FROM open_pairs WHERE id IN (SELECT observation_id FROM won WHERE species_id = 4)",
+    graded=MODELS_SQL,
+    won=WON_SQL,
+    **REMAINING,
+)
+def remaining_predicted(s):
+    chosen = P.series_predicted_as(s.ai_predictions, _models(s), 4).select(F.col("observation_id").alias("id"))
+    return Y.remaining_series(
+        s.observations.join(chosen, "id", "left_semi"), s.photos, s.identifications, s.locations, s.location_institutions,
+        s.spark.sql(PEOPLE, users=s.users), s.spark.sql(MEMBERSHIPS, users=s.users),
+    )
+
+
 @query(
     "p4_backlog",
     """SELECT (SELECT COUNT(DISTINCT observation_id) FROM ai_predictions WHERE model_id = 2) AS classified, COUNT(*) AS remaining FROM observations o

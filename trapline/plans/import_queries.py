@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from trapline.operators import imports as I
 from trapline.plans.registry import query
+from trapline.session import cut_lineage, shared_folder
 from trapline.sources import detections as N
 from trapline.sources import sheets as H
+from trapline.sources import tables as W
 
 
 def bare(text: str) -> str:
@@ -63,6 +65,20 @@ def parsed_detections(s):
     return N.parse_detections(_raw(s))
 
 
+def _written(s, rows, name: str) -> str:
+    """Rows as text files with a header, blanks kept."""
+    path = W.fresh_folder(shared_folder(s.spark), name)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quoteAll": True, "escape": '"'}
+    rows.write.options(header=True, **kept).csv(path)
+    return path
+
+
+@query("s2_file_detections", "SELECT * EXCLUDE (location_id, line_no) FROM parsed", **FILE)
+def file_detections(s):
+    path = _written(s, _raw(s).drop("location_id", "line_no"), "detections")
+    return N.parse_detections(N.read_raw_detections(s.spark, path)).drop("file", "line_no")
+
+
 @query(
     "s2_rejected_detections",
     """SELECT location_id, line_no, TRIM(date) AS bad_date FROM raw_rows WHERE TRIM(filename) <> ''
@@ -301,6 +317,20 @@ def sheet_rows(s):
     )
 
 
+@query(
+    "s3_file_sheet_rows",
+    "SELECT sheet_no, name, study_year, camera_id, start_date, qc_data_not_usable, qc_stolen, qc_sd_issue, n_photos, qc_comment, start_time, park FROM sheet_rows",
+    **SHEETS,
+)
+def file_sheet_rows(s):
+    sheets = {"A": s.spark.sql(SHEET_A, customer=s.customer).toDF(*HEADERS_A), "B": s.spark.sql(SHEET_B, customer=s.customer).toDF(*HEADERS_B)}
+    paths = {name: _written(s, sheet.drop("row_no"), f"sheet-{name}") for name, sheet in sheets.items()}
+    return H.read_sheets(s.spark, paths).select(
+        "sheet_no", "name", "study_year", "camera_id", "start_date", "qc_data_not_usable", "qc_stolen", "qc_sd_issue", "n_photos",
+        "qc_comment", "start_time", "park",
+    )
+
+
 @query(
     "m5_sheet_warnings",
     f"""SELECT 'A' AS sheet, row_no, 'study_year' AS field, yr AS raw_value FROM sheet_a WHERE yr = 'soon'
@@ -356,6 +386,47 @@ def merged_register(s):
     )
 
 
+CREATED = {
+    **SHEETS,
+    "created": "SELECT DISTINCT name FROM placed_rows WHERE named IS NULL AND finite AND name IS NOT NULL",
+    "linked": """SELECT t.name, i.id AS institution_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY sheet_no, row_no) AS k FROM placed_rows
+        WHERE named IS NULL AND finite AND name IS NOT NULL) t JOIN institutions i ON LOWER(TRIM(i.name)) = LOWER(TRIM(t.park)) WHERE t.k = 1""",
+}
+
+
+def _created(s):
+    """Sites to create, and all sites with them."""
+    sites = _sites(s)
+    new = cut_lineage(I.new_sites(I.resolve_deployments(_sheets(s), sites, create_missing=True), s.institutions))
+    return new, I.with_new_sites(sites, new)
+
+
+@query(
+    "m6_register_with_new_sites",
+    """SELECT COALESCE(d.name, n.name) AS name, CASE WHEN n.name IS NULL THEN l.name ELSE n.site END AS site,
+    CASE WHEN n.name IS NULL THEN 'kept' WHEN d.name IS NULL THEN 'added' ELSE 'updated' END AS change FROM deployments d FULL JOIN (
+        SELECT name, MAX(CASE WHEN named IS NOT NULL OR name IN (SELECT name FROM created) THEN name END) AS site
+        FROM placed_rows WHERE NOT unreadable AND name IS NOT NULL GROUP BY name) n ON n.name = d.name LEFT JOIN sites l ON l.id = d.location_id""",
+    **CREATED,
+)
+def register_with_new_sites(s):
+    _, sites = _created(s)
+    merged = I.upsert_deployments(s.deployments, I.resolve_deployments(_sheets(s), sites, create_missing=True))
+    named = sites.select(F.col("id").alias("location_id"), F.col("name").alias("site"))
+    return merged.select("name", "location_id", "change").join(named, "location_id", "left").select("name", "site", "change")
+
+
+@query(
+    "m6_links_of_new_sites",
+    """SELECT l.name, li.institution_id FROM location_institutions li JOIN sites l ON l.id = li.location_id UNION SELECT name, institution_id FROM linked""",
+    **CREATED,
+)
+def links_of_new_sites(s):
+    new, sites = _created(s)
+    links = I.with_new_links(s.location_institutions, new)
+    return links.join(sites.select(F.col("id").alias("location_id"), "name"), "location_id").select("name", "institution_id")
+
+
 @query(
     "m6_counters",
     """SELECT outcome AS metric, COUNT(*) AS value FROM resolved WHERE outcome <> 'accepted' GROUP BY outcome

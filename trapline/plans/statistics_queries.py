@@ -288,6 +288,38 @@ def activity_report(s):
     return _report(D.activity_report(_times(s), _effort(s), 0.25))
 
 
+SCOPED_HOURS = {
+    **HOURS,
+    "scoped_sites": "SELECT location_id FROM location_institutions WHERE institution_id = 1",
+    "hours": HOURS["hours"].replace("SELECT id,", "SELECT id, CAST(series_start_time AS DATE) AS day,", 1),
+    "animal_hours": """SELECT * FROM hours WHERE species_id IN (1, 2, 3, 5) AND location_id IN (SELECT location_id FROM scoped_sites)
+        AND NOT EXISTS (SELECT 1 FROM deployments d WHERE d.location_id = hours.location_id AND hours.day BETWEEN d.start_date AND d.end_date
+            AND (d.qc_stolen = TRUE OR d.qc_sd_issue = TRUE))""",
+    "days": HOURS["days"] + " AND o.location_id IN (SELECT location_id FROM scoped_sites)",
+}
+
+
+@query(
+    "t10_site_report",
+    """SELECT 'rai' AS section, species_id AS species_a, CAST(NULL AS BIGINT) AS species_b, i, ROUND(dens * total * 100 / (SELECT e FROM worked), 6) AS value FROM smooth
+    UNION ALL SELECT 'percent', species_id, NULL, i, ROUND(dens * 100, 6) FROM smooth
+    UNION ALL SELECT 'overlap', a.species_id, b.species_id, NULL, CASE WHEN a.species_id = b.species_id THEN 1.0 ELSE ROUND(SUM(LEAST(a.p, b.p)), 6) END
+        FROM shares a JOIN shares b ON b.i = a.i GROUP BY a.species_id, b.species_id
+    UNION ALL SELECT 'effort', NULL, NULL, NULL, CAST(e AS DOUBLE) FROM worked""",
+    **SCOPED_HOURS,
+)
+def site_report(s):
+    sites = S.scope_locations("institution:1", s.locations, s.institutions, s.location_institutions)
+    placed = S.at_valid_locations(s.observations, s.locations, strict=True)
+    days = A.photo_days(L.captured_between(s.photos, FIRST, LAST), placed)
+    report = D.site_report(_verified(s), days, (1, 2, 3, 5), sites, s.deployments, ("qc_stolen", "qc_sd_issue"), 0.25)
+    unknown, no_place = F.lit(None).cast("bigint").alias("species_b"), F.lit(None).cast("int").alias("i")
+    curves = report.curves.select(F.col("mode").alias("section"), F.col("species_id").alias("species_a"), unknown, "i", F.round("mean", 6).alias("value"))
+    overlaps = report.overlap.select(F.lit("overlap").alias("section"), "species_a", "species_b", no_place, F.round("mean", 6).alias("value"))
+    effort = report.effort.select(F.lit("effort").alias("section"), unknown.alias("species_a"), unknown, no_place, F.col("effort_days").cast("double").alias("value"))
+    return curves.unionByName(overlaps).unionByName(effort)
+
+
 @query("t10_activity_report_band")
 def activity_report_band(s):
     return _report(D.activity_report(_times(s), _effort(s), 0.25, REPLICATES))
@@ -353,10 +385,13 @@ def _region_rows(s):
     return M.region_activity(stored_activity(s), _regions(s), FIRST, LAST)
 
 
-def _presence(s):
+def _present(s):
     placed = S.at_valid_locations(s.observations, s.locations, strict=True)
-    present = M.region_species(s.identifications, s.photos, placed, _regions(s), FIRST, LAST)
-    return M.presence(present, "left", "right")
+    return M.region_species(s.identifications, s.photos, placed, _regions(s), FIRST, LAST)
+
+
+def _presence(s):
+    return M.presence(_present(s), "left", "right")
 
 
 @query("t12_region_rai", "SELECT region, species_id, detections, ROUND(rai, 9) AS rai FROM rai", **REGIONS)
@@ -364,44 +399,40 @@ def region_rai(s):
     return M.region_rai(_region_rows(s)).select("region", "species_id", "detections", F.round("rai", 9).alias("rai"))
 
 
-@query(
-    "t13_diversity",
-    """SELECT region, ROUND_EVEN(-SUM(CASE WHEN p > 0 THEN p * LN(p) END), 3) AS shannon, ROUND_EVEN(1 - SUM(p * p), 3) AS simpson,
+DIVERSITY_SQL = """SELECT region, ROUND_EVEN(-SUM(CASE WHEN p > 0 THEN p * LN(p) END), 3) AS shannon, ROUND_EVEN(1 - SUM(p * p), 3) AS simpson,
     ROUND_EVEN(-SUM(CASE WHEN p > 0 THEN p * LN(p) END) / LN(COUNT(*)), 3) AS pielou FROM (SELECT region, rai / SUM(rai) OVER (PARTITION BY region) AS p FROM rai) t
-    GROUP BY region""",
-    **REGIONS,
-)
+    GROUP BY region"""
+
+
+@query("t13_diversity", DIVERSITY_SQL, **REGIONS)
 def diversity(s):
     return M.diversity(M.region_rai(_region_rows(s)))
 
 
-@query(
-    "t14_presence_similarity",
-    """SELECT COUNT(*) FILTER (WHERE l AND r) AS shared_count, COUNT(*) FILTER (WHERE l AND NOT r) AS left_only_count,
+PRESENCE_SQL = """SELECT COUNT(*) FILTER (WHERE l AND r) AS shared_count, COUNT(*) FILTER (WHERE l AND NOT r) AS left_only_count,
     COUNT(*) FILTER (WHERE r AND NOT l) AS right_only_count, ROUND_EVEN(COUNT(*) FILTER (WHERE l AND r) / COUNT(*), 3) AS jaccard,
-    ROUND_EVEN(2 * COUNT(*) FILTER (WHERE l AND r) / (COUNT(*) FILTER (WHERE l) + COUNT(*) FILTER (WHERE r)), 3) AS sorensen FROM sides""",
-    **REGIONS,
-)
+    ROUND_EVEN(2 * COUNT(*) FILTER (WHERE l AND r) / (COUNT(*) FILTER (WHERE l) + COUNT(*) FILTER (WHERE r)), 3) AS sorensen FROM sides"""
+
+
+@query("t14_presence_similarity", PRESENCE_SQL, **REGIONS)
 def presence_similarity(s):
     return M.presence_similarity(_presence(s))
 
 
-@query(
-    "t14_presence_names",
-    """SELECT CASE WHEN l AND r THEN 'shared' WHEN l THEN 'left' ELSE 'right' END AS side, COALESCE(s.common_name_en, s.scientific_name) AS name
-    FROM sides JOIN species s ON s.id = sides.species_id""",
-    **REGIONS,
-)
+NAMES_SQL = """SELECT CASE WHEN l AND r THEN 'shared' WHEN l THEN 'left' ELSE 'right' END AS side, COALESCE(s.common_name_en, s.scientific_name) AS name
+    FROM sides JOIN species s ON s.id = sides.species_id"""
+
+
+@query("t14_presence_names", NAMES_SQL, **REGIONS)
 def presence_names(s):
     return M.presence_names(_presence(s), s.species, species_label("en"))
 
 
-@query(
-    "t15_abundance_similarity",
-    """SELECT ROUND_EVEN(1 - 2 * SUM(LEAST(a, b)) / SUM(a + b), 3) AS bray_curtis,
-    ROUND_EVEN(2 * SUM(a * b) / ((SUM(a * a) / (SUM(a) * SUM(a)) + SUM(b * b) / (SUM(b) * SUM(b))) * SUM(a) * SUM(b)), 3) AS morisita_horn FROM paired""",
-    **REGIONS,
-)
+ABUNDANCE_SQL = """SELECT ROUND_EVEN(1 - 2 * SUM(LEAST(a, b)) / SUM(a + b), 3) AS bray_curtis,
+    ROUND_EVEN(2 * SUM(a * b) / ((SUM(a * a) / (SUM(a) * SUM(a)) + SUM(b * b) / (SUM(b) * SUM(b))) * SUM(a) * SUM(b)), 3) AS morisita_horn FROM paired"""
+
+
+@query("t15_abundance_similarity", ABUNDANCE_SQL, **REGIONS)
 def abundance_similarity(s):
     return M.abundance_similarity(M.paired_counts(M.region_rai(_region_rows(s)), "left", "right"))
 
@@ -425,6 +456,37 @@ def top_species_by_rai(s):
     return M.top_by_rai(M.paired_counts(M.region_rai(_region_rows(s)), "left", "right"))
 
 
+def _metrics(section: str, source: str, metrics: tuple[str, ...], side: str = "CAST(NULL AS VARCHAR)", item: str = "CAST(NULL AS VARCHAR)") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, {side} AS side, {item} AS item, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {source}" for m in metrics
+    )
+
+
+@query(
+    "t16_region_report",
+    " UNION ALL ".join(
+        [
+            _metrics("region", "region_rows", M.INDICES, "region", "CASE region WHEN 'left' THEN 'Institution 1' ELSE 'Lowland' END"),
+            _metrics("similarity", "presences", ("shared_count", "left_only_count", "right_only_count", "jaccard", "sorensen")),
+            _metrics("similarity", "abundances", ("bray_curtis", "morisita_horn")),
+            _metrics("species", "top_species", ("left_count", "right_count", "left_rai", "right_rai"), item="name"),
+            "SELECT 'names', side, name, NULL, NULL FROM side_names",
+        ]
+    ),
+    indices=DIVERSITY_SQL,
+    presences=PRESENCE_SQL,
+    abundances=ABUNDANCE_SQL,
+    side_names=NAMES_SQL,
+    region_rows="""SELECT t.*, n.species_count, d.shannon, d.simpson, d.pielou FROM totals t JOIN indices d ON d.region = t.region
+        JOIN (SELECT region, COUNT(*) AS species_count FROM present GROUP BY region) n ON n.region = t.region""",
+    top_species="""SELECT COALESCE(s.common_name_en, s.scientific_name) AS name, a AS left_count, b AS right_count, ROUND_EVEN(ra, 3) AS left_rai, ROUND_EVEN(rb, 3) AS right_rai
+        FROM paired p JOIN species s ON s.id = p.species_id ORDER BY ra + rb DESC, p.species_id LIMIT 30""",
+    **REGIONS,
+)
+def region_report(s):
+    return M.compare_regions(_region_rows(s), _present(s), s.species, species_label("en"), {"left": "Institution 1", "right": "Lowland"})
+
+
 @query(
     "a17_trend_lookup",
     """SELECT year, ROUND(mean_dr_index, 6) AS mean_dr_index FROM trends WHERE species_id = 2 AND scope_type = 'institution' AND scope_id = '1'
