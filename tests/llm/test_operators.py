@@ -316,6 +316,15 @@ def test_substring_dedup(docs, rows, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_substring_dedup_of_neighbouring_large_ids(spark):
+    passage = [f"p{k}" for k in range(20)]
+    table = [(1, " ".join(passage)), (2**60, " ".join(passage))]
+    table += [(2**60 + i, " ".join([f"own{i}-{k}" for k in range(15)] + passage)) for i in range(1, 41)]
+    found = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert found[1].n_removed == 0 and found[2**60].n_removed == 20 and found[2**60].kept == ""
+    assert all(r.kept == " ".join(f"own{i - 2**60}-{k}" for k in range(15)) for i, r in found.items() if i > 2**60)
+
+
 def test_quality_on_held_out_texts(spark, docs, nothing):
     random.seed(8)
     word = lambda: "".join(random.choice("aeioubcdfg") for _ in range(5))

@@ -42,7 +42,8 @@ class Batch:
         data, offsets = utf8(rows.column("text"))
         self.words = Words(data, offsets, blank_separated())
         self.counts = np.diff(self.words.first)
-        kinds, buckets_, ids = (news.column(c).to_numpy() for c in ("kind_in", "bucket_in", "doc_id_in"))
+        kinds, buckets_ = (news.column(c).to_numpy() for c in ("kind_in", "bucket_in"))
+        ids = news.column("doc_id_in").fill_null(NEVER).to_numpy()  # with nulls numpy would round ids to floats
         replies = news.column("reply_in").to_pylist()
         self.replies = {(k, b): r for k, b, r in zip(kinds.tolist(), buckets_.tolist(), replies) if k != COPY}
         self.copy = np.isin(self.order, ids[kinds == COPY])
