@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trapline.llm import bpe, chat, decontamination, exact_dedup, exchange, language_id, language_model, near_dedup, quality, substring_dedup, url_templates
+from trapline.llm import bpe, chat, decontamination, exact_dedup, exchange, language_id, language_model, near_dedup, quality, queries, substring_dedup, url_templates
 from trapline.llm.words import Words, blank_separated, packed, unpacked, unpacked_bits, utf8, windows
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -393,6 +393,18 @@ def test_chat_layouts_and_round_trip(spark):
     assert chat.records_of(frame.limit(0)).count() == 0
 
 
+def test_chat_keeps_long_turns(spark, tmp_path):
+    size = 20_000_001
+    frame = spark.range(2).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, "q").otherwise(F.repeat(F.lit("y"), size)).alias("text"))
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = queries.op6_chat_format(spark, str(tmp_path)).filter("conv_id = 7").first()
+    assert (found.n_turns, found.loss_chars) == (2, size) and found.formatted_chars == 3 + 2 * 17 + len("user" + "q" + "assistant") + size
+    assert found.loss_sha256 == hashlib.sha256(b"y" * size).hexdigest()
+    large = F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("y"), 140_000_000), F.lit('", "response": "z"}'))
+    with pytest.raises(Exception, match="too large for Variant"):
+        chat.canonical(spark.range(1).select(large.alias("record"))).select(F.size("turns")).collect()
+
+
 def test_digest_of_whole_texts(docs, rows):
     found = {bytes(r.digest) for r in exact_dedup.text_digests(docs).collect()}
     assert found == {hashlib.sha256(lower(t).encode()).digest() for _, t in rows}

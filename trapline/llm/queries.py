@@ -48,7 +48,7 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    texts = chat.formatted(chat.canonical(chat.records_of(rows)))
+    texts = chat.formatted(chat.turns_of(rows))
     back = texts.withColumns({"back": chat.turns_back(F.col("formatted")), "under": F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss")), "")})
     told = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
