@@ -234,6 +234,39 @@ def test_language_model_probabilities_add_up():
     assert language_model.forward(classes, one, again)[0] > language_model.forward(classes, one, model)[0]
 
 
+def test_language_model_counts_are_those_of_whole_texts(monkeypatch):
+    rng, n = np.random.default_rng(3), 300
+    classes, bounds = rng.integers(0, 9, n), np.array([0, 1, 4, 50, 57, 250, n])
+    emits = np.zeros((language_model.CLASSES, language_model.STATES))
+    emits[:9] = rng.random((9, language_model.STATES))
+    model = language_model.Model(rng.dirichlet(np.ones(language_model.STATES)), rng.dirichlet(np.ones(language_model.STATES) * 0.3, language_model.STATES), emits / emits.sum(0), np.zeros(1))
+    starts, steps, found = np.zeros(language_model.STATES), np.zeros((language_model.STATES,) * 2), np.zeros(emits.shape)
+    for a, b in itertools.pairwise(bounds):  # forward and backward over one whole text
+        alpha, beta = [model.start * model.emit[classes[a]]], [np.ones(language_model.STATES)]
+        for c in classes[a + 1 : b]:
+            alpha.append(alpha[-1] @ model.step * model.emit[c])
+        for c in classes[a + 1 : b][::-1]:
+            beta.insert(0, model.step @ (model.emit[c] * beta[0]))
+        total = alpha[-1].sum()
+        starts += alpha[0] * beta[0] / total
+        for t in range(b - a):
+            found[classes[a + t]] += alpha[t] * beta[t] / total
+            if t + 1 < b - a:
+                steps += model.step * np.outer(alpha[t], model.emit[classes[a + t + 1]] * beta[t + 1]) / total
+    for stretch in (7, 512):
+        monkeypatch.setattr(language_model, "LONG", stretch)
+        for got, whole in zip(language_model.expected(classes, bounds, model, whole=True), (starts, steps, found)):
+            np.testing.assert_allclose(got, whole, rtol=1e-3, atol=1e-3)
+
+
+def test_language_model_learns_from_all_texts_in_every_round(docs, rows, monkeypatch):
+    seen, one_round = [], language_model.one_round
+    monkeypatch.setattr(language_model, "SAMPLE_BYTES", 1, raising=False)
+    monkeypatch.setattr(language_model, "one_round", lambda texts_, model: seen.append(texts_.count()) or one_round(texts_, model))
+    language_model.train(docs)
+    assert seen == [len(rows)] * 15
+
+
 def brute_components(rows, size, similarity=0.8):
     sets = {}
     for n, (i, t) in enumerate(rows):

@@ -4,9 +4,9 @@ Tokens are runs without blanks after lower-casing A-Z, then one end for each tex
 is a hash of its first two and last three bytes into ``CLASSES`` - 1, the end has the last class to itself. The model's probability of a
 text is the sum over state paths of the product of start, transition and P(class | state), times P(word | class) of each token:
 
-* Baum-Welch trains the states on all training texts. Texts are cut into stretches of ``STRETCH`` tokens that begin from the start
-  probabilities. Each task adds up its expected counts, Spark adds them over all tasks, and a model of fixed size comes back. A few
-  rounds on a sample find a beginning, ``ROUNDS`` rounds over all texts follow.
+* Baum-Welch trains the states: ``ROUNDS`` rounds from a fixed beginning, each over all training texts at every size of input. Long texts
+  are worked on in stretches of ``LONG`` tokens that take the states before and the tokens after them into account, so counts are those
+  of whole texts. Each task adds up its expected counts, Spark adds them over all tasks, and a model of fixed size comes back.
 * P(word | class) is its share of the class in training, less the share u of words unseen, which one unknown word for each class gets;
   u is the share of tokens whose word occurs once in training. A class without training tokens has only its unknown word.
 * Scoring runs the scaled forward recursion over whole texts, so the likelihood is exact under the model.
@@ -29,15 +29,16 @@ from trapline.llm.words import Words, blank_separated, lowered, mixed, packed, r
 STATES = 6
 CLASSES = 1 << 15
 END = CLASSES - 1
+#: Tokens of a stretch that counts as a text of its own; not used in training.
 STRETCH = 128
-#: Rounds of Baum-Welch over a sample of about so many bytes of text, then over all texts.
-SAMPLE_ROUNDS = 12
-SAMPLE_BYTES = 8_000_000
-ROUNDS = 3
+#: Tokens of a whole text that are worked on in a row; no result depends on it.
+LONG = 512
+#: Rounds of Baum-Welch over all texts.
+ROUNDS = 15
 #: Weight of the overall class shares, in tokens, in each state's emissions.
 PRIOR = 50.0
 CHUNK_BYTES = 4_000_000
-TOGETHER = 4096
+TOGETHER = 1024
 END_KEY = np.uint64(0xE4D0000000000001)
 
 
@@ -100,41 +101,89 @@ class Model:
         return cls(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0), tokens)
 
 
-def expected(classes: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, steps and (class, state) over stretches of texts."""
-    sizes = np.diff(bounds)
-    parts = -(-sizes // STRETCH)
-    begin = np.repeat(bounds[:-1], parts) + STRETCH * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    length = np.minimum(STRETCH, np.repeat(bounds[1:], parts) - begin)
+def longest_first(length: np.ndarray):
+    """Stretches from the longest, some at a time: which ones, and how many of them reach each place."""
     order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
-    starts, steps, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
+    for low in range(0, len(order), TOGETHER):
+        own = order[low : low + TOGETHER]
+        size = length[own]
+        yield own, np.searchsorted(-size, -np.arange(size[0]), "left")
+
+
+def transfers(classes: np.ndarray, begin: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
+    """For each stretch and each state of its first token the probability of its tokens and the state of the last, up to a factor a stretch."""
+    found = np.empty((len(begin), STATES, STATES))
+    for own, live in longest_first(length):
+        now = np.eye(STATES)[None, :, :]
+        for t, n in enumerate(live):
+            out = model.emit[classes[begin[own[:n]] + t]][:, None, :]
+            now = (now if t == 0 else (now[:n].reshape(-1, STATES) @ model.step).reshape(-1, STATES, STATES)) * out
+            now /= now.sum((1, 2), keepdims=True)
+            done = live[t + 1] if t + 1 < len(live) else 0
+            found[own[done:n]] = now[done:]
+    return found
+
+
+def borders(classes: np.ndarray, begin: np.ndarray, length: np.ndarray, parts: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each stretch the states' shares before its first token is seen and, up to a factor, the probability of all tokens after it given
+    the state of its last; and the expected steps between stretches of a text. ``parts`` is the number of stretches of each text."""
+    before, after, steps = np.repeat(model.start[None, :], len(begin), 0), np.ones((len(begin), STATES)), np.zeros((STATES, STATES))
+    cut = np.flatnonzero(np.repeat(parts, parts) > 1)
+    if not len(cut):
+        return before, after, steps
+    ended, at = np.empty((len(begin), STATES)), np.empty(len(begin), np.int64)
+    at[cut] = np.arange(len(cut))
+    through = transfers(classes, begin[cut], length[cut], model)
+    order = np.argsort(-parts, kind="stable")
+    first, most = (np.cumsum(parts) - parts)[order], parts[order]
+    later = [first[: np.searchsorted(-most, -k, "left")] + k for k in range(1, most[0])]  # the second stretch of each text, the third and so on
+    for own in later:
+        end = np.einsum("ns,nst->nt", before[own - 1], through[at[own - 1]])
+        ended[own - 1] = end / end.sum(1, keepdims=True)
+        before[own] = ended[own - 1] @ model.step
+    for own in reversed(later):
+        ahead = np.einsum("nst,nt->ns", through[at[own]], after[own])
+        ahead /= (before[own] * ahead).sum(1, keepdims=True)
+        steps += model.step * (ended[own - 1].T @ ahead)
+        after[own - 1] = ahead @ model.step.T
+    return before, after, steps
+
+
+def expected(classes: np.ndarray, bounds: np.ndarray, model: Model, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, steps and (class, state) over ``whole`` texts, or over stretches of ``STRETCH`` tokens as if each were a text."""
+    sizes, stretch = np.diff(bounds), LONG if whole else STRETCH
+    parts = -(-sizes // stretch)
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(bounds[:-1], parts) + stretch * place
+    length = np.minimum(stretch, np.repeat(bounds[1:], parts) - begin)
+    if not whole:
+        place, parts = np.zeros_like(place), np.ones_like(place)
+    before, after, steps = borders(classes, begin, length, parts, model)
+    starts, emits = np.zeros(STATES), np.zeros((CLASSES, STATES))
     step, emit = model.step.astype(np.float32), model.emit.astype(np.float32)
-    for low in range(0, len(begin), TOGETHER):
-        own, size = begin[low : low + TOGETHER], length[low : low + TOGETHER]
-        live = np.searchsorted(-size, -np.arange(size[0]), "left")  # stretches that reach each place
+    for own, live in longest_first(length):
         alphas, outs, seen = [], [], []
-        now = model.start.astype(np.float32)[None, :]
+        now = before[own].astype(np.float32)
         for t, n in enumerate(live):
-            symbol = classes[own[:n] + t]
+            symbol = classes[begin[own[:n]] + t]
             out = emit[symbol]
             now = (now if t == 0 else now[:n] @ step) * out
             total = now.sum(1, keepdims=True)
             now = now / total
             alphas.append(now), outs.append(out / total), seen.append(symbol)
-        beta = np.ones((live[-1], STATES), np.float32)
+        rest, ahead = after[own].astype(np.float32), None
         for t in range(len(live) - 1, -1, -1):
-            n = live[t]
-            if t + 1 < len(live):
-                ahead = outs[t + 1] * beta
-                steps += step * (alphas[t][: live[t + 1]].T @ ahead)
-                back = np.ones((n, STATES), np.float32)
-                back[: live[t + 1]] = ahead @ step.T
-                beta = back
+            n, done = live[t], live[t + 1] if t + 1 < len(live) else 0
+            beta = rest[:n].copy()
+            beta[done:] /= (alphas[t][done:] * beta[done:]).sum(1, keepdims=True)
+            if done:
+                steps += step * (alphas[t][:done].T @ ahead)
+                beta[:done] = ahead @ step.T
+            ahead = outs[t] * beta
             alphas[t] = alphas[t] * beta
         symbols, gammas = np.concatenate(seen), np.concatenate(alphas)
         gammas /= gammas.sum(1, keepdims=True)
-        starts += gammas[: live[0]].sum(0)
+        starts += gammas[: live[0]][place[own] == 0].sum(0)
         for k in range(STATES):
             emits[:, k] += np.bincount(symbols, gammas[:, k], minlength=CLASSES)
     return starts, steps, emits
@@ -153,7 +202,7 @@ def one_round(texts: DataFrame, model: Model) -> Model:
                 continue
             bounds = np.cumsum([0, *(len(b) // 2 for b in blobs)])
             classes = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
-            found = [*expected(classes, bounds, now), np.bincount(classes, minlength=CLASSES).astype(np.float64)]
+            found = [*expected(classes, bounds, now, whole=True), np.bincount(classes, minlength=CLASSES).astype(np.float64)]
             total = found if total is None else [a + b for a, b in zip(total, found)]
         if total is not None:
             starts, steps, emits, tokens = total
@@ -177,12 +226,7 @@ def one_round(texts: DataFrame, model: Model) -> Model:
 def train(docs: DataFrame, text: str = "text", learn: Column | None = None) -> Model:
     """The states' model from all texts that may be learnt from."""
     texts = stored(sequences(docs.filter(F.lit(True) if learn is None else learn), text))
-    size = texts.agg(F.sum(F.length("classes"))).first()[0] or 0
-    share = min(1.0, SAMPLE_BYTES / 3 / max(1, size))
-    sample = stored(texts.filter(F.pmod(F.xxhash64("classes"), F.lit(1 << 30)) < share * (1 << 30)))
     model = Model.first()
-    for _ in range(SAMPLE_ROUNDS):
-        model = one_round(sample, model)
     for _ in range(ROUNDS):
         model = one_round(texts, model)
     return model
