@@ -397,6 +397,15 @@ def test_url_branch_is_rejected_by_its_labels(spark):
     assert {r.template for r in url_templates.judge(spark.createDataFrame(slugs, "page_id long, url string"), rules).collect()} == {"/"}
 
 
+def test_url_branches_that_part_at_the_tenth_segment(spark):
+    deep = "https://a.net/" + "/".join("abcdefghi")
+    rules = [url_templates.Rule("block", "a.net", "/a/b/c/d/e/f/g/h/i/ad/x/1"), url_templates.Rule("allow", "a.net", "/a/b/c/d/e/f/g/h/i/news/1")]
+    urls = [f"{deep}/ad/x/1{i}" for i in range(40)] + [f"{deep}/news/1{i}" for i in range(40)] + [f"{deep}/ad/y/2", f"{deep}/news/2"]
+    found = {r.page_id: r for r in url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert (found[80].rule, found[80].verdict, found[80].template) == (None, "block", "/a/b/c/d/e/f/g/h/i/ad")
+    assert (found[81].rule, found[81].verdict, found[81].template) == (None, "allow", "/a/b/c/d/e/f/g/h/i/news")
+
+
 def test_chat_layouts_and_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\/s> \\ [\\\\INST] <s", "", "<s>[/INST", "\n\t\u0000\u2028 \U0001f600", "<<s>></s></s>", "[[INST]]"]
     records = [

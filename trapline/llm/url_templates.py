@@ -5,7 +5,7 @@ A url that is null or has no ``://`` has an empty host and path. Explicit rules
 path begins with the rule's path, and the longest one decides. The urls that rules decide are the labels of the tree:
 
 * Variable segments become wildcards: runs of digits turn into ``#``; where a host has more than ``FAN_OUT`` different segments at a depth,
-  those with less than 1 / ``FAN_OUT`` of the urls there turn into ``*``. The tree has ``DEPTH`` levels; longer paths end in its last.
+  those with less than 1 / ``FAN_OUT`` of the urls there turn into ``*``. The tree is as deep as the paths are.
 * A branch is merged with its parent unless its rate of blocked labels differs from its siblings' by more than ``Z`` standard errors.
 * The share of blocked labels of a branch is smoothed towards its parent's with the weight of ``SMOOTHING`` labels, the root's towards all.
 * A url without a rule is blocked if its branch's smoothed share is ``REJECT_AT`` or more, else allowed.
@@ -20,7 +20,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 8
 FAN_OUT = 50
 Z = 3.0
 MIN_LABELS = 5
@@ -70,7 +69,7 @@ def parsed(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: s
 def templates(rows: DataFrame) -> DataFrame:
     """(host, shape, n, labelled, blocked, steps) of the distinct shapes; ``steps`` are the template's segments."""
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("blocked"))
-    segments = shapes.select("host", "shape", "n", F.posexplode(F.slice(F.filter(F.split("shape", "/"), lambda x: x != ""), 1, DEPTH)).alias("depth", "segment"))
+    segments = shapes.select("host", "shape", "n", F.posexplode(F.filter(F.split("shape", "/"), lambda x: x != "")).alias("depth", "segment"))
     each = segments.groupBy("host", "depth", "segment").agg(F.sum("n").alias("n"))
     level = each.groupBy("host", "depth").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"))
     variable = each.join(level, ["host", "depth"]).filter((F.col("kinds") > FAN_OUT) & (F.col("n") * FAN_OUT < F.col("total"))).select("host", "depth", "segment", F.lit(True).alias("variable"))
