@@ -167,6 +167,20 @@ def test_language_identification(spark, docs, nothing):
     assert language_id.train(nothing) == {} and language_id.identify(docs, {}).filter("lang_pred != 'und'").count() == 0
 
 
+def test_language_samples_are_bounded_for_each_language(spark):
+    random.seed(8)
+    made = [(f"l{k:02}", "".join(random.choices("abcdefgh ", k=20_000))) for k in range(24) for _ in range(20)]
+    made += [("hot", "once and again " * 20)] * 400 + [("hot", f"single text number {i}") for i in range(50)]
+    made += [("small", "a language of one short text")]
+    table = spark.createDataFrame(made, "lang string, text string")
+    held = lambda trees: {name: int(levels[-1][1].sum()) for name, levels in trees.items()}
+    found = held(language_id.train(table, sample_bytes=30_000))
+    assert set(found) == {name for name, _ in made} and all(15_000 <= n <= 30_000 for name, n in found.items() if name[0] == "l")
+    assert found["hot"] == sum(len(t) for t in {t for name, t in made if name == "hot"}) and found["small"] == len(made[-1][1])
+    few = language_id.train(table, sample_bytes=30_000, nodes=30_000)
+    assert sum(len(levels[0][0]) for levels in few.values()) <= 30_000 and held(few)["small"] == found["small"] and held(few)["hot"] == found["hot"]
+
+
 def test_language_model_against_brute_force(docs, rows, nothing):
     held = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))
     model = language_model.train(docs, learn=~held)

@@ -14,15 +14,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapline.llm.words import lowered, row_slices, utf8
+from trapline.llm.shared import stored
+from trapline.llm.words import lowered, mixed, row_slices, utf8
 
 ORDER = 3
-#: Bytes of training text for each language, as an expected value: a hash of id and text picks the rows. The trees stay small with it.
+#: Most bytes of training text for each language, and half of them at least where it has so many: a hash of text and position picks pieces
+#: of its distinct texts. The trees stay small with it.
 SAMPLE_BYTES = 1_500_000
-#: Most tree nodes that are broadcast; the sample is halved until they fit.
+PIECE = 1024
+#: Most tree nodes that are broadcast; languages above their share of them learn from half the bytes until all fit.
 NODES = 4_000_000
 UNDETERMINED = "und"
 CHUNK_BYTES = 2_000_000
@@ -48,22 +51,65 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", learn: Column
     sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     if not sizes:
         return {}
+    pieces = sampled(rows, sizes, sample_bytes)
+    allowed = dict.fromkeys(sizes, sample_bytes)
     while True:
-        share = F.create_map(*[F.lit(x) for name, size in sorted(sizes.items()) for x in (name, min(1.0, sample_bytes / size))])
-        taken = rows.filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-        counts = taken.mapInArrow(gram_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-        found = counts.limit(nodes + 1).toPandas()
-        if len(found) <= nodes:
+        most = F.create_map(*[F.lit(x) for pair in sorted(allowed.items()) for x in pair])
+        taken = pieces.filter((F.col("upto") <= most[F.col("lang")]) | (F.col("upto") == F.col("size")))
+        counts = taken.select("lang", "piece", "at").mapInArrow(gram_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        kinds = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+        above = [name for name, n in kinds.items() if n * len(kinds) > nodes and allowed[name] > PIECE]
+        if sum(kinds.values()) <= nodes or not above:
             break
-        sample_bytes //= 2
+        allowed |= {name: allowed[name] // 2 for name in above}
+    found = counts.toPandas()
     return {name: tree(own["code"].to_numpy(np.uint32), own["n"].to_numpy(np.int64)) for name, own in sorted(found.groupby("lang"), key=lambda x: x[0])}
 
 
+def sampled(rows: DataFrame, sizes: dict[str, int], sample_bytes: int) -> DataFrame:
+    """(lang, piece, at, size, upto): pieces of each language's distinct texts with the ``ORDER`` bytes before them, from the smallest hash;
+    ``upto`` are the bytes so far. Where copies leave less than half of ``sample_bytes``, more is picked until nothing is left out."""
+    share = {name: min(1.0, sample_bytes / size) for name, size in sizes.items()}
+    keyed = rows.select("lang", "text", F.xxhash64("text", F.lit(7)).alias("key"))
+    while True:
+        picked = stored(keyed.mapInArrow(picker(dict(share)), "lang string, key long, at long, place double, size long, piece binary").dropDuplicates())
+        held = {r["lang"]: r["held"] for r in picked.groupBy("lang").agg(F.sum("size").alias("held")).collect()}
+        short = [name for name in share if share[name] < 1 and 2 * held.get(name, 0) < sample_bytes]
+        if not short:
+            break
+        share |= {name: min(1.0, 4 * share[name]) for name in short}
+    return picked.withColumn("upto", F.sum("size").over(Window.partitionBy("lang").orderBy("place", "key", "at", "piece").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def picker(share: dict[str, float]):
+    """Pieces of ``PIECE`` bytes whose hash is below their language's share."""
+
+    def run(batches):
+        for batch in batches:
+            names, keys = batch.column(0).to_pylist(), batch.column(2).to_numpy().view(np.uint64)
+            data, offsets = utf8(batch.column(1))
+            parts = -(-np.diff(offsets) // PIECE)
+            doc = np.repeat(np.arange(len(names)), parts)
+            at = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+            place = (mixed(keys[doc] + mixed(at + 1)) >> np.uint64(11)) / 2.0**53
+            own = np.flatnonzero(place < np.array([share[n] for n in names])[doc]) if names else np.zeros(0, np.int64)
+            doc, at, place = doc[own], at[own], place[own]
+            begin = offsets[doc] + at * PIECE
+            end = np.minimum(begin + PIECE, offsets[doc + 1])
+            pieces = [data[b:e].tobytes() for b, e in zip(begin - ORDER * (at > 0), end)]
+            columns = [pa.array([names[i] for i in doc], pa.string()), pa.array(keys[doc].view(np.int64)), pa.array(at), pa.array(place), pa.array(end - begin), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "key", "at", "place", "size", "piece"])
+
+    return run
+
+
 def gram_counts(batches):
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        codes, names = grams(lowered(data), offsets), batch.column(0).to_pylist()
-        owner = np.repeat(np.array(names, object), np.diff(offsets)) if names else np.array([], object)
+        sizes, later = np.diff(offsets), batch.column(2).to_numpy() > 0
+        own = np.arange(len(data)) - np.repeat(offsets[:-1], sizes) >= np.repeat(ORDER * later, sizes)  # not what only is the context
+        codes, names = grams(lowered(data), offsets)[own], batch.column(0).to_pylist()
+        owner = np.repeat(np.array(names, object), sizes)[own] if names else np.array([], object)
         for name in sorted(set(names)):
             code, n = np.unique(codes[owner == name], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n)], ["lang", "code", "n"])
