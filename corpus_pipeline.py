@@ -15,7 +15,8 @@ from trapline.llm.shared import read, stored
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; trees are learnt from the documents' own ``lang``."""
+    """Documents with a language; trees are learnt from the documents' own ``lang``. Where it is null in all rows nothing can be learnt, and
+    only texts without a letter go."""
     return language_id.drop_undetermined(docs, language_id.train(docs))
 
 

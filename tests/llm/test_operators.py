@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from trapline.llm import bpe, chat, decontamination, exact_dedup, exchange, language_id, language_model, near_dedup, quality, queries, substring_dedup, url_templates
 from trapline.llm.words import Words, blank_separated, packed, unpacked, unpacked_bits, utf8, windows
 
@@ -167,6 +168,12 @@ def test_language_identification(spark, docs, nothing):
     assert language_id.train(nothing) == {} and language_id.identify(docs, {}).filter("lang_pred != 'und'").count() == 0
 
 
+def test_documents_stay_where_no_language_is_known(spark):
+    table = spark.createDataFrame([(1, "a clean text", None), (2, "1234 !", None), (3, None, None), (4, "", None), (5, "\u0416 1", None)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.keep_known_languages(spark, table, "")
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5]
+
+
 def test_language_samples_are_bounded_for_each_language(spark):
     random.seed(8)
     made = [(f"l{k:02}", "".join(random.choices("abcdefgh ", k=20_000))) for k in range(24) for _ in range(20)]

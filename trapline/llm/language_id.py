@@ -167,13 +167,14 @@ def identify(docs: DataFrame, trees: dict[str, tuple], doc_id: str = "doc_id", t
 
 
 def drop_undetermined(docs: DataFrame, trees: dict[str, tuple], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns."""
-    predict, at = predictor(docs, trees), docs.columns.index(text)
+    """The rows of ``docs`` whose text has a language, with all their columns; where nothing could be learnt, those whose text has a letter."""
+    predict, at, trees = predictor(docs, trees), docs.columns.index(text), bool(trees)
 
     def run(batches):
         for batch in batches:
-            names, _, _ = predict(batch.column(at))
-            yield batch.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+            column = batch.column(at)
+            kept = [n != UNDETERMINED for n in predict(column)[0]] if trees else has_letter(*utf8(column), column)
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
