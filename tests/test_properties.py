@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trapline.functions.ordered import numbered, positions
+from trapline.functions.ordered import numbered, positions, ranked
 from trapline.functions.pairing import with_every
 from trapline.functions.resampling import draw_counts, draws
 from trapline.operators import activity as A
@@ -202,3 +202,22 @@ def test_resampled_curves_against_plain_numpy(spark, bandwidth):
             expected.update({(species, replicate, i): (len(hours), v) for i, v in enumerate(value)})
     assert found.keys() == expected.keys()
     assert all(found[k][0] == n and found[k][1] == pytest.approx(v, rel=1e-8, abs=1e-9) for k, (n, v) in expected.items())
+
+
+def test_positions_of_a_hot_key_are_spread(spark):
+    """One key holds most rows and its numbers are hashed: positions agree with a plain sort, and no task gets the key."""
+    key = F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, F.concat(F.lit("k"), (F.col("id") % 7).cast("string")))
+    rows = spark.range(20_000).select(key.alias("key"), F.xxhash64("id").alias("number"), F.lit(1).alias("_part"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = ranked(rows, ["key"], ["number"], "position", "total").withColumn("task", F.spark_partition_id())
+        got = found.select("key", "number", "position", "total").toPandas()
+        places = ranked(rows.where("key = 'hot'"), [], ["number"], "position").groupBy(F.floor(F.col("position") / 2000)).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    plain = rows.select("key", "number").toPandas().fillna({"key": "-"})
+    plain["position"] = plain.groupby("key")["number"].rank(method="first").astype(int)
+    plain["total"] = plain.groupby("key")["number"].transform("size")
+    order = ["key", "number"]
+    assert got.fillna({"key": "-"}).sort_values(order).values.tolist() == plain.sort_values(order).values.tolist()
+    assert len(places) == 9

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trapline.session import cut_lineage
+
 UNIT = "_second"
 DAY = "_day"
 
@@ -124,3 +126,25 @@ def numbered(rows: DataFrame, keys: list[str], number: str, name: str, width: in
         .withColumn(name, F.col("_base") + F.row_number().over(within))
         .drop("_base", "_range")
     )
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, total: str | None = None) -> DataFrame:
+    """1-based position of every row inside its key by ``order``, which must tell the rows of a key apart; ``total`` adds the key's rows.
+    NULL is a key like any other and comes first in an order. The rows are range partitioned by quantiles of (key, order) that Spark
+    samples, counted in each range and numbered from the counts before it, so a key with most of the rows lies in most of the tasks,
+    whatever its numbers look like. The partitioned rows are checkpointed, because counts and numbers must come from the same ranges."""
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))  # the id is the partition, then 33 bits of the place in it
+    renamed = [F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)]
+    sized = placed.groupBy(*renamed, F.col("_part").alias("_in")).agg(F.min("_place").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*[f"_key{n}" for n in range(len(keys))])
+    earlier = own.orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    counts = {"_base": F.coalesce(F.sum("_n").over(earlier), F.lit(0))} | ({"_total": F.sum("_n").over(own)} if total else {})
+    same = F.col("_part") == F.col("_in")
+    for n, key in enumerate(keys):
+        same &= F.col(key).eqNullSafe(F.col(f"_key{n}"))
+    joined = placed.join(sized.withColumns(counts).drop("_n"), same)
+    numbers = {name: F.col("_base") + F.col("_place") - F.col("_from") + 1} | ({total: F.col("_total")} if total else {})
+    return joined.withColumns(numbers).select(*rows.columns, *numbers)
