@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import bpe, chat, decontamination, exact_dedup, language_id, language_model, near_dedup, quality, substring_dedup, url_templates
+from trapline.llm import bpe, chat, decontamination, exact_dedup, language_id, language_model, merkle, near_dedup, periodic_runs, quality, substring_dedup, token_counts, url_templates
 from trapline.llm.shared import read, remainder
 
 #: Rules of the url query.
 RULES = [url_templates.Rule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,9 +83,43 @@ def op10_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return url_templates.judge(read(spark, folder, "pages"), RULES)
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    tampered = F.when(remainder("doc_id", 3) == 0, F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
+    found = merkle.leaf(*[tampered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    rows = merkle.manifest(docs.withColumn("found", found), keep=("found",))
+    back = merkle.folded(F.col("found"), F.col("proof"))
+    proof = F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, back.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    loop = F.when(number % 10 == 0, F.floor(number / 10))
+    rows = periodic_runs.find_runs(read(spark, folder, "documents"), loop=loop)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    more = lambda best, x: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
+    best = F.aggregate("runs", none, lambda best, x: F.when(more(best, x), x).otherwise(best))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n")))
+    return rows.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, folder, "documents"), VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_decontamination, op2_language_id, op3_language_model, op4_near_dedup, op5_bpe, op6_chat_format, op7_substring_dedup, op8_quality, op9_exact_dedup, op10_url_templates)
+    for q in (op1_decontamination, op2_language_id, op3_language_model, op4_near_dedup, op5_bpe, op6_chat_format, op7_substring_dedup, op8_quality, op9_exact_dedup, op10_url_templates, op11_merkle_manifest, op12_periodic_runs, op13_token_counts)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -169,4 +204,30 @@ walk AS (SELECT host, shape, depth, node AS template, (b + 4.0::DOUBLE * rate) /
 ends AS (SELECT host, shape, arg_max(template, depth) AS template, arg_max(purity, depth) AS purity FROM walk GROUP BY host, shape)
 SELECT u.page_id, u.host, u.path, u.rule, CASE WHEN u.blocked = 1 THEN 'block' WHEN u.blocked = 0 THEN 'allow' WHEN e.purity >= 0.8 THEN 'block' ELSE 'allow' END AS verdict,
     e.template, e.purity FROM labelled u JOIN ends e ON e.host = u.host AND e.shape = u.shape""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE bytes AS (SELECT doc_id, text, lang, source, n_chars, CAST(doc_id AS VARCHAR) AS id, row_number() OVER () AS row FROM documents),
+checked AS (SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(id, ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)) AS crc FROM bytes),
+told AS (SELECT row, doc_id, lang, text, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, CASE WHEN xor(crc, 4294967295::UBIGINT) % 3 = 0 THEN {_LOWER.format("text")} ELSE text END AS tampered FROM checked),
+leaves AS (SELECT row, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS found FROM told),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS place FROM leaves),
+low AS (SELECT 0 AS level, lang, place, leaf AS node FROM ordered
+    UNION ALL SELECT level + 1, lang, place // 8, sha256(string_agg(node, '' ORDER BY place)) FROM (SELECT *, count(*) OVER (PARTITION BY level, lang) AS n FROM low) WHERE n > 1 GROUP BY level, lang, place // 8),
+tops AS (SELECT lang, max(level) AS height, arg_max(node, level) AS subroot FROM low GROUP BY lang),
+listed AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM tops),
+high AS (SELECT 0 AS level, place, subroot AS node FROM listed
+    UNION ALL SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)) FROM (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM high) WHERE n > 1 GROUP BY level, place // 8),
+crown AS (SELECT max(level) AS height, arg_max(node, level) AS root FROM high),
+sides AS (SELECT a.lang, a.level, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+    FROM low a JOIN tops t ON t.lang IS NOT DISTINCT FROM a.lang AND a.level < t.height JOIN low b ON b.lang IS NOT DISTINCT FROM a.lang AND b.level = a.level AND b.place // 8 = a.place // 8 GROUP BY ALL),
+high_sides AS (SELECT a.level, a.place, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before, coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+    FROM high a JOIN crown ON a.level < height JOIN high b ON b.level = a.level AND b.place // 8 = a.place // 8 GROUP BY ALL),
+way AS (SELECT o.row, s.level, s.before, s.after FROM ordered o JOIN sides s ON s.lang IS NOT DISTINCT FROM o.lang AND s.place = o.place // CAST(pow(8, s.level) AS BIGINT)
+    UNION ALL SELECT o.row, l.height + s.level, s.before, s.after FROM ordered o JOIN listed l ON l.lang IS NOT DISTINCT FROM o.lang JOIN high_sides s ON s.place = l.place // CAST(pow(8, s.level) AS BIGINT)),
+proofs AS (SELECT row, count(*) AS steps, string_agg(before || after, '' ORDER BY level) AS proof FROM way GROUP BY row),
+fold AS (SELECT row, 0 AS level, found AS node FROM ordered UNION ALL SELECT f.row, f.level + 1, sha256(w.before || f.node || w.after) FROM fold f JOIN way w ON w.row = f.row AND w.level = f.level),
+ends AS (SELECT row, arg_max(node, level) AS folded_root FROM fold GROUP BY row)
+SELECT o.doc_id, o.leaf, t.subroot, c.root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = c.root AS verified
+FROM ordered o JOIN tops t ON t.lang IS NOT DISTINCT FROM o.lang CROSS JOIN crown c JOIN ends e ON e.row = o.row LEFT JOIN proofs p ON p.row = o.row""",
 }
