@@ -1,10 +1,16 @@
 """Chat formatting in DataFrame functions only: records of several layouts become turns, turns become one marked text with a loss mask.
 
-A record is a JSON object. The hash of its sorted nested field names selects a mapping; extra fields make another fingerprint, so a layout
-with them needs its own mapping. A record that no mapping fits, that is null or that is not JSON has null turns and is not formatted. One
-that is JSON but too large to be read (128 MiB as Variant, or a single string above Jackson's bound) is an error, never null.
+A record is a struct of nullable parts or a JSON object. The hash of the sorted nested field paths that it holds selects a mapping; extra
+fields make another fingerprint, so a layout with them needs its own mapping. A record that no mapping fits, that is null or that is not
+JSON has null turns and is not formatted.
 
-Rows by turn need no JSON: their layout is known from the columns and their turns are an array, so only Spark's 2 GB for a value bound them.
+* Structs: a part is held if it is not null, and a list of messages holds the paths of its members' fields, also where it is empty. Only
+  Spark's 2 GB for a value bound them. Null fields of a message are empty.
+* JSON: every field that is written is held, null or not. A list of messages that is empty or null gives zero turns. A record too large to
+  be read (128 MiB as Variant, or a single string above Jackson's bound) is an error, never null.
+
+Rows by turn become structs first (``records_of``): a user's turn and an assistant's are a prompt and its response, the same after a
+system turn a question with its answer, and all else is a list of messages.
 
 Template: ``<s>``, then for each turn ``[INST]role[/INST]text</s>``. Inside roles and texts every control string (``<s>``, ``</s>``,
 ``[INST]``, ``[/INST]``) gets a backslash after its first character, one more where there are some already, so that every text can be
@@ -13,10 +19,14 @@ read back exactly. Null roles and texts are empty. Turns of equal number are ord
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
+
+from trapline.llm.shared import free_name
 
 START, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -38,6 +48,18 @@ class Mapping:
     extra: tuple[str, ...] = ()
     roles: dict = field(default_factory=dict, hash=False)
 
+    def names(self) -> list[str]:
+        return [self.messages] if self.messages else sorted({n for part, _ in self.fields for n in part.split("+")})
+
+    def paths(self) -> list[str]:
+        """Nested field paths of a struct of this layout."""
+        own = [f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"] if self.messages else self.names()
+        return sorted([*own, *self.extra])
+
+    def shapes(self) -> list[str]:
+        """Shapes of a JSON object of this layout; the second is that of a list of messages which is empty or null."""
+        return [self.shape()] + ([f"OBJECT<{', '.join(sorted([self.messages, *self.extra]))}>"] if self.messages else [])
+
     def shape(self) -> str:
         names = {n: n for part, _ in self.fields for n in part.split("+")} | {n: n for n in self.extra}
         if self.messages:
@@ -70,20 +92,41 @@ def fingerprint(shape: Column) -> Column:
     return F.sha2(shape, 256)
 
 
-def mapped(record: Column, mapping: Mapping) -> Column:
-    """Turns of a record under one mapping."""
-    if mapping.messages:
-        listed = F.from_json(record, f"`{mapping.messages}` array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>", ANY_LENGTH)[mapping.messages]
+def fingerprint_of(shape: str) -> str:
+    return hashlib.sha256(shape.encode()).hexdigest()
+
+
+def paths_of(record: Column, kind: StructType, prefix: str = "") -> list[Column]:
+    """The paths of a struct's parts, each null where the part is null."""
+    found = []
+    for part in kind.fields:
+        value, path = record[part.name], prefix + part.name
+        inner = part.dataType.elementType if isinstance(part.dataType, ArrayType) else part.dataType
+        if not isinstance(inner, StructType):
+            found.append(F.when(value.isNotNull(), F.lit(path)))
+        elif inner is part.dataType:
+            found += paths_of(value, inner, f"{path}.")
+        else:
+            found += [F.when(value.isNotNull(), F.lit(f"{path}[].{f.name}")) for f in inner.fields]
+    return found
+
+
+def path_fingerprint(record: Column, kind: StructType) -> Column:
+    """Hash of the sorted paths that a struct holds; null for a null struct."""
+    return F.when(record.isNotNull(), fingerprint(F.array_join(F.array_sort(F.array_compact(F.array(*paths_of(record, kind)))), "\n")))
+
+
+def message_turns(listed: Column, mapping: Mapping) -> Column:
+    def turn(x):
+        role = F.coalesce(x[mapping.role], F.lit(""))
+        for old, new in mapping.roles.items():
+            role = F.when(x[mapping.role] == old, F.lit(new)).otherwise(role)
+        return F.struct(role.alias("role"), F.coalesce(x[mapping.text], F.lit("")).alias("text"))
 
-        def turn(x):
-            role = F.coalesce(x[mapping.role], F.lit(""))
-            for old, new in mapping.roles.items():
-                role = F.when(x[mapping.role] == old, F.lit(new)).otherwise(role)
-            return F.struct(role.alias("role"), F.coalesce(x[mapping.text], F.lit("")).alias("text"))
+    return F.transform(listed, turn)
 
-        return F.transform(listed, turn)
-    names = sorted({n for part, _ in mapping.fields for n in part.split("+")})
-    values = F.from_json(record, ",".join(f"`{n}` string" for n in names), ANY_LENGTH)
+
+def field_turns(values: Column, mapping: Mapping) -> Column:
     turns = []
     for part, role in mapping.fields:
         first, *rest = [F.coalesce(values[n], F.lit("")) for n in part.split("+")]
@@ -93,16 +136,35 @@ def mapped(record: Column, mapping: Mapping) -> Column:
     return F.array(*turns)
 
 
-def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """``records`` with ``fingerprint``, ``layout`` and ``turns``; the fingerprint's columns replace any of the same name."""
-    known = records.withColumn("fingerprint", fingerprint(shape_of(F.col(record))))
+def mapped(record: Column, mapping: Mapping) -> Column:
+    """Turns of a JSON record under one mapping."""
+    if mapping.messages:
+        listed = F.from_json(record, f"`{mapping.messages}` array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>", ANY_LENGTH)[mapping.messages]
+        nothing = F.coalesce(F.get_json_object(record, f"$.{mapping.messages}"), F.lit("[]")) == "[]"
+        return F.when(nothing, F.expr(f"cast(array() as {TURNS})")).otherwise(message_turns(listed, mapping))
+    return field_turns(F.from_json(record, ",".join(f"`{n}` string" for n in mapping.names()), ANY_LENGTH), mapping)
+
+
+def chosen(records: DataFrame, found: Column, cases: list[tuple[str, list[str], Column]]) -> DataFrame:
+    """``records`` with ``fingerprint``, and ``layout`` and ``turns`` of the case that has it among its fingerprinted texts."""
+    known = records.withColumn("fingerprint", found)
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
-    for mapping in mappings:
-        same = F.col("fingerprint") == fingerprint(F.lit(mapping.shape()))
-        turns, layout = F.when(same, mapped(F.col(record), mapping)).otherwise(turns), F.when(same, mapping.name).otherwise(layout)
+    for name, texts, own in cases:
+        same = F.col("fingerprint").isin([fingerprint_of(t) for t in texts])
+        turns, layout = F.when(same, own).otherwise(turns), F.when(same, name).otherwise(layout)
     return known.withColumns({"layout": layout, "turns": turns})
 
 
+def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """``records``, structs or JSON, with ``fingerprint``, ``layout`` and ``turns``; these replace columns of the same name."""
+    kind, own = records.schema[record].dataType, F.col(record)
+    if not isinstance(kind, StructType):
+        return chosen(records, fingerprint(shape_of(own)), [(m.name, m.shapes(), mapped(own, m)) for m in mappings])
+    fits = [m for m in mappings if set(m.names()) <= set(kind.names)]
+    cases = [(m.name, ["\n".join(m.paths())], message_turns(own[m.messages], m) if m.messages else field_turns(own, m)) for m in fits]
+    return chosen(records, path_fingerprint(own, kind), cases)
+
+
 def escaped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"<(\\*)(/?s>)", r"<\\$1$2"), r"\[(\\*)(/?INST\])", r"\[\\$1$2")
 
@@ -112,9 +174,11 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(conversations: DataFrame, turns: str = "turns", learn_role: str = "assistant") -> DataFrame:
-    """``conversations`` with ``formatted`` and ``loss``, the spans {start, length} in code points from 1 that hold texts of ``learn_role``."""
+    """``conversations`` with ``formatted`` and ``loss``, the spans {start, length} in code points from 1 that hold texts of ``learn_role``;
+    they replace columns of the same name, all others stay."""
+    name = free_name(conversations, "ready")
     ready = F.transform(F.col(turns), lambda x: F.struct((x["role"] == learn_role).alias("learn"), F.concat(F.lit(OPEN), escaped(x["role"]), F.lit(CLOSE)).alias("head"), escaped(x["text"]).alias("body")))
-    text = F.concat(F.lit(START), F.array_join(F.transform(F.col("ready"), lambda x: F.concat(x["head"], x["body"], F.lit(END))), ""))
+    text = F.concat(F.lit(START), F.array_join(F.transform(F.col(name), lambda x: F.concat(x["head"], x["body"], F.lit(END))), ""))
     start = F.struct(F.lit(len(START) + 1).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:long,length:long>>)").alias("spans"))
 
     def step(done, x):
@@ -122,7 +186,7 @@ def formatted(conversations: DataFrame, turns: str = "turns", learn_role: str =
         spans = F.when(x["learn"], F.concat(done["spans"], F.array(F.struct(begin.alias("start"), length.alias("length"))))).otherwise(done["spans"])
         return F.struct((begin + length + len(END)).alias("at"), spans.alias("spans"))
 
-    return conversations.withColumn("ready", ready).withColumns({"formatted": text, "loss": F.aggregate("ready", start, step, lambda x: x["spans"])}).drop("ready")
+    return conversations.withColumn(name, ready).withColumns({"formatted": text, "loss": F.aggregate(name, start, step, lambda x: x["spans"])}).drop(name)
 
 
 def turns_back(text: Column) -> Column:
@@ -152,13 +216,19 @@ def listed_turns(rows: DataFrame, conv_id: str, turn: str, role: str, text: str)
     return grouped.select("conv_id", F.transform("listed", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
-def turns_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, fingerprint, layout, turns): rows by turn as one conversation each, of the first layout and without JSON."""
-    known = MAPPINGS[0]
-    return listed_turns(rows, conv_id, turn, role, text).select("conv_id", fingerprint(F.lit(known.shape())).alias("fingerprint"), F.lit(known.name).alias("layout"), "turns")
-
-
 def records_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, record): rows by turn as one JSON object for each conversation."""
+    """(conv_id, record): rows by turn as one struct for each conversation, in the layout that its roles make."""
+    said = F.col("turns")["text"]
+    roles = F.transform("turns", lambda x: x["role"])
+    of = lambda *names: roles == F.array(*map(F.lit, names))
+    pair, triple = of("user", "assistant"), of("system", "user", "assistant")
     messages = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
-    return listed_turns(rows, conv_id, turn, role, text).select("conv_id", F.to_json(F.struct(messages.alias("messages")), {"ignoreNullFields": "false"}).alias("record"))
+    parts = [F.when(~pair & ~triple, messages).alias("messages")]
+    parts += [F.when(pair, said[n]).alias(name) for n, name in enumerate(("prompt", "response"))]
+    parts += [F.when(triple, said[n]).alias(name) for n, name in enumerate(("system", "question", "answer"))]
+    return listed_turns(rows, conv_id, turn, role, text).select("conv_id", F.struct(*parts).alias("record"))
+
+
+def turns_of(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """(conv_id, fingerprint, layout, turns): rows by turn, read through the mapping that fits each conversation's struct."""
+    return canonical(records_of(rows, conv_id, turn, role, text), "record", mappings).drop("record")
