@@ -11,6 +11,7 @@ language in alphabetical order wins. Training rows with null or empty text or nu
 
 from __future__ import annotations
 
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ PIECE = 1024
 #: Most tree nodes that are broadcast; languages above their share of them learn from half the bytes until all fit.
 NODES = 4_000_000
 UNDETERMINED = "und"
+#: Code length beyond which a text is in no language: bits for each byte, and bits on top. Prose of a learnt language takes 1.3 to 3 bits a
+#: byte in the given tables, text in an unknown alphabet or at random 6 to 8.
+MOST_BITS, ALLOWANCE = 4.0, 256.0
 CHUNK_BYTES = 2_000_000
 
 
@@ -166,14 +170,22 @@ def identify(docs: DataFrame, trees: dict[str, tuple], doc_id: str = "doc_id", t
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
 
 
-def drop_undetermined(docs: DataFrame, trees: dict[str, tuple], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns; where nothing could be learnt, those whose text has a letter."""
+def drop_undetermined(docs: DataFrame, trees: dict[str, tuple], text: str = "text", wanted: Collection[str] | None = None, most_bits: float = MOST_BITS, allowance: float = ALLOWANCE) -> DataFrame:
+    """The rows of ``docs`` whose text is in a ``wanted`` language (null: any that was learnt), with all their columns. A text whose
+    shortest code is longer than ``most_bits`` for each byte and ``allowance`` bits on top is in none of them: no tree foresees it. The
+    allowance keeps short texts of names and numbers. Where nothing could be learnt, every text with a letter stays."""
     predict, at, trees = predictor(docs, trees), docs.columns.index(text), bool(trees)
 
     def run(batches):
         for batch in batches:
             column = batch.column(at)
-            kept = [n != UNDETERMINED for n in predict(column)[0]] if trees else has_letter(*utf8(column), column)
+            data, offsets = utf8(column)
+            if trees:
+                names, _, bits = predict(column)
+                most = (most_bits * np.diff(offsets) + allowance).tolist()
+                kept = [n != UNDETERMINED and b <= m and (wanted is None or n in wanted) for n, b, m in zip(names, bits, most)]
+            else:
+                kept = has_letter(data, offsets, column)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
