@@ -63,6 +63,13 @@ class Vocabulary:
         _, first = np.unique(keys, return_index=True)
         self.pair_keys, self.pair_ranks = keys[first], first
 
+    @classmethod
+    def of(cls, fields: dict) -> Vocabulary:
+        """From the fields of another one. They are plain, so a worker can open them without this package."""
+        vocabulary = cls.__new__(cls)
+        vars(vocabulary).update(fields)
+        return vocabulary
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair; -1 without one."""
         keys = left << 32 | right
@@ -199,10 +206,10 @@ def gathered(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple
 
 def encode(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) for each row: ``ids`` are little-endian unsigned 32-bit numbers. ``decoded`` adds the text that the ids give back."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary(vocabulary_path)))
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary.of(shared.value))
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             for a, b in row_slices(offsets, CHUNK_BYTES):
@@ -220,10 +227,10 @@ def encode(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text:
 
 def decode(tokens: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text) of encoded rows; null ids give an empty text. Bytes that are no UTF-8 become U+FFFD."""
-    shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    shared = tokens.sparkSession.sparkContext.broadcast(vars(Vocabulary(vocabulary_path)))
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary.of(shared.value))
         for batch in batches:
             lists = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in batch.column(1).to_pylist()]
             bounds = np.cumsum([0, *map(len, lists)])

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapline.llm.shared import free_name, stored
-from trapline.llm.words import Words, letters_and_digits, lowered, row_slices, utf8, windows
+from trapline.llm.words import Words, letters_and_digits, lowered, row_slices, text_array, utf8, windows
 
 SIZE = 10
 #: Windows that are broadcast at once. A larger benchmark is searched in several passes of at most about this many.
@@ -45,36 +47,38 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
     return cuts.groupBy("words", "hash", "content").agg(F.collect_set("item").alias("items"))
 
 
-class WindowIndex:
-    """Some windows, sorted by hash for each number of words."""
-
-    def __init__(self, rows: list):
-        self.by_size: dict[int, tuple] = {}
-        for length in sorted({r.words for r in rows}):
-            own = sorted((np.int64(r.hash).view(np.uint64), bytes(r.content), list(r.items)) for r in rows if r.words == length)
-            keys = np.array([k for k, _, _ in own], np.uint64)
-            near = np.zeros(1 << 20, bool)
-            near[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.by_size[length] = (keys, near, [c for _, c, _ in own], [i for _, _, i in own])
-
-    def matches(self, words: Words) -> tuple[np.ndarray, list[set]]:
-        """Which words are hit, and the items found in each text."""
-        step, items = np.zeros(len(words) + 1, np.int64), [set() for _ in words.offsets[1:]]
-        hashes = words.hashes()
-        for length, (keys, near, contents, owners) in self.by_size.items():
-            at, found = windows(words, hashes, length)
-            maybe = np.flatnonzero(near[(found >> np.uint64(44)).astype(np.int64)])
-            place = np.searchsorted(keys, found[maybe])
-            same = keys[np.minimum(place, len(keys) - 1)] == found[maybe]
-            for i, p in zip(at[maybe[same]].tolist(), place[same].tolist()):
-                content = words.bytes_of(i, length)
-                while p < len(keys) and contents[p] != content and keys[p] == keys[p - 1 if p else 0]:
-                    p += 1
-                if p < len(keys) and contents[p] == content:
-                    step[i] += 1
-                    step[i + length] -= 1
-                    items[words.doc[i]].update(owners[p])
-        return np.cumsum(step[:-1]) > 0, items
+def window_index(rows: list) -> dict[int, tuple]:
+    """Some windows by their number of words: sorted hashes, which beginnings of hashes occur, contents and item ids in a row each, and
+    where those of a window begin. Plain arrays, so that a worker can open them without this package."""
+    index = {}
+    for length in sorted({r.words for r in rows}):
+        own = sorted((np.int64(r.hash).view(np.uint64), bytes(r.content), sorted(r.items)) for r in rows if r.words == length)
+        keys = np.array([k for k, _, _ in own], np.uint64)
+        near = np.zeros(1 << 20, bool)
+        near[(keys >> np.uint64(44)).astype(np.int64)] = True
+        begins = [np.cumsum([0, *map(len, column)]) for column in ([c for _, c, _ in own], [i for _, _, i in own])]
+        index[length] = (keys, near, b"".join(c for _, c, _ in own), begins[0], np.array([i for _, _, ids in own for i in ids], np.int64), begins[1])
+    return index
+
+
+def matches(index: dict[int, tuple], words: Words) -> tuple[np.ndarray, list[set]]:
+    """Which words are hit, and the items found in each text. Windows of equal hash are told apart by their content."""
+    step, items = np.zeros(len(words) + 1, np.int64), [set() for _ in words.offsets[1:]]
+    hashes = words.hashes()
+    for length, (keys, near, contents, content_at, owners, owner_at) in index.items():
+        at, found = windows(words, hashes, length)
+        maybe = np.flatnonzero(near[(found >> np.uint64(44)).astype(np.int64)])
+        low, high = (np.searchsorted(keys, found[maybe], side) for side in ("left", "right"))
+        same = high > low
+        for i, p, end in zip(at[maybe[same]].tolist(), low[same].tolist(), high[same].tolist()):
+            content = words.bytes_of(i, length)
+            while p < end and contents[content_at[p] : content_at[p + 1]] != content:
+                p += 1
+            if p < end:
+                step[i] += 1
+                step[i + length] -= 1
+                items[words.doc[i]].update(owners[owner_at[p] : owner_at[p + 1]].tolist())
+    return np.cumsum(step[:-1]) > 0, items
 
 
 def indexes(benchmark: DataFrame, item_id: str, text: str, size: int, at_once: int):
@@ -83,7 +87,7 @@ def indexes(benchmark: DataFrame, item_id: str, text: str, size: int, at_once: i
     parts = max(1, -(-found.count() // at_once))
     context = benchmark.sparkSession.sparkContext
     for part in range(parts):
-        yield context.broadcast(WindowIndex(found.filter(F.pmod(F.xxhash64("content"), F.lit(parts)) == part).collect())), part == parts - 1
+        yield context.broadcast(window_index(found.filter(F.pmod(F.xxhash64("content"), F.lit(parts)) == part).collect())), part == parts - 1
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
@@ -98,7 +102,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", tex
 
         def scan(batches, index=index, last=last):
             for part, words in word_chunks(batches):
-                hit, items = index.value.matches(words)
+                hit, items = matches(index.value, words)
                 if "spans" in part.schema.names:  # of earlier passes
                     for d, (runs_, known) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist())):
                         items[d].update(known)
@@ -150,7 +154,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
         def clean(batches, index=index):
             for rows, words in word_chunks(batches, at):
-                found, _ = index.value.matches(words)
+                found, _ = matches(index.value, words)
                 hit = np.zeros(rows.num_rows, bool)
                 hit[words.doc[found]] = True
                 yield rows.filter(pa.array(~hit))
@@ -160,17 +164,40 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     return docs
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with every hit run of words cut out of the text, with all other columns; needs ids that are unique."""
-    own, found = free_name(docs, "hit_id"), free_name(docs, "hit_spans")
-    hits = find_hits(docs, benchmark, doc_id, text, **options).filter(F.size("spans") > 0).select(F.col("doc_id").alias(own), F.col("spans").alias(found))
-    body = F.col(text)
-    kept = F.concat(
-        F.array_join(
-            F.transform(F.col(found), lambda x, i: body.substr(F.when(i == 0, F.lit(1)).otherwise(F.get(F.col(found), i - 1)["to"] + 1).cast("int"), (x["from"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(found), i - 1)["to"])).cast("int"))),
-            "",
-        ),
-        body.substr((F.element_at(F.col(found), -1)["to"] + 1).cast("int"), F.length(body)),
-    )
-    joined = docs.join(hits, F.col(doc_id).cast("long") == F.col(own), "left")
-    return joined.select(*[F.when(F.col(found).isNull(), body).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns])
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
+    """``docs`` with every hit run of words cut out of the text, with all other columns. Rows are judged each for itself, whatever their
+    ids; a null text stays null. Hits of all passes are found in the given text before anything is cut."""
+    at, schema = docs.columns.index(text), docs.schema
+    marks = T.StructType([*schema, T.StructField(free_name(docs, "hit_words"), T.ArrayType(T.LongType()))])
+    for index, last in indexes(benchmark, item_id, item_text, size, at_once):
+
+        def cut(batches, index=index, last=last):
+            for rows, words in word_chunks(batches, at):
+                hit, _ = matches(index.value, words)
+                if rows.num_columns > len(schema):  # of earlier passes
+                    known = [words.first[d] + np.array(places, np.int64) for d, places in enumerate(rows.column(len(schema)).to_pylist())]
+                    hit[np.concatenate(known)] = True
+                columns = rows.columns[: len(schema)]
+                if last:
+                    columns[at] = without(rows.column(at), words, hit)
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+                else:
+                    own = [np.flatnonzero(hit[a:b]) for a, b in zip(words.first[:-1], words.first[1:])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.list_(pa.int64()))], marks.names)
+
+        docs = docs.mapInArrow(cut, schema if last else marks)
+        docs = docs if last else stored(docs)
+    return docs
+
+
+def without(column: pa.Array, words: Words, hit: np.ndarray) -> pa.Array:
+    """Texts without their hit runs of words."""
+    data, offsets = utf8(column)
+    gone = np.zeros(len(data) + 1, np.int64)
+    for _, start, end in runs(hit, words):
+        gone[words.starts[start]] += 1
+        gone[words.ends[end - 1]] -= 1
+    kept = np.cumsum(gone[:-1]) == 0
+    bounds = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    texts = text_array(data[kept], bounds)
+    return texts if not column.null_count else pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))

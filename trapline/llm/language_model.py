@@ -80,7 +80,8 @@ def sequences(docs: DataFrame, text: str) -> DataFrame:
 
 
 class Model:
-    """Start, transition and emission probabilities; emissions are a row for each class."""
+    """Start, transition and emission probabilities; emissions are a row for each class. Its arrays are broadcast, not itself, so that a
+    worker can open them without this package."""
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray, tokens: np.ndarray):
         self.start, self.step, self.emit, self.tokens = start, step, emit, tokens
@@ -192,10 +193,10 @@ def expected(classes: np.ndarray, bounds: np.ndarray, model: Model, whole: bool
 def one_round(texts: DataFrame, model: Model) -> Model:
     """Baum-Welch counts of all tasks added up, and the model they give. Without texts the model stays."""
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast(model)
+    shared = context.broadcast(vars(model))
 
     def count(batches):
-        now, total = shared.value, None
+        now, total = Model(**shared.value), None
         for batch in batches:
             blobs = batch.column(0).to_pylist()
             if not blobs:
@@ -300,7 +301,7 @@ def score(docs: DataFrame, model: Model, held: Column, doc_id: str = "doc_id", t
     buckets = buckets_for(batches)
     flagged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     dealt = with_batch(flagged, "doc_id", "text", batches, "held")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def send(rows: pa.Table) -> pa.Table:
         batch = Counted(rows)
@@ -308,7 +309,7 @@ def score(docs: DataFrame, model: Model, held: Column, doc_id: str = "doc_id", t
         return sent(rows.column("batch")[0].as_py(), batch.keys, buckets, 64, lambda own: packed(counts[own]))
 
     def measure(rows: pa.Table, news: pa.Table) -> pa.Table:
-        batch, now = Counted(rows), shared.value
+        batch, now = Counted(rows), Model(**shared.value)
         counts, own = np.zeros(len(batch.keys), np.int64), dict(filled(batch.keys, buckets, 64))
         for bucket, reply in zip(news.column("bucket_in").to_pylist(), news.column("reply_in").to_pylist()):
             counts[own[bucket]] = unpacked(reply, own[bucket].stop - own[bucket].start).view(np.int64)
