@@ -1,9 +1,9 @@
-"""Quality classifier: nearest labelled texts by cosine in a latent space vote, each with the weight of its similarity.
+"""Quality classifier: nearest labelled texts by cosine in a latent space vote, each with the fourth power of its similarity times the weight
+of its label, which makes both labels weigh the same in all.
 
 A text's features are how often each of ``BUCKETS`` hashed byte trigrams occurs (logarithm, times inverse document frequency in the
 sample) and some shares of its form: distinct trigrams, capitals, digits, punctuation, blanks, breaks, words equal
-to the one before. A truncated singular value decomposition of
-the sample's features gives ``RANK`` directions; the sample's texts in that space are broadcast, and the cosine products of every document
+to the one before. A truncated singular value decomposition of the sample's features gives ``RANK`` directions; the sample's texts in that space are broadcast, and the cosine products of every document
 with all of them are computed in blocks. The ``NEIGHBOURS`` most similar vote; ties in similarity go to the first in sample order.
 
 Null and empty texts have no features: their score is the share of label 1 in the sample, as is that of every text if there is no
@@ -99,6 +99,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return {"idf": idf, "form": form, "space": space, "vectors": unit(spread @ space), "votes": votes, "weight": weight / weight.max(), "share": float((votes * weight).sum() / weight.sum())}
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest values of each row; of equal values the first."""
+    if k == near.shape[1]:
+        return np.tile(np.arange(k), (len(near), 1))
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    tied = (near >= np.take_along_axis(near, best, 1).min(1, keepdims=True)).sum(1) > k
+    best[tied] = np.argsort(-near[tied], axis=1, kind="stable")[:, :k]
+    return best
+
+
 def vote(column: pa.Array, model: dict) -> np.ndarray:
     """Score of each text."""
     if not model:
@@ -107,7 +117,7 @@ def vote(column: pa.Array, model: dict) -> np.ndarray:
     vectors = unit(weighted(raw, model["idf"], model["form"]) @ model["space"])
     near = vectors @ model["vectors"].T
     k = min(NEIGHBOURS, near.shape[1])
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
+    best = nearest(near, k)
     own = np.maximum(np.take_along_axis(near, best, 1), 0) ** 4 * model["weight"][best]
     score = (own * model["votes"][best]).sum(1) / np.maximum(own.sum(1), 1e-12)
     return np.where((raw[:, :BUCKETS].sum(1) == 0) | (own.sum(1) <= 1e-12), model["share"], score).astype(np.float64)
