@@ -183,7 +183,7 @@ ruled AS (SELECT p.*, regexp_replace(path, '[0-9]+', '#', 'g') AS shape, (SELECT
 labelled AS (SELECT u.*, CASE r.verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS blocked FROM ruled u LEFT JOIN rules r ON r.h || r.p = u.rule),
 shapes AS (SELECT host, shape, count(*) AS n, count(blocked) AS labelled, coalesce(sum(blocked), 0) AS blocked FROM labelled GROUP BY host, shape),
 segments AS (SELECT host, shape, n, unnest(s) AS segment, generate_subscripts(s, 1) AS depth FROM
-    (SELECT host, shape, n, list_slice(list_filter(string_split(shape, '/'), lambda x: x <> ''), 1, 8) AS s FROM shapes)),
+    (SELECT host, shape, n, list_filter(string_split(shape, '/'), lambda x: x <> '') AS s FROM shapes)),
 each AS (SELECT host, depth, segment, sum(n) AS n FROM segments GROUP BY ALL),
 levels AS (SELECT host, depth, count(*) AS kinds, sum(n) AS total FROM each GROUP BY ALL),
 variable AS (SELECT e.host, e.depth, e.segment FROM each e JOIN levels l ON l.host = e.host AND l.depth = e.depth WHERE kinds > 50 AND n * 50 < total),
