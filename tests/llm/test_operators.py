@@ -4,13 +4,18 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -121,15 +126,70 @@ def test_decontamination(spark, docs, rows, nothing):
         assert found == sorted(expected, key=repr)
         clean = decontamination.drop_contaminated(docs, bench, at_once=at_once)
         assert clean.columns == docs.columns and sorted_rows(clean, "doc_id") == sorted(((x[0],) for x in expected if not x[2]), key=repr)
-    unique = docs.filter("doc_id is not null and doc_id not in (3, 14)")
-    cut = {r.doc_id: r.text for r in decontamination.remove_spans(unique, bench).collect()}
-    for (i, t), (_, _, n, _) in zip(rows, expected):
-        if i in cut:
-            assert cut[i] == t if not n else len(contract_words(cut[i])) <= len(contract_words(t)) - n + 2
+    spans = {(r.doc_id, r.text): r.spans for r in decontamination.find_hits(docs, bench).join(docs, "doc_id").collect()} | {(r.doc_id, r.text): r.spans for r in with_spans(docs, bench)}
+    expected_cuts = []
+    for i, t in rows:
+        cut, at = "", 0
+        for x in spans[i, t] if t else []:
+            cut, at = cut + t[at : x["from"]], x["to"]
+        expected_cuts.append((i, None if t is None else cut + t[at:]))
+    for at_once in (1_000_000, 4):
+        cut = decontamination.remove_spans(docs, bench, at_once=at_once)
+        assert cut.columns == docs.columns and sorted_rows(cut, "doc_id", "text") == sorted(expected_cuts, key=repr)
     assert decontamination.find_hits(nothing, bench).count() == 0
     assert not decontamination.find_hits(docs, bench.limit(0)).filter("size(spans) > 0").count()
 
 
+def with_spans(docs, bench):
+    """Each row alone, so that null and repeated ids meet their own spans."""
+    numbered = docs.select("doc_id", "text").withColumn("n", F.monotonically_increasing_id()).persist()
+    found = decontamination.find_hits(numbered, bench, doc_id="n").select(F.col("doc_id").alias("n"), "spans")
+    return numbered.join(found, "n").collect()
+
+
+def test_windows_of_equal_hash_are_all_compared():
+    rows = [Row(words=2, hash=0, content=b"a x", items=[1]), Row(words=2, hash=0, content=b"b c", items=[2]), Row(words=2, hash=0, content=b"d e", items=[3, 4])]
+    for text, items in ((b"b c", {2}), (b"d e", {3, 4}), (b"a x", {1}), (b"b d", set())):
+        data = np.frombuffer(text, np.uint8)
+        words = Words(data, np.array([0, len(data)]), blank_separated())
+        own = windows(words, words.hashes(), 2)[1].view(np.int64)
+        index = decontamination.window_index([Row(**r.asDict() | {"hash": int(own[0])}) for r in rows])
+        hit, found = decontamination.matches(index, words)
+        assert found == [items] and hit.tolist() == [bool(items)] * 2
+
+
+def test_workers_need_no_package(tmp_path):
+    """With the repository on the driver's path only, operators that broadcast a model run."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(bpe.__file__).parents[2])!r})
+from pyspark.sql import functions as F
+from trapline.llm import bpe, decontamination, language_model, periodic_runs, token_counts
+from trapline.session import build_session
+spark = build_session("alone", "local[2]", 2)
+docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+print([r.n_words for r in decontamination.find_hits(docs, bench).collect()], bpe.encode(docs, {VOCABULARY!r}).count())
+print(bpe.decode(bpe.encode(docs, {VOCABULARY!r}), {VOCABULARY!r}).count(), token_counts.count_tokens(docs, {VOCABULARY!r}).count(), periodic_runs.find_runs(docs).count())
+print(language_model.score(docs, language_model.train(docs), F.lit(False)).count())
+"""
+    kept = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=kept, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_language_and_code_length_decide(spark):
+    random.seed(6)
+    made = [(i, " ".join(random.choice(("der Hund", "die Katze", "und") if n == "de" else ("the dog", "a cat", "and")) for _ in range(60)), n) for i, n in enumerate(["de", "en"] * 30)]
+    odd = [(100, "".join(chr(random.randrange(0x4E00, 0x9000)) for _ in range(200)), "en"), (101, "Qx7!", "en"), (102, "1234", "en"), (103, None, "en")]
+    table = spark.createDataFrame(made + odd, "doc_id long, text string, lang string")
+    trees = language_id.train(table.filter("doc_id < 100"))
+    ids = lambda **options: {r.doc_id for r in language_id.drop_undetermined(table, trees, **options).collect()}
+    assert ids() == {i for i, *_ in made} | {101}  # letters that no tree foresees go, a short name stays
+    assert ids(wanted=["en"]) - {101} == {i for i, _, n in made if n == "en"}
+    assert ids(most_bits=40.0) == {i for i, *_ in made} | {100, 101} and ids(most_bits=0.0, allowance=0.0) == set()
+
+
 def test_language_identification(spark, docs, nothing):
     random.seed(5)
     alphabets = {"x": "abcd ", "y": "wxyz ", "z": "abyz "}
@@ -447,13 +507,37 @@ def test_chat_layouts_and_round_trip(spark):
     assert found[2].fingerprint == found[3].fingerprint != found[0].fingerprint
     rows = [(c, k, ("user", "assistant", "[INST]", None)[(c + k) % 4], t) for c in range(4) for k, t in enumerate(nasty)] + [(9, None, "assistant", None), (9, 1, "user", "x"), (9, 1, "user", "x"), (None, 0, "user", "y")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    texts_ = chat.formatted(chat.canonical(chat.records_of(frame))).withColumns({"back": chat.turns_back(F.col("formatted")), "under": chat.loss_texts(F.col("formatted"), F.col("loss"))}).collect()
+    given = chat.turns_of(frame).withColumns({"ready": F.lit(1), "loss": F.lit("of the caller")})
+    texts_ = chat.formatted(given).withColumns({"back": chat.turns_back(F.col("formatted")), "under": chat.loss_texts(F.col("formatted"), F.col("loss"))}).collect()
     assert len(texts_) == 6
     for r in texts_:
         own = sorted([((k is not None, k or 0), role or "", t or "") for c, k, role, t in rows if c == r.conv_id])
         assert [tuple(x) for x in r.back] == [(role, t) for _, role, t in own]
         assert list(r.under) == [t for _, role, t in own if role == "assistant"]
-    assert chat.records_of(frame.limit(0)).count() == 0
+        assert r.ready == 1
+    assert chat.turns_of(frame.limit(0)).count() == 0
+
+
+def test_fingerprints_choose_the_mapping(spark, monkeypatch):
+    rows = [(1, 0, "user", "p"), (1, 1, "assistant", "r"), (2, 0, "system", "s"), (2, 1, "user", "q"), (2, 2, "assistant", "a"), (3, 0, "assistant", "m"), (4, 0, "user", None), (4, 1, "assistant", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = {c: [(role, t or "") for i, _, role, t in rows if i == c] for c in (1, 2, 3, 4)}
+    layouts = {1: "prompt", 2: "question", 3: "messages", 4: "prompt"}
+    read = lambda **options: {r.conv_id: (r.layout, None if r.turns is None else [tuple(t) for t in r.turns]) for r in chat.turns_of(frame, **options).collect()}
+    assert read() == {c: (layouts[c], turns[c]) for c in turns}
+    for kept in chat.MAPPINGS:  # with one mapping alone only its own layout is read
+        assert read(mappings=(kept,)) == {c: (layouts[c], turns[c]) if layouts[c] == kept.name else (None, None) for c in turns}
+    typed = "struct<messages:array<struct<role:string,content:string>>,prompt:string,response:string,note:struct<a:string,b:string>>"
+    records = [(1, ([], None, None, None)), (2, (None, "p", "r", None)), (3, (None, "p", "r", ("x", None))), (4, (None, None, None, None)), (5, None), (6, ([("user", None)], None, None, None)), (7, (None, None, "r", None))]
+    found = {r.n: r for r in chat.canonical(spark.createDataFrame(records, f"n int, record {typed}")).collect()}
+    assert [found[n].layout for n in range(1, 8)] == ["messages", "prompt", None, None, None, "messages", None]
+    assert found[1].turns == [] and [tuple(t) for t in found[6].turns] == [("user", "")] and found[5].fingerprint is None
+    assert found[2].fingerprint == hashlib.sha256(b"prompt\nresponse").hexdigest() and found[3].fingerprint == hashlib.sha256(b"note.a\nprompt\nresponse").hexdigest()
+    written = ['{"messages": []}', '{"messages": null}', '{"messages": 3}', '{"messages": [{"role": "user", "content": "x"}]}']
+    json_turns = [r.turns if r.turns is None else [tuple(t) for t in r.turns] for r in chat.canonical(spark.createDataFrame(list(enumerate(written)), "n int, record string")).orderBy("n").collect()]
+    assert json_turns == [[], [], None, [("user", "x")]]
+    monkeypatch.setattr(chat, "fingerprint_of", lambda shape: hashlib.md5(shape.encode()).hexdigest())
+    assert all(x == (None, None) for x in read().values())
 
 
 def test_chat_keeps_long_turns(spark, tmp_path):
@@ -468,6 +552,25 @@ def test_chat_keeps_long_turns(spark, tmp_path):
         chat.canonical(spark.range(1).select(large.alias("record"))).select(F.size("turns")).collect()
 
 
+def test_quality_votes_against_plain_numpy(spark, docs, rows, nothing):
+    random.seed(4)
+    made = [(i, " ".join(random.choice(("good", "fine", "text")) if i % 3 else "$$$ 9" for _ in range(5 + i % 7)), int(i % 3 > 0)) for i in range(120)]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, "x", "y") for i, _, q in made] + [(1, 0, "x", "y"), (1, 1, "x", "y"), (None, 1, "x", "y"), (2, None, "x", "y")], "doc_id long, quality int, text string, id string")
+    model = quality.train(frame, labels)
+    given = [t for _, t, _ in made] + [t for _, t in rows]
+    vectors = quality.unit(quality.weighted(quality.features(pa.array(given, pa.string())), model["idf"], model["form"]) @ model["space"])
+    every = vectors @ model["vectors"].T  # all pairs
+    for t, near, got in zip(given, every, quality.vote(pa.array(given, pa.string()), model)):
+        order = sorted(range(len(near)), key=lambda j: (-near[j], j))[: quality.NEIGHBOURS]
+        weights = [max(float(near[j]), 0.0) ** 4 * float(model["weight"][j]) for j in order]
+        whole = sum(w * float(model["votes"][j]) for w, j in zip(weights, order)) / max(sum(weights), 1e-12)
+        assert got == pytest.approx(model["share"] if len((t or "").encode()) < 3 or sum(weights) <= 1e-12 else whole, abs=1e-4)
+    assert len(model["votes"]) == len(made) + 2  # one text has three labels
+    near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [1.0, 1.0, 1.0, 1.0, 1.0], [0.1, 0.2, 0.3, 0.4, 0.5]], np.float32)
+    assert [sorted(x) for x in quality.nearest(near, 2).tolist()] == [[0, 1], [0, 1], [3, 4]]
+
+
 def test_digest_of_whole_texts(docs, rows):
     found = {bytes(r.digest) for r in exact_dedup.text_digests(docs).collect()}
     assert found == {hashlib.sha256(lower(t).encode()).digest() for _, t in rows}
