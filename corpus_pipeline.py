@@ -15,8 +15,9 @@ from trapline.llm.shared import read, stored
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; trees are learnt from the documents' own ``lang``. Where it is null in all rows nothing can be learnt, and
-    only texts without a letter go."""
+    """Documents in one of the languages that are learnt from the documents' own ``lang``. Those without a letter go, and those whose code
+    is longer than ``language_id.MOST_BITS`` bits a byte, which no language's tree foresees. Where ``lang`` is null in all rows nothing can
+    be learnt, and only texts without a letter go."""
     return language_id.drop_undetermined(docs, language_id.train(docs))
 
 
