@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trapline.functions.ordered import numbered, positions, ranked
+from trapline.functions import resampling
+from trapline.functions.ordered import positions, ranked
 from trapline.functions.pairing import with_every
-from trapline.functions.resampling import draw_counts, draws
+from trapline.functions.resampling import member_counts, mixed, slice_sizes
 from trapline.operators import activity as A
 from trapline.operators import curves as D
 from trapline.operators import filters as L
@@ -77,7 +78,7 @@ def test_positions_and_neighbours(spark):
             beside[n] = (expected[n], before, after)
     assert shown == beside
     ids = spark.createDataFrame([(n * 7919, "k0" if n % 3 == 0 else f"k{n % 5}") for n in range(500)], "id long, k string")
-    placed = numbered(ids, ["k"], "id", "place", width=1000).collect()
+    placed = ranked(ids, ["k"], ["id"], "place").collect()
     by_key = defaultdict(list)
     for r in placed:
         by_key[r.k].append((r.id, r.place))
@@ -134,29 +135,82 @@ def test_every_pair_once(spark):
     assert len(pairs) == len(set(pairs)) == 13 * 29
 
 
-def test_draws_are_uniform_and_sliced_counts_add_up():
-    drawn = draws(12345, np.arange(4000), 20, 1)
-    assert drawn.min() == 0 and drawn.max() == 19
-    expected = drawn.size / 20
-    chi = ((np.bincount(drawn.ravel(), minlength=20) - expected) ** 2 / expected).sum() / 19
+def plain_draws(key, iteration, n, width):
+    """The members that a sample of n out of n members draws, slice by slice."""
+    number = lambda k, d, seed: int(mixed(k, np.array([iteration]), np.array([d]), seed)[0])
+    sizes = [n] if n <= width else [0] * -(-n // width)
+    for d in range(n if len(sizes) > 1 else 0):
+        sizes[number(key, d, 1 + resampling.SLICE_SEED) % n // width] += 1
+    out = []
+    for s, size in enumerate(sizes):
+        members = min(width, n - s * width)
+        out += [s * width + number(key + resampling.SLICE_KEY * s, d, 1) % members for d in range(size)]
+    return out
+
+
+def sampled(key, iterations, n, width, places):
+    """Counts of all members, worked out slice by slice from ranges of places."""
+    sizes = sum(slice_sizes(key, iterations, n, 1, low, min(low + places, n), width) for low in range(0, n, places)) if n > width else np.full((len(iterations), 1), n)
+    return np.hstack([member_counts(key, iterations, sizes[:, s], s, min(width, n - s * width), 1) for s in range(sizes.shape[1])])
+
+
+@pytest.mark.parametrize("width", [20, 6])
+def test_draws_are_uniform_in_one_slice_and_in_many(width):
+    drawn = sampled(12345, np.arange(4000), 20, width, 7)
+    assert (drawn.sum(axis=1) == 20).all()
+    expected = drawn.sum() / 20
+    chi = ((drawn.sum(axis=0) - expected) ** 2 / expected).sum() / 19
     assert 0.4 < chi < 2.0
-    means = drawn.mean(axis=1)
+    means = (drawn * np.arange(20)).sum(axis=1) / 20
     assert means.std() == pytest.approx(np.sqrt((20**2 - 1) / 12 / 20), rel=0.05)
-    whole = draw_counts(7, np.arange(50), 30, 1, 0, 30)
-    assert (whole.sum(axis=1) == 30).all()
-    parts = np.hstack([draw_counts(7, np.arange(50), 30, 1, low, low + 10) for low in (0, 10, 20)])
-    assert (whole == parts).all()
+    pairs = np.corrcoef(drawn.T) + np.eye(20) * (-1 / 19 - 1)  # counts of two members lean apart by 1/19
+    assert np.abs(pairs + 1 / 19).max() < 0.08
+    for i in (0, 7, 3999):
+        assert np.bincount(plain_draws(12345, i, 20, width), minlength=20).tolist() == drawn[i].tolist()
 
 
-def test_curve_replicates_do_not_depend_on_the_slices(spark, monkeypatch):
-    rng = random.Random(3)
-    rows = [(1, site, rng.randrange(86_400) * 1_000_000, rng.randrange(1, 3)) for site in range(9) for _ in range(12)]
-    times = spark.createDataFrame(rows, "species_id int, location_id int, us long, n long").groupBy("species_id", "location_id", "us").agg(F.sum("n").alias("n"))
-    curves = lambda: {tuple(r)[:4]: r.value for r in D.resampled_curves(times, 0.25, 12).select("species_id", "replicate", "points", "i", "value").collect()}
-    whole = curves()
-    monkeypatch.setattr(D, "SITE_SLICE", 2)
-    monkeypatch.setattr(D, "ITERATION_BLOCK", 5)
-    assert curves() == pytest.approx(whole, rel=1e-8) and {k[1] for k in whole} == set(range(12))
+def test_work_of_draws_is_linear_in_the_sites(monkeypatch):
+    """Numbers made for a sample of one iteration: two for each place, whatever the number of slices."""
+    made = []
+    monkeypatch.setattr(resampling, "mixed", lambda *a: made.append(np.broadcast_shapes(np.shape(a[1]), np.shape(a[2]))) or mixed(*a))
+    for n in (2_000, 20_000, 200_000):
+        made.clear()
+        counts = sampled(99, np.arange(3), n, resampling.SLICE, resampling.PLACES)
+        assert counts.shape == (3, n) and (counts.sum(axis=1) == n).all()
+        assert sum(int(np.prod(s)) for s in made) == 3 * n * (2 if n > resampling.SLICE else 1)
+
+
+def test_years_of_many_slices_against_plain_python(spark, monkeypatch):
+    import hashlib
+
+    from trapline.operators import trends as T
+
+    rng = random.Random(8)
+    rows = [(sp, site, 2000 + k % 3, rng.randrange(5), rng.randrange(1, 30)) for sp in (1, 2, 40) for site in range(11) for k in range(3) if rng.random() < 0.9]
+    yearly = spark.createDataFrame(rows, "species_id long, location_id int, year int, detections long, trap_days long")
+    scopes = spark.createDataFrame([("global", "", site) for site in range(12)] + [("part", "x", site) for site in (9, 2, 4, 7)], "scope_type string, scope_id string, location_id int")
+    monkeypatch.setattr(resampling, "PLACES", 4)
+    for name, value in (("SLICE", 3), ("ITERATION_BLOCK", 5), ("SPECIES_TOGETHER", 2)):
+        monkeypatch.setattr(T, name, value)
+    found = {}
+    for r in T.resampled_years(yearly, scopes, 12).collect():
+        for i, sums in enumerate(zip(r.detections, r.trap_days)):
+            found[r.species_id, r.scope_type, 5 * r.block + i, r.year] = sums
+    expected = defaultdict(lambda: [0, 0])
+    for kind, name, sites in (("global", "", list(range(11))), ("part", "x", [2, 4, 7, 9])):
+        key = int(hashlib.md5(f"{kind}|{name}".encode()).hexdigest()[:7], 16)
+        inside = {(sp, y) for sp, site, y, _, _ in rows if site in sites}
+        for i in range(12):
+            picks = plain_draws(key, i, len(sites), 3)
+            for sp, year in inside:
+                expected[sp, kind, i, year] = [0, 0]
+            for pick in picks:
+                for sp, site, year, det, trap in rows:
+                    if site == sites[pick]:
+                        expected[sp, kind, i, year][0] += det
+                        expected[sp, kind, i, year][1] += trap
+    whole = {k: v for k, v in found.items() if any(v)}
+    assert {k: list(v) for k, v in whole.items()} == {k: v for k, v in expected.items() if any(v)}
 
 
 def test_overlap_matrix_is_symmetric(survey):
@@ -177,11 +231,15 @@ def test_zero_filled_activity_is_complete(survey):
     assert facts.count() == months * survey.species.where("id > 0").count()
 
 
-@pytest.mark.parametrize("bandwidth", [0.25, 0])
-def test_resampled_curves_against_plain_numpy(spark, bandwidth):
+@pytest.mark.parametrize("bandwidth, width", [(0.25, 2000), (0, 2000), (0.25, 2), (0, 4)])
+def test_resampled_curves_against_plain_numpy(spark, monkeypatch, bandwidth, width):
     import hashlib
     import math
 
+    monkeypatch.setattr(D, "SLICE", width)
+    if width < 10:
+        monkeypatch.setattr(D, "ITERATION_BLOCK", 15)
+        monkeypatch.setattr(D, "TIMES_TOGETHER", 3)
     rng = random.Random(4)
     rows = [(sp, site, rng.randrange(86_400) * 1_000_000 + rng.randrange(10**6), rng.randrange(1, 4)) for sp in (1, 2) for site in range(3 * sp) for _ in range(5)]
     rows += [(1, 50, 5, 1), (3, 1, 7, 1)]  # a site with one time; a species with too few
@@ -192,7 +250,7 @@ def test_resampled_curves_against_plain_numpy(spark, bandwidth):
     for species in (1, 2):
         sites = sorted({site for sp, site, _, _ in rows if sp == species})
         key = int(hashlib.md5(str(species).encode()).hexdigest()[:7], 16)
-        for replicate, picks in enumerate(draws(key, np.arange(40), len(sites), 1)):
+        for replicate, picks in enumerate(plain_draws(key, i, len(sites), width) for i in range(40)):
             hours = np.array([us / D.HOUR_US for p in picks for sp, site, us, n in rows if sp == species and site == sites[p] for _ in range(n)])
             if bandwidth:
                 h = bandwidth * math.sqrt((3 * ((hours - hours.mean()) ** 2).sum() + 2 * 576 * len(hours)) / (3 * len(hours) - 1))
@@ -207,7 +265,7 @@ def test_resampled_curves_against_plain_numpy(spark, bandwidth):
 def test_positions_of_a_hot_key_are_spread(spark):
     """One key holds most rows and its numbers are hashed: positions agree with a plain sort, and no task gets the key."""
     key = F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, F.concat(F.lit("k"), (F.col("id") % 7).cast("string")))
-    rows = spark.range(20_000).select(key.alias("key"), F.xxhash64("id").alias("number"), F.lit(1).alias("_part"))
+    rows = spark.range(20_000).select(key.alias("key"), F.xxhash64("id").alias("number"))
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
         found = ranked(rows, ["key"], ["number"], "position", "total").withColumn("task", F.spark_partition_id())

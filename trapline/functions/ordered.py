@@ -113,21 +113,6 @@ def attach(rows: DataFrame, before: DataFrame, keys: Sequence[str], ts: str, tie
     )
 
 
-def numbered(rows: DataFrame, keys: list[str], number: str, name: str, width: int = 65536) -> DataFrame:
-    """1-based position by a unique whole number inside each key, counted over ranges of ``width`` numbers."""
-    part = F.floor(F.col(number) / F.lit(width)).alias("_range")
-    sized = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*keys, "_range").orderBy(number)
-    return (
-        rows.withColumn("_range", part)
-        .join(offsets, [*keys, "_range"])
-        .withColumn(name, F.col("_base") + F.row_number().over(within))
-        .drop("_base", "_range")
-    )
-
-
 def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, total: str | None = None) -> DataFrame:
     """1-based position of every row inside its key by ``order``, which must tell the rows of a key apart; ``total`` adds the key's rows.
     NULL is a key like any other and comes first in an order. The rows are range partitioned by quantiles of (key, order) that Spark

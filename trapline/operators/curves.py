@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trapline.functions.ordered import ranked
 from trapline.functions.pairing import spread
-from trapline.functions.resampling import draw_counts, draw_key
+from trapline.functions.resampling import ITERATION_BLOCK, SLICE, block_of, draw_key, member_counts, slice_table
 from trapline.operators.activity import total_effort
 from trapline.operators.filters import qc_exclude
 from trapline.session import cut_lineage
@@ -21,8 +22,8 @@ DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
 GRID = 128
 RAW_BANDWIDTH = 0.001
-SITE_SLICE = 2_000
-ITERATION_BLOCK = 1_000
+# Times whose kernels one task works out.
+TIMES_TOGETHER = 20_000
 
 
 def detection_times(verified: DataFrame) -> DataFrame:
@@ -115,35 +116,44 @@ def activity_curve(
 NODES = 12
 
 
-def _resampling_tasks(times: DataFrame, replicates: int, least: int) -> tuple[DataFrame, list[str]]:
-    """Times with their site's number, per (species, slice of sites, clock hour, block of replicates)."""
-    kept = times.join(_enough(times, least).select("species_id"), "species_id", "left_semi")
-    sites = kept.select("species_id", "location_id").distinct()
-    order = Window.partitionBy("species_id").orderBy("location_id")
-    placed = sites.withColumn("site", F.row_number().over(order) - 1)
-    sizes = sites.groupBy("species_id").agg(F.count(F.lit(1)).alias("sites"))
-    blocks = math.ceil(replicates / ITERATION_BLOCK)
-    task = ["species_id", "slice", "clock_hour", "block"]
-    rows = (
-        kept.join(placed, ["species_id", "location_id"])
-        .join(sizes, "species_id")
-        .withColumn("key", draw_key(F.col("species_id").cast("string")))
-        .withColumn("slice", F.floor(F.col("site") / SITE_SLICE))
-        .withColumn("clock_hour", F.floor(F.col("us") / HOUR_US))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(*task, "key", "sites", "site", "us", "n")
-    )
-    return spread(rows, *task), task
+class _Resampling:
+    """Times with their site's number in its species, and how many places of each replicate fall in each slice of the sites."""
+
+    def __init__(self, times: DataFrame, replicates: int, seed: int, least: int):
+        kept = times.join(_enough(times, least).select("species_id"), "species_id", "left_semi")
+        sites = ranked(kept.select("species_id", "location_id").distinct(), ["species_id"], ["location_id"], "site", "members")
+        numbers = {"site": F.col("site") - 1, "key": draw_key(F.col("species_id").cast("string")), "slice": F.floor((F.col("site") - 1) / SLICE)}
+        sites = sites.withColumns(numbers)
+        self.replicates, self.seed = replicates, seed
+        self.times = kept.join(sites, ["species_id", "location_id"]).select("species_id", "slice", "key", "members", "site", "us", "n")
+        self.falls = slice_table(sites.where("site = 0").select("species_id", "key", "members"), ["species_id"], replicates, seed, SLICE, ITERATION_BLOCK)
+
+    def tasks(self, rows: DataFrame, *more: str) -> DataFrame:
+        """``rows`` of species and slices for each block of replicates, dealt out with ``more`` columns."""
+        blocks = math.ceil(self.replicates / ITERATION_BLOCK)
+        return spread(rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "species_id", "slice", "block", *more)
+
+    def run(self, rows: DataFrame, facts: DataFrame, work, schema: str, *more: str) -> DataFrame:
+        """``work`` on each task of ``rows`` beside its row of ``facts`` (species_id, slice, block and more), if there is one."""
+        task = ["species_id", "slice", "block", *more]
+        dealt = self.tasks(rows, *more)
+        for_task = dealt.select(*task).distinct().join(facts, ["species_id", "slice", "block"])
+        renamed = for_task.select(*[F.col(c).alias(f"{c}_of") for c in task], *[c for c in facts.columns if c not in task])
+        return dealt.groupBy(*task).cogroup(renamed.groupBy(*[f"{c}_of" for c in task])).applyInPandas(work, schema)
 
+    def drawn(self):
+        """A function from a task's rows and its facts to how often each site of the slice is drawn, and the sites' rows in it."""
+        replicates, seed, width, size = self.replicates, self.seed, SLICE, ITERATION_BLOCK
 
-def _drawn(pdf: pd.DataFrame, replicates: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each site of a task is drawn in each replicate, the sites' rows in it, and the replicates' numbers."""
-    head = pdf.iloc[0]
-    low = int(head["slice"]) * SITE_SLICE
-    high = min(low + SITE_SLICE, int(head["sites"]))
-    first = int(head["block"]) * ITERATION_BLOCK
-    numbers = np.arange(first, min(first + ITERATION_BLOCK, replicates))
-    return draw_counts(int(head["key"]), numbers, int(head["sites"]), seed, low, high), pdf["site"].to_numpy() - low, numbers
+        def counts(pdf: pd.DataFrame, fall: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            head = pdf.iloc[0]
+            number, members = int(head["slice"]), int(head["members"])
+            iteration = block_of(int(head["block"]), replicates, size)
+            split = len(fall) and fall["drawn"].iloc[0] is not None
+            sizes = np.asarray(fall["drawn"].iloc[0], np.int64) if split else np.full(len(iteration), members)
+            return member_counts(int(head["key"]), iteration, sizes, number, min(width, members - number * width), seed), pdf["site"].to_numpy() - number * width
+
+        return counts
 
 
 def _sums(pdf: pd.DataFrame, **arrays: np.ndarray) -> pd.DataFrame:
@@ -151,15 +161,16 @@ def _sums(pdf: pd.DataFrame, **arrays: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"species_id": [pdf["species_id"].iloc[0]], "block": [pdf["block"].iloc[0]], **{k: [v] for k, v in arrays.items()}})
 
 
-def _widths(tasks: DataFrame, task: list[str], bandwidth: float, replicates: int, seed: int) -> DataFrame:
+def _widths(sample: _Resampling, bandwidth: float) -> DataFrame:
     """(species_id, block, points, h): the number of times and the bandwidth of every replicate, 0 with fewer than two times.
-    Numbers, sums and sums of squares are added over the tasks."""
+    Numbers, sums and sums of squares of each site are added over the sites drawn and over the slices."""
+    drawn = sample.drawn()
 
-    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
-        drawn, site, _ = _drawn(pdf, replicates, seed)
-        hours, n = pdf["us"].to_numpy() / HOUR_US, pdf["n"].to_numpy().astype(float)
-        table = np.stack([np.bincount(site, n * hours**p, drawn.shape[1]) for p in range(3)], axis=1)
-        return _sums(pdf, moments=(drawn @ table).ravel())
+    def moments(pdf: pd.DataFrame, fall: pd.DataFrame) -> pd.DataFrame:
+        counts, site = drawn(pdf, fall)
+        table = np.zeros((counts.shape[1], 3))
+        table[site] = pdf[["_s0", "_s1", "_s2"]].to_numpy(float)
+        return _sums(pdf, moments=(counts @ table).ravel())
 
     def widths(pdf: pd.DataFrame) -> pd.DataFrame:
         points, total, squares = np.sum(np.stack(pdf["moments"].to_list()), axis=0).reshape(-1, 3).T
@@ -168,7 +179,10 @@ def _widths(tasks: DataFrame, task: list[str], bandwidth: float, replicates: int
         h = bandwidth * np.sqrt((3 * spread_ + 2 * 24.0 * 24.0 * many) / (3 * many - 1))
         return _sums(pdf, points=points, h=np.where(points >= 2, h, 0.0))
 
-    partial = tasks.groupBy(*task).applyInPandas(moments, "species_id bigint, block int, moments array<double>")
+    hour = _hours(F.col("us"))
+    powers = [F.sum(F.col("n") * p).alias(f"_s{k}") for k, p in enumerate((F.lit(1), hour, hour * hour))]
+    sites = sample.times.groupBy("species_id", "slice", "key", "members", "site").agg(*powers)
+    partial = sample.run(sites, sample.falls, moments, "species_id bigint, block int, moments array<double>")
     return partial.groupBy("species_id", "block").applyInPandas(widths, "species_id bigint, block int, points array<double>, h array<double>")
 
 
@@ -197,24 +211,31 @@ def _long(partial: DataFrame, width: int) -> DataFrame:
     return partial.groupBy("species_id", "block").applyInPandas(finish, schema)
 
 
-def _raw_replicates(tasks: DataFrame, task: list[str], replicates: int, seed: int) -> DataFrame:
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        drawn, site, _ = _drawn(pdf, replicates, seed)
-        hour, n = (pdf["us"].to_numpy() // HOUR_US).astype(int), pdf["n"].to_numpy().astype(float)
-        bins = np.bincount(site * 24 + hour, n, drawn.shape[1] * 24).reshape(-1, 24)
-        return _sums(pdf, value=(drawn @ bins).ravel())
+def _raw_replicates(sample: _Resampling) -> DataFrame:
+    drawn = sample.drawn()
 
-    return _long(tasks.groupBy(*task).applyInPandas(count, "species_id bigint, block int, value array<double>"), 24)
+    def count(pdf: pd.DataFrame, fall: pd.DataFrame) -> pd.DataFrame:
+        counts, site = drawn(pdf, fall)
+        bins = np.bincount(site * 24 + pdf["hour"].to_numpy(), pdf["n"].to_numpy().astype(float), counts.shape[1] * 24).reshape(-1, 24)
+        return _sums(pdf, value=(counts @ bins).ravel())
 
+    hour = F.floor(F.col("us") / HOUR_US).cast("int").alias("hour")
+    binned = sample.times.groupBy("species_id", "slice", "key", "members", "site", hour).agg(F.sum("n").alias("n"))
+    return _long(sample.run(binned, sample.falls, count, "species_id bigint, block int, value array<double>"), 24)
 
-def _smooth_replicates(tasks: DataFrame, task: list[str], bandwidth: float, replicates: int, seed: int) -> DataFrame:
-    """Each task gets the replicates' bandwidths and adds its own times' kernels; only sums leave it."""
-    widths = _widths(tasks, task, bandwidth, replicates, seed)
-    for_task = tasks.select(*task).distinct().join(widths, ["species_id", "block"])
-    renamed = for_task.select(*[F.col(c).alias(f"{c}_of") for c in task], "points", "h")
+
+def _smooth_replicates(sample: _Resampling, bandwidth: float) -> DataFrame:
+    """Each task gets the replicates' bandwidths and adds its own times' kernels; only sums leave it. A slice with very many times is
+    split by parts of the day, so that a task holds about ``TIMES_TOGETHER`` of them; the parts repeat the draws of the slice."""
+    drawn = sample.drawn()
+    sized = sample.times.groupBy("species_id", "slice").agg(F.least(F.lit(24), F.ceil(F.count(F.lit(1)) / TIMES_TOGETHER)).alias("parts"))
+    part = F.floor(F.floor(F.col("us") / HOUR_US) * F.col("parts") / 24).cast("int").alias("part")
+    timed = sample.times.join(sized, ["species_id", "slice"]).select("species_id", "slice", "key", "members", "site", "us", "n", part)
+    slices = sized.select("species_id", "slice")
+    facts = _widths(sample, bandwidth).join(slices, "species_id").join(sample.falls, ["species_id", "slice", "block"], "left")
 
     def kernels(pdf: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-        drawn, site, _ = _drawn(pdf, replicates, seed)
+        counts, site = drawn(pdf, more)
         points, h = (np.asarray(more[c].iloc[0], float) for c in ("points", "h"))
         used, value = h > 0, np.zeros((len(h), GRID))
         if used.any():
@@ -223,15 +244,11 @@ def _smooth_replicates(tasks: DataFrame, task: list[str], bandwidth: float, repl
             places = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
             nodes = (low + high) / 2 + max(high - low, 1e-6 * high) / 2 * places
             for node, weight in zip(nodes, lagrange(nodes, inverse)):
-                value[used] += weight[:, None] * (drawn[used] @ site_kernels(pdf, site, drawn.shape[1], node))
+                value[used] += weight[:, None] * (counts[used] @ site_kernels(pdf, site, counts.shape[1], node))
             value[used] *= 100.0 / (points[used] * h[used] * math.sqrt(2 * math.pi))[:, None]
         return _sums(pdf, points=points, value=value.ravel())
 
-    partial = (
-        tasks.groupBy(*task)
-        .cogroup(renamed.groupBy(*[f"{c}_of" for c in task]))
-        .applyInPandas(kernels, "species_id bigint, block int, points array<double>, value array<double>")
-    )
+    partial = sample.run(timed, facts, kernels, "species_id bigint, block int, points array<double>, value array<double>", "part")
     return _long(partial, GRID).where("points >= 2")
 
 
@@ -260,13 +277,13 @@ def resampled_curves(times: DataFrame, bandwidth: float = 0.1, replicates: int =
     """Percent curve of every replicate: (species_id, replicate, points, i, hour, value), the sites of a species drawn with
     replacement. Smoothed replicates with fewer than two points are left out, and the rest is numbered without holes.
 
-    Moments and kernel sums are additive: a task holds the times of one species, slice of sites, clock hour and block of
-    replicates, and only its sums are shuffled. ``times`` is read twice and should be a stored table.
+    Moments and kernel sums are additive: a task holds the times of one species, slice of sites and block of replicates, draws the
+    sites of its slice alone, and only its sums are shuffled. ``times`` is read several times and should be a stored table.
     """
-    tasks, task = _resampling_tasks(times, replicates, least)
+    sample = _Resampling(times, replicates, seed, least)
     if bandwidth <= RAW_BANDWIDTH:
-        return _raw_replicates(tasks, task, replicates, seed)
-    curves = _smooth_replicates(tasks, task, bandwidth, replicates, seed)
+        return _raw_replicates(sample)
+    curves = _smooth_replicates(sample, bandwidth)
     order = Window.partitionBy("species_id", "i").orderBy("replicate")
     return curves.withColumn("replicate", (F.row_number().over(order) - 1).cast("bigint"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.functions.names import bracketed_label
-from trapline.functions.ordered import numbered, positions
+from trapline.functions.ordered import keyed, positions, ranked
 from trapline.operators.scope import Viewer
 from trapline.sources.starschema import QC_BOOLEAN_FLAGS, QC_TEXT_FLAG
 
@@ -139,7 +139,7 @@ def clean_capture_time(uploads: DataFrame, now: str) -> DataFrame:
     latest = F.lit(now).cast("timestamp_ntz") + F.expr("INTERVAL '24' HOUR")
     plausible = (exact >= F.lit(OLDEST_CAPTURE).cast("timestamp_ntz")) & (exact <= latest)
     placeholder = F.lit(PLACEHOLDER_DAY).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("file_number"))
-    counted = numbered(uploads, ["upload_batch_id"], "id", "file_number")
+    counted = ranked(keyed(uploads, ["upload_batch_id"]), ["upload_batch_id"], ["id"], "file_number")
     return counted.withColumn("captured_at", F.when(plausible, exact).otherwise(placeholder))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapline.functions.ordered import UNIT, attach, collapse, keyed, number_gaps, numbered, with_unit
+from trapline.functions.ordered import UNIT, attach, collapse, keyed, number_gaps, ranked, with_unit
 
 COUNTED_STATUSES = ("pending", "completed", "needs_review")
 
@@ -106,7 +106,7 @@ def system_filenames(uploads: DataFrame, locations: DataFrame) -> DataFrame:
         .withColumn("_ending", F.when(ending == "", ".jpg").otherwise(ending))
     )
     return (
-        numbered(stems, ["_stem", "_ending"], "id", "_copy")
+        ranked(keyed(stems, ["_stem", "_ending"]), ["_stem", "_ending"], ["id"], "_copy")
         .withColumn("system_filename", F.concat("_stem", F.lit("_"), F.format_string("%02d", F.col("_copy")), "_ending"))
         .drop("_stem", "_ending", "_copy", "latitude", "longitude")
     )

@@ -6,18 +6,19 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from trapline.functions.ordered import ranked
 from trapline.functions.pairing import spread
-from trapline.functions.resampling import draw_counts, draw_key
+from trapline.functions.resampling import ITERATION_BLOCK, SLICE, added, block_of, draw_key, member_counts, slice_table
 
 SCOPE = ["species_id", "scope_type", "scope_id"]
-# Sites of a scope handled by one task, and iterations per task.
-SITE_SLICE = 50_000
-ITERATION_BLOCK = 1_000
+SITES_OF = SCOPE[1:]
+# Species that share the draws of a task.
+SPECIES_TOGETHER = 32
 
 
 def yearly_sums(activity: DataFrame) -> DataFrame:
@@ -27,61 +28,57 @@ def yearly_sums(activity: DataFrame) -> DataFrame:
     )
 
 
-def _scoped_years(yearly: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Yearly sums per scope with the sorted position of the site in its scope, and the number of sites."""
-    scoped = yearly.join(scopes, "location_id")
-    sites = scoped.select(*SCOPE, "location_id").distinct()
-    order = Window.partitionBy(*SCOPE).orderBy("location_id")
-    placed = sites.withColumn("site", F.row_number().over(order) - 1)
-    sizes = sites.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("sites"))
-    return scoped.join(placed, [*SCOPE, "location_id"]).join(sizes, SCOPE)
+def _scoped_sites(yearly: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(scope, location_id, site, members, key, slice): the sites of each scope that have data, numbered by id."""
+    present = scopes.select(*SITES_OF, "location_id").distinct().join(yearly.select("location_id").distinct(), "location_id", "left_semi")
+    placed = ranked(present, SITES_OF, ["location_id"], "site", "members").withColumn("site", F.col("site") - 1)
+    return placed.withColumns({"key": draw_key(*SITES_OF), "slice": F.floor(F.col("site") / SLICE)})
 
 
 def resampled_years(yearly: DataFrame, scopes: DataFrame, iterations: int = 10_000, seed: int = 1) -> DataFrame:
-    """Detections and trap days of every iteration, species, scope and year, with sites drawn with replacement: one row per
-    block of iterations, with ``sums`` holding (detections, trap_days) of each iteration.
+    """Detections and trap days of every iteration, species, scope and year, with the sites of a scope drawn with replacement: one row
+    per block of iterations, with ``sums`` holding (detections, trap_days) of each iteration.
 
-    A task holds one slice of the sites of a scope and one block of iterations; the slices are added up afterwards, so a
-    scope with very many sites never has to fit into one task.
+    A task holds one slice of the sites of a scope, one block of iterations and some species, which share its draws; a species without
+    rows at a site has nothing there. The slices are added up afterwards, so a scope of very many sites never has to fit into one task,
+    and the work grows with the sites.
     """
     blocks = math.ceil(iterations / ITERATION_BLOCK)
-    task = [*SCOPE, "slice", "block"]
+    sites = _scoped_sites(yearly, scopes)
+    falls = slice_table(sites.where("site = 0").select(*SITES_OF, "key", "members"), SITES_OF, iterations, seed, SLICE, ITERATION_BLOCK)
+    teams = F.ceil(yearly.agg(F.count_distinct("species_id")).scalar() / SPECIES_TOGETHER)
+    task = [*SITES_OF, "slice", "block", "team"]
     rows = (
-        _scoped_years(yearly, scopes)
-        .withColumn("key", draw_key(F.col("species_id").cast("string"), "scope_type", "scope_id"))
-        .withColumn("slice", F.floor(F.col("site") / SITE_SLICE))
+        yearly.withColumn("team", F.pmod(F.xxhash64("species_id"), F.greatest(F.lit(1), teams)))
+        .join(sites, "location_id")
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(*task, "key", "sites", "site", "year", "detections", "trap_days")
+        .select(*task, "key", "members", "site", "species_id", "year", "detections", "trap_days")
     )
-    block_size, slice_size = ITERATION_BLOCK, SITE_SLICE
+    for_task = rows.select(*task).distinct().join(falls, [*SITES_OF, "slice", "block"])
+    renamed = for_task.select(*[F.col(c).alias(f"{c}_of") for c in task], "drawn")
+    block_size, width = ITERATION_BLOCK, SLICE
 
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+    def resample(pdf: pd.DataFrame, fall: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[0]
-        low = int(head["slice"]) * slice_size
-        high = min(low + slice_size, int(head["sites"]))
-        first = int(head["block"]) * block_size
-        numbers = np.arange(first, min(first + block_size, iterations))
-        drawn = draw_counts(int(head["key"]), numbers, int(head["sites"]), seed, low, high)
-        years, column = np.unique(pdf["year"].to_numpy(), return_inverse=True)
+        number, members = int(head["slice"]), int(head["members"])
+        own = min(width, members - number * width)
+        iteration = block_of(int(head["block"]), iterations, block_size)
+        sizes = np.asarray(fall["drawn"].iloc[0], np.int64) if len(fall) else np.full(len(iteration), members)
+        drawn = member_counts(int(head["key"]), iteration, sizes, number, own, seed)
+        column = pdf.groupby(["species_id", "year"], sort=False).ngroup().to_numpy()
+        first = np.unique(column, return_index=True)[1]
         sums = {}
         for name in ("detections", "trap_days"):
-            table = np.zeros((high - low, len(years)))
-            table[pdf["site"].to_numpy() - low, column] = pdf[name].to_numpy()
+            table = np.zeros((own, len(first)))
+            table[pdf["site"].to_numpy() - number * width, column] = pdf[name].to_numpy()
             sums[name] = list((drawn @ table).T.astype(np.int64))
-        fixed = {name: head[name] for name in task}
-        return pd.DataFrame({**fixed, "year": years, **sums})
+        fixed = {name: head[name] for name in (*SITES_OF, "block")}
+        return pd.DataFrame({**fixed, "species_id": pdf["species_id"].to_numpy()[first], "year": pdf["year"].to_numpy()[first], **sums})
 
-    schema = (
-        "species_id bigint, scope_type string, scope_id string, slice bigint, block int, year int, "
-        "detections array<bigint>, trap_days array<bigint>"
-    )
-    partial = spread(rows, *task).groupBy(*task).applyInPandas(resample, schema)
-    sized = F.array_repeat(F.lit(0).cast("bigint"), F.max(F.size("detections")))
-    added = [
-        F.aggregate(F.collect_list(name), sized, lambda acc, part: F.zip_with(acc, part, lambda x, y: x + y)).alias(name)
-        for name in ("detections", "trap_days")
-    ]
-    return partial.groupBy(*SCOPE, "block", "year").agg(*added)
+    schema = "scope_type string, scope_id string, block int, species_id bigint, year int, detections array<bigint>, trap_days array<bigint>"
+    together = spread(rows, *task).groupBy(*task).cogroup(renamed.groupBy(*[f"{c}_of" for c in task]))
+    partial = together.applyInPandas(resample, schema)
+    return partial.groupBy(*SCOPE, "block", "year").agg(added("detections"), added("trap_days"))
 
 
 def yearly_trend(yearly: DataFrame, scopes: DataFrame, iterations: int = 10_000, seed: int = 1) -> DataFrame:

@@ -37,7 +37,8 @@ KEY = "CAST('0x' || SUBSTR(MD5({text}), 1, 7) AS BIGINT)"
 
 
 def _mix(source: str) -> str:
-    """SQL of the draw steps over rows that carry k (key), i (iteration), d (place) and n (size)."""
+    """SQL of the draw steps over rows that carry k (key), i (iteration), d (place) and n (size): the draws of a group of one slice, as all
+    groups of these tables are. ``tests/test_properties.py`` works groups of many slices out in plain Python."""
     steps = f"SELECT *, (k * 48271 + i * 69621 + d * 16807 + 1) % 2147483647 AS x FROM {source}"
     for a in (40692, 48271, 69621):
         steps = f"SELECT * REPLACE (((x * x) % 2147483647 + ({a} * x) % 2147483647 + d + i) % 2147483647 AS x) FROM ({steps})"
@@ -50,15 +51,15 @@ TREND = {
     "yearly": """SELECT species_id, location_id, year, CAST(SUM(detection_count) AS BIGINT) AS det, CAST(SUM(trap_days) AS BIGINT) AS trap
         FROM activity GROUP BY 1, 2, 3""",
     "scoped": """SELECT y.species_id, s.scope_type, s.scope_id, y.location_id, y.year, y.det, y.trap,
-        DENSE_RANK() OVER (PARTITION BY y.species_id, s.scope_type, s.scope_id ORDER BY y.location_id) - 1 AS site
+        DENSE_RANK() OVER (PARTITION BY s.scope_type, s.scope_id ORDER BY y.location_id) - 1 AS site
         FROM yearly y JOIN scopes s ON s.location_id = y.location_id""",
-    "places": f"""SELECT species_id, scope_type, scope_id, {KEY.format(text="CAST(species_id AS STRING) || '|' || scope_type || '|' || scope_id")} AS k,
-        CAST(i.i AS BIGINT) AS i, CAST(d.d AS BIGINT) AS d, n FROM (SELECT species_id, scope_type, scope_id, MAX(site) + 1 AS n FROM scoped GROUP BY 1, 2, 3) g
+    "places": f"""SELECT scope_type, scope_id, {KEY.format(text="scope_type || '|' || scope_id")} AS k,
+        CAST(i.i AS BIGINT) AS i, CAST(d.d AS BIGINT) AS d, n FROM (SELECT scope_type, scope_id, MAX(site) + 1 AS n FROM scoped GROUP BY 1, 2) g
         CROSS JOIN (SELECT UNNEST(RANGE({ITERATIONS})) AS i) i CROSS JOIN LATERAL (SELECT UNNEST(RANGE(n)) AS d) d""",
     "drawn": _mix("places"),
-    "resampled": """SELECT w.species_id, w.scope_type, w.scope_id, w.i AS iteration, c.year, CAST(SUM(c.det * w.m) AS BIGINT) AS detections,
-        CAST(SUM(c.trap * w.m) AS BIGINT) AS trap_days FROM (SELECT species_id, scope_type, scope_id, i, pick, COUNT(*) AS m FROM drawn GROUP BY ALL) w
-        JOIN scoped c ON c.species_id = w.species_id AND c.scope_type = w.scope_type AND c.scope_id = w.scope_id AND c.site = w.pick GROUP BY 1, 2, 3, 4, 5""",
+    "resampled": """SELECT c.species_id, w.scope_type, w.scope_id, w.i AS iteration, c.year, CAST(SUM(c.det * w.m) AS BIGINT) AS detections,
+        CAST(SUM(c.trap * w.m) AS BIGINT) AS trap_days FROM (SELECT scope_type, scope_id, i, pick, COUNT(*) AS m FROM drawn GROUP BY ALL) w
+        JOIN scoped c ON c.scope_type = w.scope_type AND c.scope_id = w.scope_id AND c.site = w.pick GROUP BY 1, 2, 3, 4, 5""",
     "trends": """SELECT species_id, scope_type, scope_id, year, ROUND(AVG(detections * 100 / trap_days), 9) AS mean_dr_index,
         QUANTILE_CONT(detections * 100 / trap_days, 0.025) AS lower_ci, QUANTILE_CONT(detections * 100 / trap_days, 0.975) AS upper_ci
         FROM resampled WHERE trap_days > 0 GROUP BY 1, 2, 3, 4""",
