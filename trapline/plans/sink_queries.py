@@ -64,10 +64,9 @@ def series_stream(s):
     events = Z.stream_table(s.spark, f"{s.folder}/events.parquet")
     photos = events.select(F.expr("CAST(user_id % 5 AS STRING)").alias("upload_batch_id"), F.col("ts").alias("captured_at"))
     path = _folder(s, "series")
-    Z.run_available(Z.series_stream(photos, 300), path, _folder(s, "series-state"))
-    stored = s.spark.read.parquet(path)
-    closed = stored.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("series_start_time", "series_end_time")})
-    return closed.unionByName(Z.open_series(s.raw_photos, closed, 300))
+    with Z.keyed_state(s.spark):
+        Z.run_updates(Z.series_stream(photos, 300), path, _folder(s, "series-state"))
+    return Z.series_of(s.spark.read.parquet(path))
 
 
 @query(
@@ -86,6 +85,23 @@ def unique_uploads_stream(s):
     return s.spark.read.parquet(path).withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
 
 
+@query(
+    "z2_uploads_beside_stored",
+    """SELECT DISTINCT CAST(user_id % 5 AS INT) AS location_id, 'F' || CAST(event_id % 9 AS STRING) AS original_filename, DATE_TRUNC('hour', ts) AS captured_at FROM events
+    EXCEPT SELECT CAST(user_id % 5 AS INT), 'F' || CAST(event_id % 9 AS STRING), DATE_TRUNC('hour', ts) FROM events WHERE event_id % 4 = 0""",
+)
+def uploads_beside_stored(s):
+    key = {
+        "location_id": F.expr("CAST(user_id % 5 AS INT)"),
+        "original_filename": F.expr("'F' || CAST(event_id % 9 AS STRING)"),
+        "captured_at": F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz"),
+    }
+    columns = [c.alias(n) for n, c in key.items()]
+    events, path = Z.stream_table(s.spark, f"{s.folder}/events.parquet"), _folder(s, "accepted")
+    Z.accept_uploads(events.select(columns), s.events.where("event_id % 4 = 0").select(columns), path, _folder(s, "accepted-state"))
+    return s.spark.read.parquet(path).drop("batch")
+
+
 @query(
     "z3_daily_uploads_stream",
     "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS photos FROM events GROUP BY 1",

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from trapline.operators.sessions import DUPLICATE_KEY, series_table
+from trapline.operators.sessions import DUPLICATE_KEY
 
 
 def event_time(stream: DataFrame, column: str = "captured_at") -> DataFrame:
@@ -20,29 +23,99 @@ def event_time(stream: DataFrame, column: str = "captured_at") -> DataFrame:
     return stream.withColumn(column, F.col(column).cast("timestamp"))
 
 
+class SeriesProcessor(StatefulProcessor):
+    """Series of one key that may still grow, as (start, end, photos) in microseconds. Photos join or bridge them in any order of arrival;
+    a timer closes a series once the watermark has passed its end and the gap, and nothing is kept of it then."""
+
+    def __init__(self, key: str, gap_seconds: int):
+        self.key, self.gap = key, gap_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        names = ("start", "end", "photos")
+        self.handle, self.open = handle, handle.getListState("open", T.StructType([T.StructField(n, T.LongType()) for n in names]))
+
+    def due(self, run: tuple) -> int:
+        """First millisecond after which no photo can join a series."""
+        return (run[1] + self.gap) // 1000 + 1
+
+    def shown(self, key: Any, runs: list[tuple], closed: bool, phase: int) -> pd.DataFrame:
+        columns = zip(*runs)
+        return pd.DataFrame({self.key: key[0], **dict(zip(("start", "end", "photo_count"), map(list, columns))), "closed": closed, "phase": phase})
+
+    def keep(self, before: list[tuple], after: list[tuple]) -> None:
+        old, new = {self.due(r) for r in before}, {self.due(r) for r in after}
+        for ms in old - new:
+            self.handle.deleteTimer(ms)
+        for ms in new - old:
+            self.handle.registerTimer(ms)
+        if after:
+            self.open.put(after)
+        else:
+            self.open.clear()
+
+    def held(self) -> list[tuple]:
+        return [tuple(map(int, r)) for r in self.open.get()] if self.open.exists() else []
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        before = runs = self.held()
+        for batch in rows:
+            times, counts = np.unique(batch.iloc[:, -1].to_numpy(), return_counts=True)  # names of computed columns do not arrive
+            runs = merged([*runs, *zip(times.tolist(), times.tolist(), counts.tolist())], self.gap)
+        self.keep(before, runs)
+        yield self.shown(key, runs, False, 0)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        held, now = self.held(), timerValues.getCurrentWatermarkInMs()
+        ended = [r for r in held if self.due(r) <= now]
+        if not ended:
+            return
+        rest = [r for r in held if self.due(r) > now]
+        self.keep(held, rest)
+        phase = expiredTimerInfo.getExpiryTimeInMs()
+        yield self.shown(key, ended, True, phase)
+        if rest:
+            yield self.shown(key, rest, False, phase)
+
+    def close(self) -> None:
+        pass
+
+
+def merged(runs: list[tuple], gap: int) -> list[tuple]:
+    """Runs joined where the next begins at most ``gap`` after the end of those before."""
+    out: list[list] = []
+    for start, end, n in sorted(runs):
+        if out and start - out[-1][1] <= gap:
+            out[-1][1], out[-1][2] = max(out[-1][1], end), out[-1][2] + n
+        else:
+            out.append([start, end, n])
+    return [tuple(r) for r in out]
+
+
 def series_stream(photos: DataFrame, gap_seconds: int, delay: str = "10 minutes", key: str = "upload_batch_id") -> DataFrame:
-    """Closed series per key (append mode). A gap of exactly ``gap_seconds`` still belongs to the series, as in the batch
-    form; a series is emitted once the watermark has passed its end."""
-    window = F.session_window("captured_at", f"{gap_seconds} seconds")
-    return (
-        event_time(photos)
-        .withWatermark("captured_at", delay)
-        .groupBy(key, window)
-        .agg(
-            F.min("captured_at").alias("series_start_time"),
-            F.max("captured_at").alias("series_end_time"),
-            F.count(F.lit(1)).alias("photo_count"),
+    """Series per key for ``run_updates``: a row when a series closes, and with each batch the open ones of the keys that it touched.
+    ``series_of`` reads them. A gap of exactly ``gap_seconds`` still belongs to the series, as in the batch form. Needs ``keyed_state``."""
+    timed = event_time(photos.where(F.col(key).isNotNull() & F.col("captured_at").isNotNull())).withWatermark("captured_at", delay)
+    kind = photos.schema[key].dataType.simpleString()
+    changes = (
+        timed.select(key, "captured_at", F.unix_micros("captured_at").alias("_at"))
+        .groupBy(key)
+        .transformWithStateInPandas(
+            statefulProcessor=SeriesProcessor(key, gap_seconds),
+            outputStructType=f"{key} {kind}, start bigint, end bigint, photo_count bigint, closed boolean, phase bigint",
+            outputMode="Update",
+            timeMode="EventTime",
         )
-        .drop("session_window")
     )
+    times = {name: F.timestamp_micros(at).cast("timestamp_ntz").alias(name) for name, at in (("series_start_time", "start"), ("series_end_time", "end"))}
+    return changes.select(key, *times.values(), "photo_count", "closed", "phase")
 
 
-def open_series(photos: DataFrame, closed: DataFrame, gap_seconds: int, key: str = "upload_batch_id") -> DataFrame:
-    """Series that are still open at the end of the input: photos later than the last closed series of their key, grouped."""
-    last = closed.groupBy(key).agg(F.max("series_end_time").alias("_closed_until"))
-    rest = photos.join(last, key, "left").where("_closed_until IS NULL OR captured_at > _closed_until")
+def series_of(updates: DataFrame, key: str = "upload_batch_id") -> DataFrame:
+    """All series that a stream has seen: the closed ones, and those that its last word on each key left open."""
     columns = [key, "series_start_time", "series_end_time", "photo_count"]
-    return series_table(rest.select(key, "id", "captured_at"), [key], gap_seconds).select(columns)
+    last = updates.groupBy(F.col(key).alias("_of")).agg(F.max(F.struct("_batch", "phase")).alias("_last"))
+    left_open = updates.where("NOT closed").join(last, (F.col(key) == F.col("_of")) & (F.struct("_batch", "phase") == F.col("_last")))
+    return updates.where("closed").select(columns).distinct().unionByName(left_open.select(columns).distinct())
 
 
 def unique_uploads_stream(uploads: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -50,6 +123,23 @@ def unique_uploads_stream(uploads: DataFrame, delay: str = "10 minutes") -> Data
     return event_time(uploads).withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(DUPLICATE_KEY)
 
 
+def accept_uploads(uploads: DataFrame, stored: DataFrame, path: str, checkpoint: str) -> None:
+    """Write the arriving uploads that are neither among the ``stored`` keys nor accepted before to ``path``, and stop at the end of the
+    input. Each batch has a folder of its own number, which a repeated batch writes anew from the batches before it, so it adds nothing.
+    Nothing is held in state, however old a known upload is."""
+    spark = uploads.sparkSession
+    same = lambda left, right: reduce(and_, [left[c].eqNullSafe(right[c]) for c in DUPLICATE_KEY])
+    written = T.StructType([*uploads.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], uploads.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def add(rows: DataFrame, number: int) -> None:
+        known = spark.read.schema(written).parquet(path).where(F.col("batch") < number).select(*DUPLICATE_KEY).unionByName(stored.select(*DUPLICATE_KEY))
+        once = rows.dropDuplicates(DUPLICATE_KEY)
+        once.join(known, same(once, known), "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    uploads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def daily_uploads_stream(events: DataFrame, delay: str = "1 day", column: str = "uploaded_at") -> DataFrame:
     """Photos per day; use update or append mode."""
     return (
@@ -62,45 +152,79 @@ def daily_uploads_stream(events: DataFrame, delay: str = "1 day", column: str =
 
 
 class QuorumProcessor(StatefulProcessor):
-    """Distinct (user, species) pairs of a series; one row when a species holds more than half of enough pairs."""
+    """Distinct (user, species) pairs of a series and their number per species; one row when a species holds more than half of enough
+    pairs. Only new pairs change the numbers. With ``keep_ms`` a timer forgets a series so long after its last vote, decided or not; the
+    time of a vote is the last column then, in milliseconds."""
 
-    def __init__(self, min_votes: int = 3):
-        self.min_votes = min_votes
+    def __init__(self, min_votes: int = 3, keep_ms: int = 0):
+        self.min_votes, self.keep_ms = min_votes, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        pair = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("species_id", T.LongType())])
-        self.pairs = handle.getMapState("pairs", pair, T.StructType([T.StructField("seen", T.BooleanType())]))
-        self.decided = handle.getValueState("decided", T.StructType([T.StructField("done", T.BooleanType())]))
+        long, flag = T.LongType(), T.BooleanType()
+        one = lambda name, kind: T.StructType([T.StructField(name, kind)])
+        pair = T.StructType([T.StructField("user_id", long), T.StructField("species_id", long), T.StructField("named", flag)])
+        species = T.StructType([T.StructField("species_id", long), T.StructField("named", flag)])
+        self.handle, self.pairs = handle, handle.getMapState("pairs", pair, one("seen", flag))
+        self.tallies = handle.getMapState("tallies", species, one("votes", long))
+        self.decided = handle.getValueState("decided", one("done", flag))
+        self.until = handle.getValueState("until", one("ms", long))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self.decided.exists():  # nothing is kept for a series after its decision
-            return
+        last = self.until.get()[0] if self.until.exists() else 0
+        until, decided = last, self.decided.exists()  # no votes are kept for a series after its decision
         for batch in rows:
+            until = max(until, int(batch.iloc[:, -1].max()) + self.keep_ms) if self.keep_ms else 0
+            if decided:
+                continue
             for user, species in batch[["user_id", "species_id"]].drop_duplicates().itertuples(index=False):
-                self.pairs.updateValue((int(user), 0 if pd.isna(species) else int(species)), (True,))
-        votes: dict[int, int] = {}
-        for _, species in self.pairs.keys():
-            votes[species] = votes.get(species, 0) + 1
+                of = (0, False) if pd.isna(species) else (int(species), True)
+                if not self.pairs.containsKey((int(user), *of)):
+                    self.pairs.updateValue((int(user), *of), (True,))
+                    held = self.tallies.getValue(of)[0] if self.tallies.containsKey(of) else 0
+                    self.tallies.updateValue(of, (held + 1,))
+        if until > last:
+            if last:
+                self.handle.deleteTimer(last)
+            self.handle.registerTimer(until)
+            self.until.update((until,))
+        if decided:
+            return
+        votes = {(int(of[0]), bool(of[1])): int(n[0]) for of, n in self.tallies.iterator()}
         total = sum(votes.values())
-        best = max(votes, key=votes.get) if votes else 0
+        best = max(votes, key=votes.get, default=(0, False))
         if total >= self.min_votes and votes[best] * 2 > total:
             self.decided.update((True,))
             self.pairs.clear()
-            winner = pd.array([None if best == 0 else best], dtype="Int64")
+            self.tallies.clear()
+            winner = pd.array([best[0] if best[1] else None], dtype="Int64")
             yield pd.DataFrame(
                 {"observation_id": [key[0]], "winner_species_id": winner, "winner_votes": [votes[best]], "total_votes": [total]}
             )
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        for state in (self.pairs, self.tallies, self.decided, self.until):
+            state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def quorum_stream(votes: DataFrame, min_votes: int = 3) -> DataFrame:
-    """Decision of each series as soon as it is reached. ``votes``: observation_id, user_id, species_id (NULL is its own
-    candidate and kept as 0 inside the state; real and special species never use 0)."""
-    schema = "observation_id bigint, winner_species_id bigint, winner_votes bigint, total_votes bigint"
-    return votes.groupBy("observation_id").transformWithStateInPandas(
-        statefulProcessor=QuorumProcessor(min_votes), outputStructType=schema, outputMode="Append", timeMode="None"
+def quorum_stream(votes: DataFrame, min_votes: int = 3, at: str | None = None, delay: str = "1 day", keep_days: int = 90) -> DataFrame:
+    """Decision of each series as soon as it is reached. ``votes``: observation_id, user_id, species_id (NULL is a candidate of its own).
+    With ``at``, the time of a vote, a series without votes for ``keep_days`` is forgotten, decided or not, so the state holds the series
+    of that time only; votes that come later begin a new count. Without it all series are held."""
+    columns = ["observation_id", "user_id", "species_id"]
+    if at:
+        timed = event_time(votes, at).withWatermark(at, delay)
+        rows = timed.select(*columns, at, F.unix_millis(at))
+    else:
+        rows = votes.select(*columns)
+    return rows.groupBy("observation_id").transformWithStateInPandas(
+        statefulProcessor=QuorumProcessor(min_votes, keep_days * 86_400_000 if at else 0),
+        outputStructType="observation_id bigint, winner_species_id bigint, winner_votes bigint, total_votes bigint",
+        outputMode="Append",
+        timeMode="EventTime" if at else "None",
     )
 
 
