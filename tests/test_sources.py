@@ -81,3 +81,31 @@ def test_file_listing(spark, tmp_path):
     listed = W.list_files(spark, str(tmp_path), "*.jpg")
     assert sorted((r.name, r.length) for r in listed.collect()) == [("a.jpg", 5), ("a.jpg", 5)]
     assert "content" not in listed.columns
+
+
+def test_versions_are_whole_or_not_there(spark, tmp_path, monkeypatch):
+    path, columns = str(tmp_path / "facts"), "year INT, v INT"
+    rows = spark.createDataFrame([(2020, 1), (2021, 1), (2021, 2), (None, 7)], "year int, v int")
+    read = lambda **of: sorted(map(tuple, W.committed_table(spark, path, columns, **of).collect()), key=repr)
+    assert read() == []
+    W.commit_table(rows, path, "year")
+    first = sorted([(2020, 1), (2021, 1), (2021, 2), (None, 7)], key=repr)
+    assert read() == first
+    newer = rows.where("year = 2021").withColumn("v", F.lit(9))
+    with monkeypatch.context() as stopped:  # the run ends between the rows and the commit
+        stopped.setattr(W, "committed_versions", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            W.commit_table(newer, path, "year")
+    assert read() == first
+    assert W.commit_table(newer, path, "year") == 1
+    second = sorted([(2020, 1), (2021, 9), (2021, 9), (None, 7)], key=repr)
+    assert read() == second and read(version=0) == first
+    with monkeypatch.context() as slow:  # another writer has taken the number meanwhile
+        slow.setattr(W, "committed_versions", lambda *a: [0])
+        with pytest.raises(Exception, match="exist"):
+            W.commit_table(newer, path, "year")
+    assert read() == second
+    W.drop_old_versions(spark, path, keep=1)
+    assert read() == second and len([p for p in (tmp_path / "facts").iterdir() if p.name.startswith("rows-")]) == 2
+    W.commit_table(rows.where("v = 2"), path)
+    assert read() == [(2021, 2)]

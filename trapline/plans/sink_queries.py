@@ -54,6 +54,19 @@ GAP = """SELECT *, CAST(SUM(b) OVER (PARTITION BY upload_batch_id ORDER BY captu
         THEN 0 ELSE 1 END AS b FROM raw_photos) x"""
 
 
+@query(
+    "s8_committed_activity",
+    "SELECT * REPLACE (CASE WHEN year >= 1999 THEN trap_days + 1 ELSE trap_days END AS trap_days) FROM activity",
+    **ACTIVITY,
+)
+def committed_activity(s):
+    path = _folder(s, "activity-versions")
+    facts = activity(s)
+    W.commit_table(facts, path, "year")
+    W.commit_table(facts.where("year >= 1999").withColumn("trap_days", F.col("trap_days") + 1), path, "year")
+    return W.committed_table(s.spark, path, facts.schema)
+
+
 @query(
     "z1_series_stream",
     """SELECT upload_batch_id, MIN(captured_at) AS series_start_time, MAX(captured_at) AS series_end_time, COUNT(*) AS photo_count FROM gap_groups

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +84,82 @@ def replace_table(df: DataFrame, path: str, partition_by: str | None = None) ->
     writer.parquet(path)
 
 
+COMMITS = "commits"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a folder: its file system, its file context and the class of its paths."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    own, settings = paths(path), spark._jsc.hadoopConfiguration()
+    system = own.getFileSystem(settings)
+    return system, spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), settings), paths
+
+
+def committed_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of a table's versions, ascending."""
+    system, _, paths = _files(spark, path)
+    folder = paths(f"{path}/{COMMITS}")
+    if not system.exists(folder):
+        return []
+    return sorted(int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit())
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> dict[str, str]:
+    return json.loads(spark.read.text(f"{path}/{COMMITS}/{version:012d}", wholetext=True).first()[0])
+
+
+def commit_table(df: DataFrame, path: str, partition_by: str | None = None) -> int:
+    """Write ``df`` as the next version of the table at ``path`` and return its number. The rows go to a folder of their own first; a
+    version begins when its commit file, which names the folder of each partition, gets its name. Until then, and after a run that was
+    stopped, readers see the former version whole. With a partition column only the partitions present are replaced, and the others'
+    files stay as they are. Of two writers at once the second fails."""
+    spark, folder = df.sparkSession, f"rows-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(f"{path}/{folder}")
+    versions = committed_versions(spark, path)
+    held = _manifest(spark, path, versions[-1]) if versions and partition_by else {}
+    system, context, paths = _files(spark, path)
+    parts = [f.getPath().getName() for f in system.listStatus(paths(f"{path}/{folder}")) if f.isDirectory() and "=" in f.getPath().getName()]
+    manifest = held | (dict.fromkeys(parts, folder) if partition_by else {"": folder})
+    version = versions[-1] + 1 if versions else 0
+    draft = paths(f"{path}/{COMMITS}/draft-{folder}")
+    out = system.create(draft, True)
+    out.write(json.dumps(manifest).encode())
+    out.close()
+    never = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)  # no overwriting
+    context.rename(draft, paths(f"{path}/{COMMITS}/{version:012d}"), never)
+    return version
+
+
+def committed_table(spark: SparkSession, path: str, columns: str | T.StructType, version: int | None = None) -> DataFrame:
+    """The last version of a table, or an earlier one that is still there, with its columns (a schema or DDL)."""
+    versions = committed_versions(spark, path)
+    schema = _schema(columns) if isinstance(columns, str) else columns
+    if not versions:
+        return spark.createDataFrame([], schema)
+    folders: dict[str, list[str]] = {}
+    for part, folder in _manifest(spark, path, versions[-1] if version is None else version).items():
+        folders.setdefault(folder, []).append(f"{path}/{folder}/{part}".rstrip("/"))
+    read = [spark.read.schema(schema).option("basePath", f"{path}/{folder}").parquet(*parts) for folder, parts in sorted(folders.items())]
+    rows = read[0]
+    for more in read[1:]:
+        rows = rows.unionByName(more)
+    return rows.select([f.name for f in schema])
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Forget all but the last ``keep`` versions and delete the folders that none of them names. Not beside a writer."""
+    system, _, paths = _files(spark, path)
+    versions = committed_versions(spark, path)
+    kept, gone = versions[-keep:], versions[:-keep]
+    named = {folder for v in kept for folder in _manifest(spark, path, v).values()}
+    for v in gone:
+        system.delete(paths(f"{path}/{COMMITS}/{v:012d}"), False)
+    for f in system.listStatus(paths(path)):
+        if f.getPath().getName().startswith("rows-") and f.getPath().getName() not in named:
+            system.delete(f.getPath(), True)
+
+
 def fresh_folder(parent: str, name: str) -> str:
     """A new path below a shared folder, one per run."""
     return f"{parent.rstrip('/')}/{name}-{uuid.uuid4().hex}"
