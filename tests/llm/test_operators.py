@@ -309,7 +309,7 @@ def test_language_model_probabilities_add_up():
     assert model.start.sum() == pytest.approx(1) and model.step.sum(1) == pytest.approx(1) and model.emit.sum(0) == pytest.approx(1)
     classes, bounds = np.array([1, 2, 3, 4, 5, 1, 2] * 60), np.array([0, 100, 100, 420])
     starts, steps, emits = language_model.expected(classes, bounds, model)
-    assert emits.sum() == pytest.approx(len(classes), rel=1e-4) and starts.sum() == pytest.approx(4) and steps.sum() == pytest.approx(len(classes) - 4, rel=1e-4)
+    assert emits.sum() == pytest.approx(len(classes), rel=1e-4) and starts.sum() == pytest.approx(2) and steps.sum() == pytest.approx(len(classes) - 2, rel=1e-4)
     again = language_model.Model.from_counts(starts, steps, emits, np.bincount(classes, minlength=language_model.CLASSES).astype(float))
     one = np.array([0, len(classes)])
     assert language_model.forward(classes, one, again)[0] > language_model.forward(classes, one, model)[0]
@@ -334,15 +334,16 @@ def test_language_model_counts_are_those_of_whole_texts(monkeypatch):
             found[classes[a + t]] += alpha[t] * beta[t] / total
             if t + 1 < b - a:
                 steps += model.step * np.outer(alpha[t], model.emit[classes[a + t + 1]] * beta[t + 1]) / total
-    for stretch in (7, 512):
+    for stretch, together, abreast in ((7, 1 << 20, 4096), (7, 20, 2), (1024, 1 << 20, 4096)):
         monkeypatch.setattr(language_model, "LONG", stretch)
-        for got, whole in zip(language_model.expected(classes, bounds, model, whole=True), (starts, steps, found)):
+        monkeypatch.setattr(language_model, "TOGETHER", together)
+        monkeypatch.setattr(language_model, "ABREAST", abreast)
+        for got, whole in zip(language_model.expected(classes, bounds, model), (starts, steps, found)):
             np.testing.assert_allclose(got, whole, rtol=1e-3, atol=1e-3)
 
 
 def test_language_model_learns_from_all_texts_in_every_round(docs, rows, monkeypatch):
     seen, one_round = [], language_model.one_round
-    monkeypatch.setattr(language_model, "SAMPLE_BYTES", 1, raising=False)
     monkeypatch.setattr(language_model, "one_round", lambda texts_, model: seen.append(texts_.count()) or one_round(texts_, model))
     language_model.train(docs)
     assert seen == [len(rows)] * 15

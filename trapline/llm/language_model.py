@@ -29,16 +29,16 @@ from trapline.llm.words import Words, blank_separated, lowered, mixed, packed, r
 STATES = 6
 CLASSES = 1 << 15
 END = CLASSES - 1
-#: Tokens of a stretch that counts as a text of its own; not used in training.
-STRETCH = 128
 #: Tokens of a whole text that are worked on in a row; no result depends on it.
-LONG = 512
+LONG = 1024
 #: Rounds of Baum-Welch over all texts.
 ROUNDS = 15
 #: Weight of the overall class shares, in tokens, in each state's emissions.
 PRIOR = 50.0
 CHUNK_BYTES = 4_000_000
-TOGETHER = 1024
+#: Tokens, and stretches, that are worked on side by side.
+TOGETHER = 1 << 20
+ABREAST = 4096
 END_KEY = np.uint64(0xE4D0000000000001)
 
 
@@ -104,24 +104,32 @@ class Model:
 
 def longest_first(length: np.ndarray):
     """Stretches from the longest, some at a time: which ones, and how many of them reach each place."""
-    order = np.argsort(-length, kind="stable")
-    for low in range(0, len(order), TOGETHER):
-        own = order[low : low + TOGETHER]
+    order, low = np.argsort(-length, kind="stable"), 0
+    while low < len(order):
+        own = order[low : low + min(ABREAST, max(1, TOGETHER // int(length[order[low]])))]
         size = length[own]
-        yield own, np.searchsorted(-size, -np.arange(size[0]), "left")
+        low += len(own)
+        yield own, np.searchsorted(-size, -np.arange(size[0]), "left").tolist()
+
+
+def by_state(table: np.ndarray) -> np.ndarray:
+    """A row for each state, so that steps run along many stretches at once."""
+    return np.ascontiguousarray(table.T, np.float32)
 
 
 def transfers(classes: np.ndarray, begin: np.ndarray, length: np.ndarray, model: Model) -> np.ndarray:
     """For each stretch and each state of its first token the probability of its tokens and the state of the last, up to a factor a stretch."""
     found = np.empty((len(begin), STATES, STATES))
+    back, emit = by_state(model.step), by_state(model.emit / np.maximum(model.emit.sum(1, keepdims=True), 1e-300))
     for own, live in longest_first(length):
-        now = np.eye(STATES)[None, :, :]
+        now = np.repeat(np.eye(STATES, dtype=np.float32)[:, :, None], len(own), 2)  # state of the first token, of this one, stretch
         for t, n in enumerate(live):
-            out = model.emit[classes[begin[own[:n]] + t]][:, None, :]
-            now = (now if t == 0 else (now[:n].reshape(-1, STATES) @ model.step).reshape(-1, STATES, STATES)) * out
-            now /= now.sum((1, 2), keepdims=True)
+            now = (back @ now[:, :, :n] if t else now) * emit.take(classes[begin[own[:n]] + t], axis=1)
+            if t % 2:  # emission shares go down to PRIOR / tokens, so two of them stay far above the least float
+                now /= now.sum((0, 1))
             done = live[t + 1] if t + 1 < len(live) else 0
-            found[own[done:n]] = now[done:]
+            if done < n:
+                found[own[done:n]] = now[:, :, done:].transpose(2, 0, 1)
     return found
 
 
@@ -150,44 +158,43 @@ def borders(classes: np.ndarray, begin: np.ndarray, length: np.ndarray, parts: n
     return before, after, steps
 
 
-def expected(classes: np.ndarray, bounds: np.ndarray, model: Model, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, steps and (class, state) over ``whole`` texts, or over stretches of ``STRETCH`` tokens as if each were a text."""
-    sizes, stretch = np.diff(bounds), LONG if whole else STRETCH
-    parts = -(-sizes // stretch)
+def expected(classes: np.ndarray, bounds: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, steps and (class, state) over whole texts."""
+    parts = -(-np.diff(bounds) // LONG)
     place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = np.repeat(bounds[:-1], parts) + stretch * place
-    length = np.minimum(stretch, np.repeat(bounds[1:], parts) - begin)
-    if not whole:
-        place, parts = np.zeros_like(place), np.ones_like(place)
+    begin = np.repeat(bounds[:-1], parts) + LONG * place
+    length = np.minimum(LONG, np.repeat(bounds[1:], parts) - begin)
     before, after, steps = borders(classes, begin, length, parts, model)
-    starts, emits = np.zeros(STATES), np.zeros((CLASSES, STATES))
-    step, emit = model.step.astype(np.float32), model.emit.astype(np.float32)
+    starts, emits = np.zeros(STATES), np.zeros((STATES, CLASSES))
+    step, back, emit = model.step.astype(np.float32), by_state(model.step), by_state(model.emit)
     for own, live in longest_first(length):
-        alphas, outs, seen = [], [], []
-        now = before[own].astype(np.float32)
+        symbols = classes[np.concatenate([begin[own[:n]] + t for t, n in enumerate(live)])]
+        edges = np.cumsum([0, *live]).tolist()
+        outs = emit.take(symbols, axis=1)
+        alphas, now = np.empty_like(outs), by_state(before[own])
         for t, n in enumerate(live):
-            symbol = classes[begin[own[:n]] + t]
-            out = emit[symbol]
-            now = (now if t == 0 else now[:n] @ step) * out
-            total = now.sum(1, keepdims=True)
-            now = now / total
-            alphas.append(now), outs.append(out / total), seen.append(symbol)
-        rest, ahead = after[own].astype(np.float32), None
+            out = outs[:, edges[t] : edges[t + 1]]
+            now = (back @ now[:, :n] if t else now) * out
+            total = now.sum(0)
+            now /= total
+            out /= total
+            alphas[:, edges[t] : edges[t + 1]] = now
+        rest, ahead, done = by_state(after[own]), None, 0
         for t in range(len(live) - 1, -1, -1):
-            n, done = live[t], live[t + 1] if t + 1 < len(live) else 0
-            beta = rest[:n].copy()
-            beta[done:] /= (alphas[t][done:] * beta[done:]).sum(1, keepdims=True)
+            n, alpha = live[t], alphas[:, edges[t] : edges[t + 1]]
+            beta = rest[:, :n].copy()
+            if done < n:
+                beta[:, done:] /= (alpha[:, done:] * beta[:, done:]).sum(0)
             if done:
-                steps += step * (alphas[t][:done].T @ ahead)
-                beta[:done] = ahead @ step.T
-            ahead = outs[t] * beta
-            alphas[t] = alphas[t] * beta
-        symbols, gammas = np.concatenate(seen), np.concatenate(alphas)
-        gammas /= gammas.sum(1, keepdims=True)
-        starts += gammas[: live[0]][place[own] == 0].sum(0)
+                steps += step * (alpha[:, :done] @ ahead.T)
+                beta[:, :done] = step @ ahead
+            ahead, done = outs[:, edges[t] : edges[t + 1]] * beta, n
+            alpha *= beta
+        alphas /= alphas.sum(0)
+        starts += alphas[:, : live[0]][:, place[own] == 0].sum(1, dtype=np.float64)
         for k in range(STATES):
-            emits[:, k] += np.bincount(symbols, gammas[:, k], minlength=CLASSES)
-    return starts, steps, emits
+            emits[k] += np.bincount(symbols, alphas[k], minlength=CLASSES)
+    return starts, steps, emits.T
 
 
 def one_round(texts: DataFrame, model: Model) -> Model:
@@ -198,13 +205,12 @@ def one_round(texts: DataFrame, model: Model) -> Model:
     def count(batches):
         now, total = Model(**shared.value), None
         for batch in batches:
-            blobs = batch.column(0).to_pylist()
-            if not blobs:
-                continue
-            bounds = np.cumsum([0, *(len(b) // 2 for b in blobs)])
-            classes = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
-            found = [*expected(classes, bounds, now, whole=True), np.bincount(classes, minlength=CLASSES).astype(np.float64)]
-            total = found if total is None else [a + b for a, b in zip(total, found)]
+            data, offsets = utf8(batch.column(0))
+            for a, b in row_slices(offsets, CHUNK_BYTES):
+                bounds = (offsets[a : b + 1] - offsets[a]) // 2
+                classes = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), np.uint16)
+                found = [*expected(classes, bounds, now), np.bincount(classes, minlength=CLASSES).astype(np.float64)]
+                total = found if total is None else [x + y for x, y in zip(total, found)]
         if total is not None:
             starts, steps, emits, tokens = total
             own = np.flatnonzero(tokens)
