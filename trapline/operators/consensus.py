@@ -15,19 +15,27 @@ def series_of_photos(photos: DataFrame) -> DataFrame:
     return photos.where(F.col("observation_id").isNotNull()).select(F.col("id").alias("photo_id"), "observation_id")
 
 
-def series_votes(identifications: DataFrame, photos: DataFrame) -> DataFrame:
-    """Votes with the series of their photo."""
-    return identifications.join(series_of_photos(photos), "photo_id")
-
-
-def candidates(identifications: DataFrame, photos: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """(observation_id, species_id, vote_count, max_quantity): distinct users per candidate. ``within`` restricts the series
-    before anything is shuffled on them."""
-    linked = series_of_photos(photos)
+def series_votes(identifications: DataFrame, photos: DataFrame | None, within: DataFrame | None = None) -> DataFrame:
+    """Votes with the series of their photo. ``within`` restricts the series before anything is shuffled on them. Without
+    ``photos`` the votes must carry their series, as those of ``series_ballots`` do."""
+    linked = identifications if photos is None else series_of_photos(photos)
     if within is not None:
         linked = linked.join(within.select(F.col("id").alias("observation_id")), "observation_id", "left_semi")
+    return linked if photos is None else identifications.join(linked, "photo_id")
+
+
+def series_ballots(identifications: DataFrame, photos: DataFrame) -> DataFrame:
+    """(observation_id, user_id, species_id, quantity): one row for each species a user names in a series, with the largest
+    quantity. It stands for the votes wherever distinct users of a series are counted, without the photos: a vote copied to
+    every photo of a series is one row, so a series with very many photos is no larger than its voters make it."""
+    votes = identifications.select("photo_id", "user_id", "species_id", "quantity")
+    return series_votes(votes, photos).groupBy("observation_id", "user_id", "species_id").agg(F.max("quantity").alias("quantity"))
+
+
+def candidates(identifications: DataFrame, photos: DataFrame | None, within: DataFrame | None = None) -> DataFrame:
+    """(observation_id, species_id, vote_count, max_quantity): distinct users per candidate, in the series of ``within`` if given."""
     return (
-        identifications.join(linked, "photo_id")
+        series_votes(identifications, photos, within)
         .groupBy("observation_id", "species_id")
         .agg(F.count_distinct("user_id").alias("vote_count"), F.max("quantity").alias("max_quantity"))
     )
@@ -44,7 +52,7 @@ def _ranking(quantity: str) -> list[Column]:
 
 def consensus(
     identifications: DataFrame,
-    photos: DataFrame,
+    photos: DataFrame | None,
     *,
     null_species: bool = True,
     quantity: str = "unknown_first",
@@ -59,19 +67,19 @@ def consensus(
     return found.withColumn("rn", F.row_number().over(order))
 
 
-def winners(identifications: DataFrame, photos: DataFrame, **options) -> DataFrame:
+def winners(identifications: DataFrame, photos: DataFrame | None, **options) -> DataFrame:
     """The winning candidate of every series."""
     return consensus(identifications, photos, **options).where("rn = 1").drop("rn")
 
 
-def verified_series(observations: DataFrame, identifications: DataFrame, photos: DataFrame, **options) -> DataFrame:
+def verified_series(observations: DataFrame, identifications: DataFrame, photos: DataFrame | None, **options) -> DataFrame:
     """Completed or archived series beside their winning candidate."""
     done = observations.where(F.col("status").isin(*DONE))
     won = winners(identifications, photos, within=done, **options).withColumnRenamed("observation_id", "id")
     return done.join(won, "id")
 
 
-def voters(identifications: DataFrame, photos: DataFrame) -> DataFrame:
+def voters(identifications: DataFrame, photos: DataFrame | None) -> DataFrame:
     """Distinct voters of each candidate, as sorted text joined by a bar."""
     return (
         series_votes(identifications, photos)
@@ -80,7 +88,7 @@ def voters(identifications: DataFrame, photos: DataFrame) -> DataFrame:
     )
 
 
-def quorum(observations: DataFrame, identifications: DataFrame, photos: DataFrame, min_votes: int = 3) -> DataFrame:
+def quorum(observations: DataFrame, identifications: DataFrame, photos: DataFrame | None, min_votes: int = 3) -> DataFrame:
     """Pending series where one candidate holds more than half of at least ``min_votes`` distinct (user, species) pairs."""
     pending = observations.where("status = 'pending'").select(F.col("id").alias("observation_id"))
     tally = (
@@ -97,7 +105,7 @@ def quorum(observations: DataFrame, identifications: DataFrame, photos: DataFram
     )
 
 
-def redecide(observations: DataFrame, identifications: DataFrame, photos: DataFrame, min_votes: int = 3) -> DataFrame:
+def redecide(observations: DataFrame, identifications: DataFrame, photos: DataFrame | None, min_votes: int = 3) -> DataFrame:
     """Pending series that have a species with at least ``min_votes`` distinct users; most users win, then the smaller id."""
     pending = observations.where("status = 'pending'")
     enough = candidates(identifications, photos, pending).where(

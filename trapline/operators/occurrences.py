@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trapline.functions.ordered import collapse, number_gaps
 from trapline.functions.rounding import half_even
-from trapline.operators.consensus import DONE, series_of_photos
+from trapline.operators.consensus import DONE, series_votes
 from trapline.operators.filters import TaxonFilter, qc_exclude, started_between, taxon_filter
 from trapline.operators.scope import in_institutions, valid_locations
 
@@ -56,20 +56,22 @@ class OccurrenceSpec:
         return wanted or self.allowed_institutions
 
 
-def ballots(identifications: DataFrame, photos: DataFrame, users: DataFrame, within: DataFrame) -> DataFrame:
-    """Candidates of the given series with their voters: vote_count, max_quantity, and (id, name) of every voter."""
-    linked = series_of_photos(photos).join(within.select(F.col("id").alias("observation_id")), "observation_id", "left_semi")
+def ballots(identifications: DataFrame, photos: DataFrame | None, users: DataFrame, within: DataFrame) -> DataFrame:
+    """Candidates of the given series with their voters: vote_count, max_quantity, and (id, name) of every voter. Names are joined
+    to one row for each voter of a candidate, not to every vote."""
+    votes = identifications.select("observation_id" if photos is None else "photo_id", "user_id", "species_id", "quantity")
     names = users.select(F.col("id").alias("user_id"), "full_name")
     voter = F.struct(
         F.col("user_id").cast("string").alias("id"),
         F.coalesce("full_name", F.concat(F.lit("User #"), F.col("user_id").cast("string"))).alias("name"),
     )
     return (
-        identifications.select("photo_id", "user_id", "species_id", "quantity")
-        .join(linked, "photo_id")
+        series_votes(votes, photos, within)
+        .groupBy("observation_id", "species_id", "user_id")
+        .agg(F.max("quantity").alias("_quantity"))
         .join(names, "user_id", "left")
         .groupBy("observation_id", "species_id")
-        .agg(F.array_sort(F.collect_set(voter)).alias("voters"), F.max("quantity").alias("max_quantity"))
+        .agg(F.array_sort(F.collect_set(voter)).alias("voters"), F.max("_quantity").alias("max_quantity"))
         .withColumn("vote_count", F.size("voters"))
     )
 
@@ -101,7 +103,7 @@ def best_prediction(predictions: DataFrame, models: DataFrame, levels: DataFrame
 @dataclass(frozen=True)
 class OccurrenceTables:
     observations: DataFrame
-    photos: DataFrame
+    photos: DataFrame | None
     identifications: DataFrame
     species: DataFrame
     locations: DataFrame

@@ -129,13 +129,13 @@ def location_stats(s):
     return R.location_stats(s.photos, s.observations, s.identifications, s.species)
 
 
-@query(
-    "a8_top_species",
-    f"""SELECT v.species_id, s.scientific_name, s.common_name_ua, s.common_name_en, COUNT(*) AS observation_count
+TOP_SQL = f"""SELECT v.species_id, s.scientific_name, s.common_name_ua, s.common_name_en, COUNT(*) AS observation_count
     FROM verified v JOIN species s ON s.id = v.species_id WHERE s.id > 0
         AND CAST(v.series_start_time AS DATE) BETWEEN DATE '{FIRST}' AND DATE '{LAST}' AND v.location_id IN (SELECT id FROM lenient_locations)
-    GROUP BY ALL ORDER BY observation_count DESC, scientific_name LIMIT 15""",
-)
+    GROUP BY ALL ORDER BY observation_count DESC, scientific_name LIMIT 15"""
+
+
+@query("a8_top_species", TOP_SQL)
 def top_species(s):
     placed = S.at_valid_locations(L.started_between(s.observations, FIRST, LAST), s.locations)
     return R.top_species(C.verified_series(placed, s.identifications, s.photos), s.species)
