@@ -103,6 +103,51 @@ def positions(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str
     return attach(with_unit(rows, ts), before, keys, ts, tie, name)
 
 
+def neighbours(rows: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
+    """Rows with ``position`` (1-based), ``previous`` and ``next``: the chronological place of every row inside its key and the
+    ``tie`` values, which tell its rows apart, of the rows beside it. One scan: a row's neighbours come from its own second, at
+    the second's edges from the seconds beside it that day, and at the day's edges from the days beside it. Rows without a key
+    or a time are left out."""
+    in_second = Window.partitionBy(*keys, UNIT).orderBy(ts, tie)
+    seconds = Window.partitionBy(*keys, DAY).orderBy(UNIT)
+    days = Window.partitionBy(*keys).orderBy(DAY)
+    opens, closes = F.col("previous").isNull(), F.col("next").isNull()
+
+    def edges(units: DataFrame, of: list[str], first: str, last: str, n: Column) -> DataFrame:
+        ends = (F.max(F.when(opens, F.col(first))).alias("_first"), F.max(F.when(closes, F.col(last))).alias("_last"))
+        return units.groupBy(*of).agg(n.alias("_n"), *ends)
+
+    def linked(units: DataFrame, order) -> DataFrame:
+        earlier = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        beside = {"previous": F.lag("_last").over(order), "next": F.lead("_first").over(order)}
+        return units.withColumns({"_before": F.coalesce(earlier, F.lit(0)), **beside})
+
+    placed = with_unit(keyed(rows, [*keys, ts]), ts).withColumns(
+        {"position": F.row_number().over(in_second), "previous": F.lag(tie).over(in_second), "next": F.lead(tie).over(in_second)}
+    )
+    units = linked(edges(placed, [*keys, UNIT], tie, tie, F.count(F.lit(1))).withColumn(DAY, F.to_date(UNIT)), seconds)
+    by_day = linked(edges(units, [*keys, DAY], "_first", "_last", F.sum("_n")), days)
+    names = {"_before": "_d_before", "previous": "_d_previous", "next": "_d_next"}
+    settled = units.join(by_day.select(*keys, DAY, *[F.col(c).alias(n) for c, n in names.items()]), [*keys, DAY]).select(
+        *keys,
+        UNIT,
+        (F.col("_before") + F.col("_d_before")).alias("_before"),
+        F.coalesce("previous", "_d_previous").alias("_previous"),
+        F.coalesce("next", "_d_next").alias("_next"),
+    )
+    return (
+        placed.join(settled, [*keys, UNIT])
+        .withColumns(
+            {
+                "position": F.col("_before") + F.col("position"),
+                "previous": F.coalesce("previous", "_previous"),
+                "next": F.coalesce("next", "_next"),
+            }
+        )
+        .drop("_before", "_previous", "_next", UNIT)
+    )
+
+
 def attach(rows: DataFrame, before: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str) -> DataFrame:
     """Join the per-second counts back to the rows and number the rows of each second."""
     within = Window.partitionBy(*keys, UNIT).orderBy(ts, tie)

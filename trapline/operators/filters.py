@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.functions.names import bracketed_label
-from trapline.functions.ordered import keyed, positions, ranked
+from trapline.functions.ordered import keyed, neighbours, ranked
 from trapline.operators.scope import Viewer
 from trapline.sources.starschema import QC_BOOLEAN_FLAGS, QC_TEXT_FLAG
 
@@ -245,15 +245,13 @@ def duplicate_sites(new: DataFrame, locations: DataFrame) -> DataFrame:
 
 def series_positions(photos: DataFrame) -> DataFrame:
     """0-based chronological index of each photo in its series, with the neighbouring photos. Photos without a series are left out."""
-    rows = photos.select("id", "observation_id", "captured_at")
-    placed = positions(rows, ["observation_id"], "captured_at", "id").select(
-        "id", "observation_id", (F.col("position") - 1).alias("photo_index")
-    )
-    keys = ["observation_id", "photo_index"]
-    before = placed.select("observation_id", (F.col("photo_index") + 1).alias("photo_index"), F.col("id").alias("previous_id"))
-    after = placed.select("observation_id", (F.col("photo_index") - 1).alias("photo_index"), F.col("id").alias("next_id"))
-    return placed.join(before, keys, "left").join(after, keys, "left").select(
-        "id", "observation_id", "photo_index", "previous_id", "next_id"
+    placed = neighbours(photos.select("id", "observation_id", "captured_at"), ["observation_id"], "captured_at", "id")
+    return placed.select(
+        "id",
+        "observation_id",
+        (F.col("position") - 1).alias("photo_index"),
+        F.col("previous").alias("previous_id"),
+        F.col("next").alias("next_id"),
     )
 
 
