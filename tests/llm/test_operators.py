@@ -95,6 +95,8 @@ def test_exact_copies(docs, rows, nothing):
     expected = sorted(((i, top[lower(t)], len(group[lower(t)]), i == top[lower(t)]) for i, t in rows), key=repr)
     for slots in (1 << 20, 1 << 10):  # a small filter lets more rows through to the shuffle, the result stays
         assert sorted_rows(exact_dedup.mark_copies(docs, slots=slots), "doc_id", "keep_id", "group_size", "kept") == expected
+    assert sorted_rows(exact_dedup.mark_copies(docs), "doc_id", "keep_id", "group_size", "kept") == expected
+    assert [exact_dedup.slots_for(n) for n in (0, 65_536, 65_537, 10**12)] == [1 << 20, 1 << 20, 1 << 21, 1 << 31]
     kept = exact_dedup.drop_copies(docs, slots=1 << 12)
     assert kept.columns == docs.columns and sorted_rows(kept, "doc_id", "text") == sorted(((i, t) for i, t in rows if i == top[lower(t)]), key=repr)
     assert exact_dedup.mark_copies(nothing, slots=1 << 12).count() == 0

@@ -18,9 +18,12 @@ from pyspark.sql import types as T
 from trapline.llm.shared import free_name, salted_join, stored
 from trapline.llm.words import utf8
 
-#: Counters of the filter. The filter that is broadcast has a bit for each, so 8 MiB whatever the input's size; beyond some ten
-#: million documents more and more rows without a copy are shuffled too, and results stay the same.
-SLOTS = 1 << 26
+#: Counters of the filter for each row, rounded up to a power of two, at which one single digest in 70 at most may repeat.
+ROOM = 16
+#: Most counters. The filter that is broadcast has a bit for each, so 256 MiB at most; beyond some 130 million rows more and more
+#: rows without a copy are shuffled too, and results stay the same.
+MOST_SLOTS = 1 << 31
+#: Counters that one group of the first pass adds up.
 SEGMENT = 1 << 20
 
 
@@ -48,13 +51,20 @@ def slots_of(digests: list[bytes], slots: int) -> np.ndarray:
     return (values[:, :2].T % np.uint64(slots)).astype(np.int64)
 
 
-def repeat_filter(digests: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """First pass: a bit for each counter that two or more entries meet in. At most ``slots`` / 8 bytes come to the driver."""
+def slots_for(rows: int) -> int:
+    """Counters for so many rows."""
+    return min(MOST_SLOTS, max(SEGMENT, 1 << (ROOM * max(rows, 1) - 1).bit_length()))
+
+
+def repeat_filter(digests: DataFrame, slots: int) -> np.ndarray:
+    """First pass: a bit for each counter that two or more entries meet in. At most ``slots`` / 8 bytes come to the driver. A batch
+    sends a counter twice at most, so a text with very many copies is two entries for each batch."""
     segment = min(SEGMENT, slots)
 
     def own(batches):
         for batch in batches:
-            hit = np.sort(slots_of(batch.column(0).to_pylist(), slots).ravel())
+            hit, times = np.unique(slots_of(batch.column(0).to_pylist(), slots), return_counts=True)
+            hit = np.repeat(hit, np.minimum(times, 2))
             kinds, at = np.unique(hit // segment, return_index=True)
             parts = np.split(hit % segment, at[1:])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], ["segment", "hit"])
@@ -97,15 +107,17 @@ def marked(digests: DataFrame, bits: np.ndarray, slots: int) -> DataFrame:
     return single.unionByName(settled)
 
 
-def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest), a row for each row of ``docs``."""
+def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest), a row for each row of ``docs``. ``slots`` goes by the number of rows unless given."""
     digests = stored(text_digests(docs, doc_id, text))
+    slots = slots or slots_for(digests.count())
     return marked(digests, repeat_filter(digests, slots), slots)
 
 
-def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows that the filter lets through are not shuffled."""
     digests = stored(text_digests(docs, doc_id, text))
+    slots = slots or slots_for(digests.count())
     bits = repeat_filter(digests, slots)
     gone, of, own, maybe = (free_name(docs, name) for name in ("dropped_id", "dropped_digest", "own_digest", "may_repeat"))
     dropped = marked(digests, bits, slots).filter(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("digest").alias(of)).distinct()
