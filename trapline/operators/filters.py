@@ -69,10 +69,15 @@ def started_between(observations: DataFrame, first: str, last: str) -> DataFrame
     return observations.where((at >= _midnight(first)) & (at < _midnight_after(last)))
 
 
+def taken_between(first: str, last: str) -> Column:
+    """Whether a photo was taken from the start of the first day to the start of the last day: the last day itself is left out,
+    but for its very first moment."""
+    return F.col("captured_at").between(_midnight(first), _midnight(last))
+
+
 def captured_between(photos: DataFrame, first: str, last: str) -> DataFrame:
-    """Photos taken from the start of the first day to the start of the last day: the last day itself is left out, but for
-    its very first moment."""
-    return photos.where(F.col("captured_at").between(_midnight(first), _midnight(last)))
+    """Photos that were ``taken_between``."""
+    return photos.where(taken_between(first, last))
 
 
 def captured_through(photos: DataFrame, first: str, last: str) -> DataFrame:
@@ -81,9 +86,14 @@ def captured_through(photos: DataFrame, first: str, last: str) -> DataFrame:
     return photos.where((at >= _midnight(first)) & (at < _midnight_after(last)))
 
 
+def begun_through(first: str, last: str) -> Column:
+    """Whether a series began from the start of the first day to the midnight after the last day, that midnight included."""
+    return F.col("series_start_time").between(_midnight(first), _midnight_after(last))
+
+
 def started_through(observations: DataFrame, first: str, last: str) -> DataFrame:
-    """Series from the start of the first day to the midnight after the last day, that midnight included."""
-    return observations.where(F.col("series_start_time").between(_midnight(first), _midnight_after(last)))
+    """Series that were ``begun_through``."""
+    return observations.where(begun_through(first, last))
 
 
 @dataclass(frozen=True)

@@ -28,8 +28,9 @@ def photo_index(photos: DataFrame, observations: DataFrame) -> DataFrame:
             "observation_id",
         )
     )
-    newest = F.max(F.struct("photo_id", "observation_id")).alias("p")
-    return keyed.groupBy("location_id", "file_key", "second").agg(newest).select("location_id", "file_key", "second", "p.*")
+    # two numbers instead of one struct: a hash aggregation holds them
+    newest = (F.max("photo_id").alias("photo_id"), F.max_by("observation_id", "photo_id").alias("observation_id"))
+    return keyed.groupBy("location_id", "file_key", "second").agg(*newest)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -97,12 +98,16 @@ def change_counts(merged: DataFrame) -> DataFrame:
 
 def series_labels(predictions: DataFrame, label_map: DataFrame) -> DataFrame:
     """Label of every (series, model): the best animal, else human, else vehicle, else empty, with its score and species.
-    Equal animal scores go to the alphabetically first label."""
+    Equal animal scores go to the alphabetically first label. Photos are counted together per label first, so that a series with
+    very many photos is a row for each of its labels, and all aggregates are hashed."""
     label, score = F.col("base_label"), F.col("base_score")
     animal = label.isNotNull() & ~label.isin(*NOT_ANIMALS) & (label != "")
-    rated = F.struct((-F.coalesce(score, F.lit(0.0))).alias("minus_score"), label)
-    found = predictions.groupBy("observation_id", "model_id").agg(
-        F.min(F.when(animal, rated)).alias("animal"),
+    best = predictions.groupBy("observation_id", "model_id", "base_label").agg(
+        F.max(F.coalesce(score, F.lit(0.0))).alias("_score"), F.max("base_score").alias("base_score")
+    )
+    rated = F.struct((-F.col("_score")).alias("minus_score"), label)
+    found = best.groupBy("observation_id", "model_id").agg(
+        F.array_min(F.collect_list(F.when(animal, rated))).alias("animal"),
         F.bool_or(F.coalesce(label == "human", F.lit(False))).alias("human"),
         F.max(F.when(label == "human", score)).alias("human_score"),
         F.bool_or(F.coalesce(label == "vehicle", F.lit(False))).alias("vehicle"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trapline.functions.rounding import half_even
 from trapline.operators.activity import effort_by_location, photo_days
 from trapline.operators.consensus import DONE, series_votes, verified_series
-from trapline.operators.filters import captured_between, started_between, started_through
+from trapline.operators.filters import begun_through, captured_between, started_between, taken_between
 
 
 def top_species(verified: DataFrame, species: DataFrame, limit: int = 15) -> DataFrame:
@@ -47,36 +47,69 @@ def unvoted(observations: DataFrame, photos: DataFrame, identifications: DataFra
     return observations.join(voted.distinct(), "id", "left_anti")
 
 
+KPIS = ("photos", "locations", "capture_days", "observations", "species", "unvoted_series")
+
+
 def dashboard_kpis(
     photos: DataFrame, identifications: DataFrame, observations: DataFrame, first: str, last: str
 ) -> DataFrame:
-    """(metric, value) rows over the series of the caller's scope. Photos of the last day are left out, series are not."""
-    sites = observations.select(F.col("id").alias("observation_id"), "location_id", "status")
-    shown = captured_between(photos, first, last)
-    days = (
-        shown.join(sites, "observation_id")
-        .groupBy("location_id", F.to_date("captured_at").alias("day"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    seen = (
-        series_votes(identifications.where("species_id > 0").select("photo_id", "species_id"), shown)
-        .join(sites, "observation_id")
-        .groupBy("observation_id", "species_id", "status")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    """(metric, value) rows over the series of the caller's scope. Photos of the last day are left out, series are not.
+
+    Every table is read once: photos and votes meet in one grouping by photo, then become one row for each (series, day, species)
+    and one for each series, which says what it adds to each metric. Only distinct (metric, value) pairs are shuffled after that."""
+    shots = photos.where(F.col("observation_id").isNotNull()).select(
+        F.col("id").alias("photo_id"), "observation_id", F.when(taken_between(first, last), F.to_date("captured_at")).alias("day")
     )
-    waiting = unvoted(started_through(observations, first, last), photos, identifications)
-    parts = [
-        _metric("photos", days, F.sum("_n")),
-        _metric("locations", days.select("location_id").distinct(), F.count(F.lit(1))),
-        _metric("capture_days", days.select("day").distinct(), F.count(F.lit(1))),
-        _metric("observations", seen.select("observation_id").distinct(), F.count(F.lit(1))),
-        _metric("species", seen.where(F.col("status").isin(*DONE)).select("species_id").distinct(), F.count(F.lit(1))),
-        _metric("unvoted_series", waiting, F.count(F.lit(1))),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    named = identifications.select("photo_id", F.col("species_id").cast("long").alias("species_id"), F.lit(True).alias("voted"))
+    each = (
+        shots.unionByName(named, allowMissingColumns=True)
+        .groupBy("photo_id")
+        .agg(
+            F.max("observation_id").alias("observation_id"),
+            F.max("day").alias("day"),
+            F.collect_set(F.when(F.col("species_id") > 0, F.col("species_id"))).alias("named"),
+            F.count("voted").alias("votes"),
+        )
+        .where(F.col("observation_id").isNotNull())
+        .select("observation_id", "day", "votes", F.posexplode_outer("named").alias("place", "species_id"))
+    )
+    one = F.when(F.coalesce("place", F.lit(0)) == 0, 1)  # a photo counts at its first species
+    daily = each.groupBy("observation_id", "day", "species_id").agg(F.sum(one).alias("_n"), F.max("votes").alias("votes"))
+    shown = F.col("day").isNotNull()
+    series = daily.groupBy("observation_id").agg(
+        F.sum(F.when(shown, F.col("_n"))).alias("_n"),
+        F.collect_set(F.unix_date("day").cast("long")).alias("days"),
+        F.collect_set(F.when(shown, F.col("species_id"))).alias("named"),
+        F.max("votes").alias("votes"),
+    )
+    sites = observations.select(
+        F.col("id").alias("observation_id"), F.col("location_id").cast("long"), "status", begun_through(first, last).alias("begun")
+    )
+    nothing = F.lit(None).cast("long")
+
+    def adds(metric: str, value: Column, count: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), value.cast("long").alias("value"), count.cast("long").alias("count"))
+
+    def members(metric: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<bigint>")), lambda v: adds(metric, v, nothing))
+
+    seen, done = F.size("days") > 0, F.col("status").isin(*DONE)
+    unvoted = F.col("begun") & (F.coalesce("votes", F.lit(0)) == 0)
+    parts = F.concat(
+        members("locations", F.when(seen, F.array("location_id"))),
+        members("capture_days", F.col("days")),
+        members("species", F.when(done, F.col("named"))),
+        F.array(
+            adds("photos", nothing, F.col("_n")),
+            adds("observations", nothing, F.when(F.size("named") > 0, 1)),
+            adds("unvoted_series", nothing, F.when(unvoted, 1)),
+        ),
+    )
+    pairs = sites.join(series, "observation_id", "left").select(F.inline(parts)).where("value IS NOT NULL OR count IS NOT NULL")
+    found = pairs.groupBy("metric", "value").agg(F.sum("count").alias("count"))
+    sums = [F.sum(F.when(F.col("metric") == m, F.coalesce("count", F.lit(1)))) for m in KPIS]
+    rows = [F.struct(F.lit(m).alias("metric"), F.coalesce(n, F.lit(0)).alias("value")) for m, n in zip(KPIS, sums)]
+    return found.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def top_contributors(
