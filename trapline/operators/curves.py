@@ -429,7 +429,9 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def curve_wide(curves: DataFrame, species: DataFrame, name: Column) -> DataFrame:
-    """Text table for the file: one row per grid hour, three columns per species in the order of their ids."""
+    """Text table for the file: one row per grid hour, three columns per species in the order of their ids. The curves are
+    worked out once, for the titles and for the table."""
+    curves = cut_lineage(curves)
     named = species.select(F.col("id").alias("species_id"), name.alias("_name"))
     # column titles: one short row per charted species
     charted = curves.select("species_id").distinct().join(named, "species_id", "left").orderBy("species_id")
