@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trapline.llm import bpe, chat, decontamination, exact_dedup, exchange, language_id, language_model, near_dedup, quality, queries, substring_dedup, url_templates
+from trapline.llm import bpe, chat, decontamination, exact_dedup, exchange, language_id, language_model, near_dedup, quality, queries, shared, substring_dedup, url_templates
 from trapline.llm.words import Words, blank_separated, packed, unpacked, unpacked_bits, utf8, windows
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -383,6 +383,7 @@ def test_near_duplicates(docs, rows, nothing):
 def test_near_duplicates_in_chains_and_blocks(spark, monkeypatch):
     random.seed(2)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(shared, "HOT_SHARE", 20)
     made, text = [], [f"w{random.randrange(10**6)}" for _ in range(80)]
     for i in range(120):
         if i % 40 == 0:
@@ -403,6 +404,25 @@ def test_components_of_a_path_and_a_star(spark):
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("share", [1000, 3])
+def test_split_join_deals_hot_keys_out(spark, monkeypatch, share):
+    monkeypatch.setattr(shared, "HOT_SHARE", share)
+    made = [(None, 1)] * 3 + [("hot", i) for i in range(60)] + [("cold", 1), ("alone", 2)]
+    rows = spark.createDataFrame(made, "key string, salt long")
+    groups = spark.createDataFrame([("hot", 60, "h"), ("cold", 1, "c"), ("unused", 1, "u")], "key string, size long, parts string")
+    found = shared.split_join(rows, groups, "key", "salt", "size", len(made))
+    assert found.columns == ["key", "salt", "size", "parts"]
+    assert sorted(tuple(r) for r in found.collect()) == sorted([("hot", i, 60, "h") for i in range(60)] + [("cold", 1, 1, "c")])
+
+
+def test_agreeing_counts_equal_coordinates(spark):
+    base = np.arange(near_dedup.COORDINATES, dtype=np.uint32)
+    rows = [(i, n, np.where(base < equal, base, base + 1000 * i).astype(np.uint32).tobytes()) for i, n, equal in ((1, 100, 48), (2, 100, 22), (3, 100, 21), (4, 79, 48), (5, 80, 30))]
+    classes = spark.createDataFrame(rows, "id long, n_shingles long, signature binary")
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 6)], "a long, b long")
+    assert sorted(tuple(r) for r in near_dedup.agreeing(pairs, classes, 22, 0.8).collect()) == [(1, 2), (1, 5)]
+
+
 def test_bpe_like_the_library(docs, rows, nothing):
     library = Tokenizer.from_file(VOCABULARY)
     expected = sorted(((i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows), key=repr)

@@ -6,7 +6,8 @@ the whole sequence as one. Documents with equal sets are one class, represented
 
 * Values that one class alone has are dropped. Of the rest each class skips its most frequent ones: a pair that agrees in at least
   ``matches`` coordinates also meets in the ``COORDINATES - matches + 1`` rarest of either, in an order common to all.
-* In each posting list the classes are first paired with the list's smallest id only. Confirmed pairs form components.
+* In each posting list the classes are first paired with the list's smallest id only. Pairs whose sizes allow the similarity and that agree
+  in ``matches`` coordinates are confirmed on full sets and form components.
 * Lists that still hold several components are merged in blocks that fit a task: signatures of different components are compared. Classes
   that agree in ``matches`` coordinates with one of another component, and components that such pairs join to groups, are kept, not pairs.
 * The kept classes of each group are compared on full sets, in blocks again; a block gives links enough to join what its links join.
@@ -15,7 +16,9 @@ the whole sequence as one. Documents with equal sets are one class, represented
 Every pair that is compared has either met in a posting list or lies in one group; work in a group is quadratic in the classes that are
 still apart from others there, and no task holds more than two blocks of it.
 
-``matches`` is the largest count that a pair at the similarity misses with a probability below ``MISS``. Empty and null texts have no set
+Keys with a large share of the rows (posting lists, copies, stars) are dealt into parts by their counted size (``shared.split_join``).
+
+Sets are compared as 64-bit hashes of their shingles. ``matches`` is the largest count that a pair at the similarity misses with a probability below ``MISS``. Empty and null texts have no set
 and are linked with nothing, like rows with a null id. Rows of equal id are judged each. Other columns play no part.
 """
 
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trapline.llm.shared import free_name, stored
+from trapline.llm.shared import free_name, split_join, stored
 from trapline.llm.words import Words, blank_separated, lowered, mixed, packed, row_slices, unpacked, utf8, windows
 
 SIMILARITY = 0.8
@@ -39,8 +42,6 @@ MISS = 1e-7
 #: Classes of a posting list that are compared with each other in one task.
 BLOCK = 512
 CHUNK_BYTES = 2_000_000
-#: Bits of a shingle's hash in the sets that are compared.
-SET_BITS = 48
 
 
 def matches_at(similarity: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -116,22 +117,23 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
-def prefixes(posted: DataFrame, matches: int) -> DataFrame:
-    """(key, id, n): the rarest coordinates of each class, without values that it alone has and without the ``matches - 1`` most frequent."""
+def prefixes(posted: DataFrame, matches: int, total: int) -> DataFrame:
+    """(key, id, n): the rarest coordinates of each class, without values that it alone has and without the ``matches - 1`` most frequent.
+    ``total`` counts the rows of ``posted``."""
     common = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    known = posted.join(common, "key")
+    known = split_join(posted, common, "key", "id", "n", total)
     own = Window.partitionBy("id")
     ranked = known.withColumns({"rank": F.row_number().over(own.orderBy("n", "key")), "all": F.count("*").over(own)})
     return ranked.filter(F.col("rank") <= F.col("all") - (matches - 1)).select("key", "id", "n")
 
 
-def in_blocks(rows: DataFrame, key: str, id_: str) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, id_: str, total: int) -> DataFrame:
     """``rows`` once for each pair of blocks (low, high) of its group that it belongs to; ``own`` is its block. Groups of up to ``BLOCK`` rows
-    are one block, larger ones are cut by a hash."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(id_, key), F.col("blocks")).cast("int"))
+    are one block, larger ones are cut by a hash. There are at most ``total`` rows."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("held")).withColumn("blocks", F.ceil(F.col("held") / F.lit(BLOCK)).cast("int"))
+    dealt = split_join(rows, sizes, key, id_, "held", total).withColumn("own", F.pmod(F.xxhash64(id_, key), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
+    return spread.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("held", "blocks", "other")
 
 
 class Joined:
@@ -153,11 +155,30 @@ class Joined:
         return x != y
 
 
-def candidates(lists: DataFrame, classes: DataFrame, matches: int, similarity: float) -> DataFrame:
+def agreeing(pairs: DataFrame, classes: DataFrame, matches: int, similarity: float) -> DataFrame:
+    """The pairs (a, b), a stored table, whose sizes allow the similarity and whose signatures agree in ``matches`` coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in (2, 3))
+            keep = pa.array((left == right).sum(axis=1) >= matches)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    met = pairs.groupBy("a").agg(F.count("*").alias("met"))
+    left = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("signature").alias("signature_a")).join(met, "a")
+    right = classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("signature").alias("signature_b"))
+    both = split_join(pairs, left, "a", "b", "met", pairs.count()).join(right, "b")
+    both = both.filter((F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n")))
+    return both.select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
+
+
+def candidates(lists: DataFrame, classes: DataFrame, matches: int, similarity: float, total: int) -> DataFrame:
     """(a, b, touched): what posting lists show about classes of different components that agree in ``matches`` coordinates and whose sizes
     allow the similarity. Rows with ``touched`` null join two components, at most one row for each component of a block; the others name a
     class that has such a partner."""
-    rows = in_blocks(lists, "key", "id").join(classes.select("id", "n_shingles", "signature"), "id").select("key", "low", "high", "own", "id", "component", "n_shingles", "signature")
+    rows = in_blocks(lists, "key", "id", total).join(classes.select("id", "n_shingles", "signature"), "id").select("key", "low", "high", "own", "id", "component", "n_shingles", "signature")
 
     def compare(key, table):
         _, low, high = (k.as_py() for k in key)
@@ -178,12 +199,12 @@ def candidates(lists: DataFrame, classes: DataFrame, matches: int, similarity: f
     return rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long, touched long").distinct()
 
 
-def confirmed_in_groups(members: DataFrame, similarity: float) -> DataFrame:
+def confirmed_in_groups(members: DataFrame, similarity: float, total: int) -> DataFrame:
     """(a, b): links between classes of different components in each group, on full sets; of all links of a block, enough to join what they join.
 
     ``members`` has group, id, component, n and packed.
     """
-    rows = in_blocks(members, "group", "id").select("group", "low", "high", "own", "id", "component", "n", "packed")
+    rows = in_blocks(members, "group", "id", total).select("group", "low", "high", "own", "id", "component", "n", "packed")
     per_cent = round(similarity * 100)
 
     def compare(key, table):
@@ -225,9 +246,8 @@ def set_table(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, size: int
         for batch in batches:
             done = 0
             for sets in shingle_sets(batch.column(1), size):
-                short = [np.unique(s >> np.uint64(64 - SET_BITS)) for s in sets]
-                blobs = [packed(np.diff(s, prepend=np.uint64(0))) for s in short]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), pa.array([len(s) for s in short], pa.int64()), pa.array(blobs, pa.binary())], ["id", "n", "packed"])
+                blobs = [packed(np.diff(s, prepend=np.uint64(0))) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(blobs, pa.binary())], ["id", "n", "packed"])
                 done += len(sets)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
@@ -235,7 +255,7 @@ def set_table(docs: DataFrame, ids: DataFrame, doc_id: str, text: str, size: int
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as asked for."""
+    """The pairs (a, b), a stored table, whose sets are as similar as asked for."""
     per_cent = round(similarity * 100)
 
     def run(batches):
@@ -249,27 +269,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             keep = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("packed").alias("set_a"))
+    met = pairs.groupBy("a").agg(F.count("*").alias("met"))
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("packed").alias("set_a")).join(met, "a")
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("packed").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return split_join(pairs, left, "a", "b", "met", pairs.count()).join(right, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
+
+def tally(edges: DataFrame) -> tuple:
+    """Number and sum of hashes of the rows, equal for equal tables."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of ``edges`` (a, b): the smallest id that can be reached. Alternating large and small stars."""
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    while True:
+    before, count = None, tally(now)
+    while count != before:
         # Large star: every larger neighbour of a node points to the smallest of the node and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("u", "m"))
+        large = split_join(both.filter("v > u"), least, "u", "v", "degree", 2 * count[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node's smaller neighbours and itself point to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        then = stored(small)
-        sums = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first() for d in (now, then)]
-        now = then
-        if sums[0] == sums[1]:
-            break
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        smaller = split_join(large, least, "u", "v", "degree", count[0]).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, count = count, tally(now)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -277,34 +301,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
     matches = matches_at(similarity)
     signed = stored(signatures(docs, doc_id, text, size))
-    filled = signed.filter("digest is not null and doc_id is not null")
-    first = filled.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    named = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    filled = signed.filter(named)
+    first = filled.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     classes = stored(filled.join(first, (filled.digest == first.digest) & (filled.doc_id == first.id)).select("id", "n_shingles", "signature").dropDuplicates(["id"]))
-    lists = stored(prefixes(postings(classes), matches))
+    n_classes = classes.count()
+    lists = stored(prefixes(postings(classes), matches, COORDINATES * n_classes))
+    posted = lists.count()
 
-    heads = lists.groupBy("key").agg(F.min("id").alias("a"))
-    stars = lists.join(heads, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    sizes = classes.select("id", "n_shingles")
-    stars = stars.join(sizes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n_shingles").alias("m")), "b")
-    stars = stored(stars.filter((F.col("n") >= similarity * F.col("m")) & (F.col("m") >= similarity * F.col("n"))).select("a", "b"))
+    heads = lists.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("listed"))
+    met = stored(split_join(lists, heads, "key", "id", "listed", posted).filter("a < id").select("a", F.col("id").alias("b")).distinct())
+    stars = stored(agreeing(met, classes, matches, similarity))
     sets = stored(set_table(docs, lists.select("id").distinct(), doc_id, text, size).dropDuplicates(["id"]))
     links = stored(confirmed(stars, sets, similarity))
 
     found = components(links)
     placed = lists.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key")
-    near = stored(candidates(placed.join(several, "key"), classes, matches, similarity))
+    several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("listed")).filter("least < most").select("key", "listed")
+    near = stored(candidates(split_join(placed, several, "key", "id", "listed", posted).drop("listed"), classes, matches, similarity, posted))
     groups = components(near.filter("touched is null").select("a", "b"))
     touched = near.filter("touched is not null").select(F.col("touched").alias("id")).distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = touched.join(groups.select(F.col("id").alias("component"), F.col("component").alias("group")), "component").join(sets, "id")
-    links = links.unionByName(stored(confirmed_in_groups(members, similarity)))
+    links = links.unionByName(stored(confirmed_in_groups(members, similarity, n_classes)))
     found = components(links)
 
-    members = filled.select("doc_id", "digest").distinct().join(first, "digest").join(found, "id", "left")
-    placed = members.select(F.col("doc_id").alias("member"), F.col("digest").alias("member_digest"), F.coalesce("component", "id").alias("component"))
-    rows = signed.join(placed, (signed.doc_id == F.col("member")) & (signed.digest == F.col("member_digest")), "left")
-    component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    labels = first.join(found, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component_id"))
+    rows = split_join(filled, labels, "digest", "doc_id", "copies", filled.count()).select("doc_id", "n_shingles", "component_id")
+    alone = signed.filter(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
