@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from trapline.session import shared_folder
 
-#: Keys with more than one in so many rows are dealt out in a join; there are fewer than that.
-HOT_SHARE = 1000
 #: Bytes of text that one batch of documents holds on average.
 BATCH_BYTES = 6_000_000
 
@@ -63,18 +61,3 @@ def salted_join(rows: DataFrame, groups: DataFrame, key: str, spread_by: str, sl
     dealt = rows.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(slots)))
     sent = groups.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
     return dealt.join(sent, [key, salt]).drop(salt)
-
-
-def split_join(rows: DataFrame, groups: DataFrame, key: str, spread_by: str, size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with one row for each ``key`` in ``groups``, whose column ``size`` is the number of the key's rows; ``total`` is at
-    least the sum of these. A key with more than one in ``HOT_SHARE`` of the rows is dealt by a hash of another column into parts of about that
-    many rows, and its group is sent to each part. The list of hot keys that is broadcast, and the groups sent twice or more, are bounded by
-    ``HOT_SHARE`` and twice as many. Rows with a null key meet no group."""
-    salt, mark, parts = (free_name(rows, free_name(groups, wish)) for wish in ("salt", "hot_key", "parts"))
-    limit = total // HOT_SHARE
-    cut = F.ceil(F.col(size) / F.lit(limit + 1)).cast("long")
-    hot = groups.filter(F.col(size) > limit).select(F.col(key).alias(mark), cut.alias(parts))
-    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col(mark), "left")
-    dealt = dealt.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread_by), F.col(parts)), F.lit(0).cast("long"))).drop(mark, parts)
-    each = F.when(F.col(size) > limit, F.sequence(F.lit(0).cast("long"), cut - 1)).otherwise(F.array(F.lit(0).cast("long")))
-    return dealt.join(groups.withColumn(salt, F.explode(each)), [key, salt]).drop(salt)
