@@ -114,3 +114,21 @@ def test_state_of_the_quorum_stays_flat(spark, tmp_path):
         Z.run_available(Z.quorum_stream(stream, at="voted_at", keep_days=10), str(tmp_path / "out"), str(tmp_path / "state"))
         left = [spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", name).load().count() for name in ("until", "decided")]
     assert left == [20, 10] and spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_quorum_keeps_many_series_in_a_bucket(spark, tmp_path):
+    """All series share two buckets, votes of a series come in several batches, and each open series is one item of the state."""
+    schema = "observation_id long, user_id long, species_id long"
+    first = [(n, user, 3) for n in range(40) for user in (1, 2, 1)]  # two pairs, one of them twice
+    second = [(n, 3, 3 if n % 2 else 9) for n in range(30)] + [(n, 4, 9) for n in range(30)]  # odd: 3 of 4, even: 2 of 4
+    third = [(n, 5, 3) for n in range(30)]  # odd: decided before; even: 3 of 5
+    for rows in (first, second, third):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        with Z.keyed_state(spark):
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            Z.run_available(Z.quorum_stream(stream, buckets=2), str(tmp_path / "out"), str(tmp_path / "state"))
+    found = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {(n, 3, 3, 4) if n % 2 else (n, 3, 3, 5) for n in range(30)}
+    with Z.keyed_state(spark):
+        left = [spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", v).load().count() for v in ("open", "decided")]
+    assert left == [10, 30]
