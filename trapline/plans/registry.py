@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trapline.session import ADAPTIVE, set_where_unset
+from trapline.session import apply_adaptive, set_where_unset
 from trapline.sources.starschema import Survey, checking_sql
 
 
@@ -35,7 +35,8 @@ def query(name: str, sql: str | None = None, **named: str):
 
 def runner(entry: NamedQuery) -> Callable[[SparkSession, str], DataFrame]:
     def start(spark: SparkSession, folder: str) -> DataFrame:
-        set_where_unset(spark, {**ADAPTIVE, "spark.sql.session.timeZone": "UTC"})  # survey times are wall-clock times without a zone
+        apply_adaptive(spark)
+        set_where_unset(spark, {"spark.sql.session.timeZone": "UTC"})  # survey times are wall-clock times without a zone
         return entry.run(Survey(spark, folder))
 
     return start
